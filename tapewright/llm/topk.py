@@ -10,9 +10,9 @@ whole vector first, then over 4 and 16 segments; candidates that can't reach the
 k-th best score found so far fall out at each level, and only the survivors get
 their exact integer score, so nothing is lost.
 
-Rows are packed into blocks where they lie, without a shuffle; each block of
-queries meets each block of candidates once and gives its own top k, and these
-merge by query. Nothing is collected, and memory is one pair of blocks.
+Rows are packed into blocks where they lie; blocks of candidates are dealt into
+parts, one task each, and blocks of queries go to every part. A pair of blocks meets
+once and gives its own top k, and these merge by query. Nothing is collected, and memory is one pair of blocks.
 
 Vectors that are null or empty or hold a null or a non-finite component, or a
 null id, take no part. Vectors of another length than the query's aren't its
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from tapewright.llm.common import small_batches
 
 SCALE, BLOCK, LEVELS = 256, 1024, (1, 4, 16)
+#: About so many candidates are dealt into one part.
+PART_ROWS = 1 << 15
 #: Above this product of norms, double precision can't hold every integer.
 _EXACT = float(1 << 53)
 
@@ -113,7 +115,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE
     asked = usable(queries.select("vec_id", "embedding")).dropDuplicates(["vec_id", "embedding"])
     q = _packed(asked, scale).toDF("q_dim", "q_ids", "q_data")
     c = _packed(usable(vectors.select("vec_id", "embedding")), scale)
-    pairs = c.crossJoin(q).filter("dim = q_dim")  # of blocks, not rows
+    # blocks of candidates are dealt into parts, blocks of queries go to every part
+    parts = max(16, -(-vectors.count() // PART_ROWS))
+    c = c.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).repartition(parts, "dim", "part")
+    q = q.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, "q_dim", "q_part")
+    pairs = c.join(q, (F.col("dim") == F.col("q_dim")) & (F.col("part") == F.col("q_part")))  # of blocks, not rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
