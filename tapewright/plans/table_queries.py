@@ -607,7 +607,7 @@ def write_signals(spark, sf_dir):
     path, found = _scratch(spark, "signals"), _signal_rows(spark, sf_dir)
     for _ in range(2):
         K.write_signals(found, path)
-    return _counted(spark.read.parquet(path))
+    return _counted(R.read_signals(spark, path))
 
 
 @query(_spikes_sql())
@@ -626,7 +626,7 @@ def signal_fanout(spark, sf_dir):
 
     K.signal_fanout(lambda b: K.write_signals(b, path), lambda b: K.topic_rows(b).write.parquet(topic), [broken])(_signal_rows(spark, sf_dir), 0)
     sent = spark.read.parquet(topic).select(F.col("key").alias("instrument_id"), F.get_json_object("value", "$.signal_id").alias("signal_id"))
-    return _counted(sent.join(spark.read.parquet(path), ["instrument_id", "signal_id"], "left_semi"))
+    return _counted(sent.join(R.read_signals(spark, path), ["instrument_id", "signal_id"], "left_semi"))
 
 
 @query(_spikes_sql())
