@@ -158,12 +158,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """Rows of ``docs`` that stay: of each group the one with the smallest doc_id (of
     repeated rows with that id, one). All columns of ``docs`` come back unchanged."""
-    text_key, stay = "__tw_text", "__tw_stay"
+    text_key, own, none = "__tw_text", "__tw_id", "__tw_null"
     keyed = docs.withColumn(text_key, F.xxhash64(F.coalesce("text", F.lit(""))))
     prints = materialize(fingerprints(keyed.select("doc_id", text_key, "text"), shingle, ("doc_id", text_key)))
     found = prints.join(classes(prints, max_bits), F.col("fingerprint") == F.col("fp"))
     found = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = found.groupBy("component_id", "fp").agg(F.min(text_key).alias(text_key)).groupBy("component_id").agg(F.min(text_key).alias(text_key))
-    first = materialize(first.select(F.col("component_id").alias(stay), F.col(text_key).alias(f"{text_key}2")))
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first[stay]) & (keyed[text_key] == first[f"{text_key}2"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", text_key]).select(*docs.columns)
+    # plain columns as keys: join and de-duplication then share one shuffle of the texts
+    keys = [own, none, text_key]
+    plain = lambda d, c: d.withColumns({own: F.coalesce(F.col(c).cast("string"), F.lit("")), none: F.col(c).isNull()})
+    stay = materialize(plain(first, "component_id").select(*keys))
+    return plain(keyed, "doc_id").join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
