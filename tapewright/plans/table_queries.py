@@ -163,12 +163,14 @@ def enum_codes(spark, sf_dir):
 
 def _scratch(spark, name: str) -> str:
     """A folder that all executors share, for queries that write and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not base:
         import tempfile
 
-        base = tempfile.mkdtemp(prefix="tapewright-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        # a running session refuses to change the setting itself
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="tapewright-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/tapewright/{name}-{uuid.uuid4().hex}"
 
 
