@@ -17,13 +17,15 @@ ARROW_BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``;
-    where it is unset (tests, one machine) a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tapewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; where
+    it is unset (tests, one machine) the context's checkpoint folder, made if need be.
+    A running session refuses to change the setting itself."""
+    found, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if found:
+        return found
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tapewright-"))
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
