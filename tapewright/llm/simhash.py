@@ -138,13 +138,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def classes(prints: DataFrame, max_bits: int = 2) -> DataFrame:
-    """``(fp, component_id)`` for each distinct fingerprint of ``prints(doc_id, fingerprint)``."""
+    """``(fp, root, component_id)`` for each distinct fingerprint of ``prints(doc_id,
+    fingerprint)``. The root is a fingerprint and tells groups apart; ids may not."""
     distinct = materialize(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")))
     member = materialize(components(links(distinct.select("fp"), max_bits)))
     named = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left")
     grouped = materialize(named.select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return materialize(spread_join(grouped, smallest, "root", "fp").select("fp", "component_id"))
+    return materialize(spread_join(grouped, smallest, "root", "fp").select("fp", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -156,16 +157,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """Rows of ``docs`` that stay: of each group the one with the smallest doc_id (of
-    repeated rows with that id, one). All columns of ``docs`` come back unchanged."""
+    """Rows of ``docs`` that stay: of each group the one with the smallest doc_id
+    (null ids last, then by the text's hash; of rows with that id and text, one). All columns of ``docs`` come back unchanged."""
     text_key, own, none = "__tw_text", "__tw_id", "__tw_null"
     keyed = docs.withColumn(text_key, F.xxhash64(F.coalesce("text", F.lit(""))))
     prints = materialize(fingerprints(keyed.select("doc_id", text_key, "text"), shingle, ("doc_id", text_key)))
     found = prints.join(classes(prints, max_bits), F.col("fingerprint") == F.col("fp"))
-    found = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = found.groupBy("component_id", "fp").agg(F.min(text_key).alias(text_key)).groupBy("component_id").agg(F.min(text_key).alias(text_key))
+    rank = F.struct(F.col("doc_id").isNull().alias(none), "doc_id", text_key)
+    first = found.groupBy("root").agg(F.min(rank).alias("s")).select("s.doc_id", f"s.{text_key}")
     # plain columns as keys: join and de-duplication then share one shuffle of the texts
     keys = [own, none, text_key]
     plain = lambda d, c: d.withColumns({own: F.coalesce(F.col(c).cast("string"), F.lit("")), none: F.col(c).isNull()})
-    stay = materialize(plain(first, "component_id").select(*keys))
+    stay = materialize(plain(first, "doc_id").select(*keys).distinct())
     return plain(keyed, "doc_id").join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -93,6 +93,13 @@ def test_simhash(nasty, unique):
     assert simhash.near_duplicates(nasty.limit(0)).count() == 0
 
 
+def test_simhash_survivors_per_group(spark):
+    """Neither null ids nor a repeated id make unlike documents one group."""
+    rows = [(None, "alpha beta gamma delta"), (None, "one two three four five"), (None, "red green blue black white"), (7, "north south east west"), (7, "iron copper silver gold"), (None, "iron copper silver gold"), (9, "North south east west")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(rows[:5], key=str)
+
+
 def test_simhash_crowded_postings(spark):
     """Long posting lists take the other way; both must give the same groups."""
     import random
