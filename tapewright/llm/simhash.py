@@ -23,7 +23,7 @@ repeated results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -39,19 +39,22 @@ SEED = 42
 MAX_POSTING = 48
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit fingerprint of a text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; a shorter text is one shingle."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(words) < shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    h = np.fromiter((digest(g, SEED) for g in grams), np.uint64)
+    return np.fromiter((digest(g, SEED) for g in grams), np.uint64)
+
+
+def _majority(h: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 4096):
         part = h[k : k + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -59,6 +62,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned 64-bit fingerprint of a text."""
+    return _majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of each row and its ``fingerprint`` as a signed long; narrow."""
     small_batches(docs.sparkSession)
@@ -73,6 +81,99 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("do
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
+def _sketches(docs: DataFrame, shingle: int, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns, ``fp`` and ``sk``, a hash of the set of shingles; narrow."""
+    small_batches(docs.sparkSession)
+    keep = list(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            hashes = [shingle_hashes(t, shingle) for t in b.column("text").to_pylist()]
+            fp = np.array([_majority(h) for h in hashes], np.uint64).view(np.int64)
+            sk = np.array([xxhash.xxh64_intdigest(np.unique(h).astype("<u8").tobytes(), SEED) for h in hashes], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp), pa.array(sk)], [*keep, "fp", "sk"])
+
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("fp", LongType()), StructField("sk", LongType())])
+    return docs.select(*keep, "text").mapInArrow(run, schema)
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two arrays of distinct hashes; two empty ones are alike."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose ``texts(sk, text)`` have that Jaccard similarity."""
+    small_batches(pairs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, stay = {}, []
+            a, b, ta, tb = (batch.column(c) for c in ("a", "b", "ta", "tb"))
+            for k, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())):
+                for key, text in ((x, ta), (y, tb)):
+                    if key not in sets:
+                        sets[key] = np.unique(shingle_hashes(text[k].as_py(), shingle))
+                stay.append(jaccard(sets[x], sets[y]) >= similarity)
+            kept = pa.array(stay, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], ["a", "b"])
+
+    one = pairs.join(texts.select(F.col("sk").alias("a"), F.col("text").alias("ta")), "a")
+    return one.join(texts.select(F.col("sk").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, max_bits: int, similarity: float) -> DataFrame:
+    """``(node, root)`` of every linked one of the distinct ``nodes(sk, fp)``. Nodes are
+    linked if at most ``max_bits`` (1 to 5) bits differ and their texts, which
+    ``texts_of`` finds for a table of ``sk``, are verified.
+
+    So many bits leave ``8 - max_bits`` bytes equal, so a posting holds as many. A pair
+    is taken from the posting of its first equal bytes. In a list longer than
+    ``MAX_POSTING`` each member is first verified against one of them; then only pairs
+    that are not yet in one group are compared, and all of these."""
+    if not 1 <= max_bits <= 5:
+        raise ValueError("lists of under three bytes grow with the square of the input")
+    masks = []
+    for at in combinations(range(8), 8 - max_bits):
+        wide = sum(0xFF << 8 * i for i in at)
+        masks.append(F.struct(F.lit(sum(1 << i for i in at)).alias("mask"), F.lit(wide - (1 << 64) if wide >> 63 else wide).alias("wide")))
+    key = ["mask", "value"]
+    every = nodes.select("sk", "fp", F.explode(F.array(*masks)).alias("m")).select("sk", "fp", "m.mask", F.col("fp").bitwiseAND(F.col("m.wide")).alias("value"))
+    sizes = materialize(every.groupBy(key).agg(F.count("*").alias("n"), F.min("sk").alias("leader"), F.min_by("fp", "sk").alias("leader_fp")).filter("n > 1"))
+    posted = materialize(every.join(sizes, key))
+    bits = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= max_bits
+
+    def paired(d: DataFrame, *more: str) -> DataFrame:
+        left, right = (d.select(*key, *(F.col(c).alias(f"{side}_{c}") for c in ("sk", "fp", *more))) for side in "ab")
+        x = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
+        equal = sum(F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(0xFF)) == 0, 1 << i).otherwise(0) for i in range(8))
+        upto = F.col("mask")
+        for k in (1, 2, 4):
+            upto = upto.bitwiseOR(F.shiftright(upto, k))
+        near = left.join(right, key).filter("a_sk < b_sk").filter(bits("a_fp", "b_fp")).filter(equal.bitwiseAND(upto) == F.col("mask"))
+        for c in more:
+            near = near.filter(F.col(f"a_{c}") != F.col(f"b_{c}"))
+        return near.select(F.col("a_sk").alias("a"), F.col("b_sk").alias("b"))
+
+    crowded = posted.filter(F.col("n") > MAX_POSTING)
+    star = crowded.filter("leader <> sk").filter(bits("leader_fp", "fp")).select(F.col("leader").alias("a"), F.col("sk").alias("b"))
+    pairs = materialize(paired(posted.filter(F.col("n") <= MAX_POSTING)).unionByName(star).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sk")).unionByName(crowded.select("sk")).distinct()
+    texts = materialize(texts_of(wanted))
+    edges = materialize(verified(pairs, texts, shingle, similarity))
+    roots = materialize(components(edges))
+    owned = crowded.select(*key, "sk", "fp").join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
+    mixed = owned.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(*key)
+    left = materialize(owned.join(mixed, key))
+    if left.isEmpty():
+        return roots
+    more = verified(materialize(paired(left, "root").distinct()), texts, shingle, similarity)
+    return materialize(components(edges.unionByName(more)))
+
+
 def _postings(prints: DataFrame) -> DataFrame:
     block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
     keys = [F.struct(F.lit(n).alias("blocks"), F.shiftleft(block[i], 16).bitwiseOR(block[j]).alias("value")) for n, (i, j) in enumerate(combinations(range(4), 2))]
@@ -156,17 +257,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+#: The id as a string and whether it is null: plain columns as keys of a join.
+OWN, NONE = "__tw_id", "__tw_null"
+
+
+def _plain(d: DataFrame) -> DataFrame:
+    return d.withColumns({OWN: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), NONE: F.col("doc_id").isNull()})
+
+
+def _roots(keyed: DataFrame, text_key: str, shingle: int, max_bits: int, similarity: float | None) -> DataFrame:
+    """``(doc_id, text_key, root)`` of each row."""
+    if similarity is None:
+        prints = materialize(fingerprints(keyed.select("doc_id", text_key, "text"), shingle, ("doc_id", text_key)))
+        return prints.join(classes(prints, max_bits), F.col("fingerprint") == F.col("fp")).select("doc_id", text_key, "root")
+    prints = materialize(_sketches(keyed.select("doc_id", text_key, "text"), shingle, ("doc_id", text_key)))
+    # exact copies share a node: one row of each goes on
+    rank = F.struct(F.col("doc_id").isNull().alias(NONE), "doc_id", text_key)
+    nodes = materialize(prints.groupBy("sk").agg(F.min("fp").alias("fp"), F.min(rank).alias("s")).select("sk", "fp", "s.doc_id", f"s.{text_key}"))
+    keys = [OWN, NONE, text_key]
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        chosen = materialize(_plain(nodes.join(wanted, "sk")).select("sk", *keys))
+        return _plain(keyed.select("doc_id", text_key, "text")).join(chosen, keys).dropDuplicates(keys).select("sk", "text")
+
+    member = similar_groups(nodes.select("sk", "fp"), texts_of, shingle, max_bits, similarity)
+    return nodes.join(member.withColumnRenamed("node", "sk"), "sk", "left").select("doc_id", text_key, F.coalesce("root", "sk").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, similarity: float | None = None) -> DataFrame:
     """Rows of ``docs`` that stay: of each group the one with the smallest doc_id
-    (null ids last, then by the text's hash; of rows with that id and text, one). All columns of ``docs`` come back unchanged."""
-    text_key, own, none = "__tw_text", "__tw_id", "__tw_null"
+    (null ids last, then by the text's hash; of rows with that id and text, one). All columns of ``docs`` come back unchanged.
+    With a ``similarity``, texts are linked only if their sets of shingles have that
+    Jaccard similarity too, and equal sets always are."""
+    text_key = "__tw_text"
     keyed = docs.withColumn(text_key, F.xxhash64(F.coalesce("text", F.lit(""))))
-    prints = materialize(fingerprints(keyed.select("doc_id", text_key, "text"), shingle, ("doc_id", text_key)))
-    found = prints.join(classes(prints, max_bits), F.col("fingerprint") == F.col("fp"))
-    rank = F.struct(F.col("doc_id").isNull().alias(none), "doc_id", text_key)
+    found = _roots(keyed, text_key, shingle, max_bits, similarity)
+    rank = F.struct(F.col("doc_id").isNull().alias(NONE), "doc_id", text_key)
     first = found.groupBy("root").agg(F.min(rank).alias("s")).select("s.doc_id", f"s.{text_key}")
     # plain columns as keys: join and de-duplication then share one shuffle of the texts
-    keys = [own, none, text_key]
-    plain = lambda d, c: d.withColumns({own: F.coalesce(F.col(c).cast("string"), F.lit("")), none: F.col(c).isNull()})
-    stay = materialize(plain(first, "doc_id").select(*keys).distinct())
-    return plain(keyed, "doc_id").join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    keys = [OWN, NONE, text_key]
+    stay = materialize(_plain(first).select(*keys).distinct())
+    return _plain(keyed).join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -100,6 +100,53 @@ def test_simhash_survivors_per_group(spark):
     assert sorted(map(tuple, kept), key=str) == sorted(rows[:5], key=str)
 
 
+@pytest.mark.parametrize("listed", [48, 4])
+def test_near_copies_against_brute_force_jaccard(spark, monkeypatch, listed):
+    """The stage drops what brute force links by Jaccard and bits, by short lists or
+    crowded ones, nothing that brute-force Jaccard would keep, and over half of the rest."""
+    import random
+
+    monkeypatch.setattr(simhash, "MAX_POSTING", listed)
+    rng, texts = random.Random(5), []
+    word = lambda: f"w{rng.randrange(5000)}"
+    for n in (60, 100, 200, 400, 800):
+        for _ in range(4):
+            base = [word() for _ in range(n)]
+            texts.append(base)
+            for changed in (1, 1, 2, 3, 6):
+                copy = list(base)
+                for _ in range(changed):
+                    copy[rng.randrange(n)] = word()
+                texts.append(copy)
+    texts += [texts[0], [w.upper() for w in texts[6]]]
+    sets = [frozenset(zip(*([w.lower() for w in t[i:]] for i in range(5)))) for t in texts]
+    lines = [" ".join(t) for t in texts]
+    prints = [simhash.fingerprint(x, 5) for x in lines]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    def groups(linked):
+        root = list(range(len(texts)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a in range(len(texts)):
+            for b in range(a):
+                if linked(a, b):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+        return {find(x) for x in range(len(texts))}
+
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == groups(lambda a, b: alike(a, b) and (prints[a] ^ prints[b]).bit_count() <= 5)
+    whole = groups(alike)
+    assert whole <= kept
+    assert len(texts) - len(kept) > 0.5 * (len(texts) - len(whole))
+
+
 def test_simhash_crowded_postings(spark):
     """Long posting lists take the other way; both must give the same groups."""
     import random
