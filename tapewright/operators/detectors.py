@@ -32,13 +32,17 @@ def settings_frame(spark, default: Settings, overrides: Mapping[str, Settings])
     return spark.createDataFrame(rows, schema)
 
 
-def join_settings(events: DataFrame, default: Settings, overrides: Mapping[str, Settings] | None = None) -> DataFrame:
-    """Events with their instrument's settings as columns. The table of overrides is
-    configuration; Spark broadcasts it if it is small."""
+def join_settings(events: DataFrame, default: Settings, overrides: Mapping[str, Settings] | DataFrame | None = None) -> DataFrame:
+    """Events with their instrument's settings as columns. Overrides are configuration,
+    or a table with ``s_instrument`` (unique) and all settings as columns; Spark
+    broadcasts it if it is small."""
     names = list(default.as_dict())
-    if not overrides:
+    if isinstance(overrides, DataFrame):
+        table = overrides.filter("s_instrument is not null")
+    elif not overrides:
         return events.select("*", *(F.lit(v).alias(k) for k, v in default.as_dict().items()))
-    table = settings_frame(events.sparkSession, default, overrides).filter("s_instrument is not null")
+    else:
+        table = settings_frame(events.sparkSession, default, overrides).filter("s_instrument is not null")
     joined = events.join(table, F.col("instrument_id") == F.col("s_instrument"), "left")
     filled = [F.when(F.col("s_instrument").isNull(), F.lit(getattr(default, k))).otherwise(F.col(k)).alias(k) for k in names]
     return joined.select(*events.columns, *filled)

@@ -365,7 +365,6 @@ def asof_active(spark, sf_dir):
 def join_settings(spark, sf_dir):
     ev = tape.events(spark, sf_dir)
     s = tape.table(spark, sf_dir, "events").select("user_id").filter("user_id % 10 = 0").distinct()
-    # overrides are configuration, one per tenth instrument
-    ids = [str(r.user_id) for r in s.orderBy("user_id").limit(100_000).toLocalIterator()]
-    d = D.join_settings(ev, tape.SETTINGS, {i: tape.NARROW for i in ids})
+    own = s.select(F.col("user_id").cast("string").alias("s_instrument"), *(F.lit(v).alias(k) for k, v in tape.NARROW.as_dict().items()))
+    d = D.join_settings(ev, tape.SETTINGS, own)
     return d.select("instrument_id", "us", "trade_window_seconds", "volume_zscore_threshold")

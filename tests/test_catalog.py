@@ -66,3 +66,17 @@ def test_empty_tables(spark, data, tmp_path):
         tape.table(spark, data, t).limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     for name in ("detect_all", "stream_detect_replay", "signal_summary", "candle_build", "hourly_thresholds", "coverage_gaps", "merge_candles", "ma_order_signals", "enrich_events", "mav_rows", "stitched_candles", "write_signals"):
         assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_join_settings_keeps_overrides_in_spark(spark, data, monkeypatch):
+    """However many users have an override, none comes to the driver or falls to a limit."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*args):
+        raise AssertionError("overrides are cut or pulled to the driver")
+
+    for name in ("limit", "collect", "toLocalIterator", "first"):
+        monkeypatch.setattr(DataFrame, name, refused)
+    d = catalog.QUERIES["join_settings"](spark, data)
+    monkeypatch.undo()
+    assert d.filter("trade_window_seconds = 36 * 3600 and cast(instrument_id as bigint) % 10 = 0").count() == d.filter("cast(instrument_id as bigint) % 10 = 0").count() > 0
