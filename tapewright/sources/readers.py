@@ -93,9 +93,12 @@ def quotation_cell(c):
     return F.from_json(F.translate(c, "'", '"'), QUOTATION)
 
 
-def read_candle_csv(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
-    """CSV with header time,open,high,low,close,volume,is_complete and quotation cells."""
+def read_candle_csv(spark: SparkSession, path: str, start=None, end=None, partition: str | None = None) -> DataFrame:
+    """CSV with header time,open,high,low,close,volume,is_complete and quotation cells;
+    ``partition`` names the column that the folders under ``path`` stand for, if any."""
     cells = "time string, open string, high string, low string, close string, volume bigint, is_complete boolean"
+    if partition:
+        cells += f", {partition} string"
     d = spark.read.schema(cells).option("escape", '"').csv(path, header=True)
     d = d.withColumn("time", S.parse_timestamp(F.col("time"))).withColumns({c: S.quotation_to_decimal(quotation_cell(F.col(c))) for c in ("open", "high", "low", "close")})
     if start is not None:

@@ -80,3 +80,14 @@ def test_join_settings_keeps_overrides_in_spark(spark, data, monkeypatch):
     d = catalog.QUERIES["join_settings"](spark, data)
     monkeypatch.undo()
     assert d.filter("trade_window_seconds = 36 * 3600 and cast(instrument_id as bigint) % 10 = 0").count() == d.filter("cast(instrument_id as bigint) % 10 = 0").count() > 0
+
+
+def test_candle_csv_holds_all_instruments(spark, data, monkeypatch):
+    """One call reads the folders of all instruments."""
+    from tapewright.plans import table_queries as T
+
+    paths, read = [], T.R.read_candle_csv
+    monkeypatch.setattr(T.R, "read_candle_csv", lambda s, path, *a, **b: (paths.append(path), read(s, path, *a, **b))[1])
+    assert catalog.QUERIES["read_candle_csv"](spark, data).count() > 0
+    assert len(paths) == 1
+    assert read(spark, paths[0], partition="instrument_id").count() == tape.candles(spark, data).count()
