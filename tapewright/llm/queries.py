@@ -69,4 +69,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_sentencepiece, op2_toxicity, op3_simhash, op4_mixing, op5_licenses, op6_quality, op7_secrets, op8_line_dedup, op9_top_k, op10_chat, pipeline)
 }
-ORACLE_SQL = {"op8_line_dedup": linededup.ORACLE_SQL, "op9_top_k": topk.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}
+ORACLE_SQL = {"op4_mixing": mixing.ORACLE_SQL, "op8_line_dedup": linededup.ORACLE_SQL, "op9_top_k": topk.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}
