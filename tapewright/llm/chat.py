@@ -14,8 +14,10 @@ backslashes too.
 
 Null text is empty, a null role is an empty role (and never valid). Turns are
 ordered by turn, then role, then text; null turns come first; repeated rows are
-repeated turns. A null conv_id is a conversation of its own. A conversation is
-one row of the result, so it has to fit into memory; nothing else has to.
+repeated turns. A null conv_id is a conversation of its own. An empty table gives an
+empty result; columns other than conv_id, turn, role and text are not read, so none can
+clash. A conversation is one row of the result, so it has to fit into memory, however
+long its texts; nothing else has to.
 """
 
 from __future__ import annotations
@@ -63,9 +65,9 @@ def escape_role(c: Column) -> Column:
 
 
 def unescape_role(c: Column) -> Column:
-    # a line feed was written as backslash n, a backslash as two: read pairs in one pass
-    c = F.replace(unescape(c), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(c, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # a line feed was written as backslash n, a backslash as two: an n after an odd run is a line feed
+    lines = F.regexp_replace(unescape(c), r"(?<!\\)((?:\\\\)*)\\n", "$1\n")
+    return F.replace(lines, F.lit("\\\\"), F.lit("\\"))
 
 
 def _walk(template: Template, roles: Column) -> Column:
