@@ -6,14 +6,17 @@ themselves, to the positions at which licence templates hold them. Hits of one
 template at one offset (document position minus template position) are a
 diagonal; each distinct template position votes once. A diagonal with a vote from
 every 2-gram of the template is a place where the template stands word for word.
-Diagonals at most ``DRIFT`` words apart merge, so a few inserted or missing words
-don't split a match; a merged span is verified by its distinct votes and by its
-length against the template's.
+A diagonal and those up to ``DRIFT`` words after it merge, so a few inserted or missing
+words don't split a match, and no chain of stray hits can lengthen a span. A merged span
+is verified by the distinct template positions that vote in it; of spans whose diagonals
+lie that close together, the one with the largest share counts.
 
 Phrases count only where they stand whole. Notices are longer templates that also
 count with ``SHARE`` of their 2-grams. Null text has no words; texts with fewer
 than two words have no hits. Repeated rows (same id and text) get the same
-result; null ids are ids. Hits meet again by document, never by licence.
+result; null ids are ids. Hits meet again by document, never by licence. An empty table
+gives an empty result; texts are taken whole, however long. Columns other than doc_id and
+text are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -41,6 +44,13 @@ NOTICES = {
     "this work is licensed under a creative commons attribution": "cc-notice",
     "mozilla public license": "mpl",
     "all rights reserved": "reserved",
+    "gnu lesser general public license": "lgpl",
+    "gnu affero general public license": "agpl",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc-notice",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "the software is provided as is without warranty of any kind express or implied": "as-is",
+    "boost software license": "bsl",
+    "eclipse public license": "epl",
 }
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -82,17 +92,20 @@ def spans(found: DataFrame) -> DataFrame:
     """Verified spans ``(doc_id, tk, template, label, phrase, start, end, score, exact)``;
     word positions, end exclusive. Exact places are spans of their own."""
     doc = ["doc_id", "tk", "template", "label", "phrase", "n_template"]
-    votes = found.dropDuplicates(["doc_id", "tk", "template", "at", "pos"]).withColumn("diagonal", F.col("pos") - F.col("at"))
-    votes = votes.groupBy(*doc, "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
-    exact = votes.filter(F.col("votes") == F.col("n_template") - 1)
+    votes = found.withColumn("diagonal", F.col("pos") - F.col("at"))
+    votes = votes.groupBy(*doc, "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    full = F.col("n_template") - 1
+    exact = votes.filter(F.size("ats") == full)
     places = exact.select("doc_id", "tk", "template", "label", "phrase", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n_template")).alias("end"), F.lit(1.0).alias("score"), F.lit(True).alias("exact"))
     along = Window.partitionBy("doc_id", "tk", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT).cast("int"), F.lit(1))
-    islands = votes.filter("not phrase").withColumn("island", F.sum(apart).over(along))
-    merged = islands.groupBy(*doc, "island").agg(F.sum("votes").alias("votes"), F.max("votes").alias("most"), F.min("low").alias("start"), (F.max("high") + 2).alias("end"))
-    score = F.least(F.lit(1.0), F.col("votes") / (F.col("n_template") - 1))
-    fits = (F.col("most") < F.col("n_template") - 1) & (score >= SHARE) & (F.col("end") - F.col("start") <= F.col("n_template") * 1.5 + DRIFT)
-    near = merged.filter(fits).select("doc_id", "tk", "template", "label", "phrase", "start", "end", score.alias("score"), F.lit(False).alias("exact"))
+    ahead = along.rangeBetween(0, DRIFT)
+    merged = votes.filter("not phrase").withColumn("island", F.sum(apart).over(along)).withColumns({
+        "votes": F.size(F.array_distinct(F.flatten(F.collect_list("ats").over(ahead)))), "start": F.min("low").over(ahead), "end": F.max("high").over(ahead) + 2, "whole": F.size("ats") == full,
+    })
+    best = merged.groupBy(*doc, "island").agg(F.bool_or("whole").alias("whole"), F.max_by(F.struct("votes", "start", "end"), F.struct("votes", -F.col("diagonal"))).alias("b"))
+    score = F.col("b.votes") / full
+    near = best.filter(~F.col("whole") & (score >= SHARE)).select("doc_id", "tk", "template", "label", "phrase", "b.start", "b.end", score.alias("score"), F.lit(False).alias("exact"))
     return places.unionByName(near)
 
 
