@@ -10,15 +10,21 @@ whole vector first, then over 4 and 16 segments; candidates that can't reach the
 k-th best score found so far fall out at each level, and only the survivors get
 their exact integer score, so nothing is lost.
 
-Rows are packed into blocks where they lie; blocks of candidates are dealt into
-parts, one task each, and blocks of queries go to every part. A pair of blocks meets
-once and gives its own top k, and these merge by query. Nothing is collected, and memory is one pair of blocks.
+Rows are packed into blocks where they lie, with their statistics. Blocks of candidates
+are dealt into as many parts as there are shuffle partitions, and blocks of queries go to
+every part. In a part the blocks of candidates come in a row for each block of queries,
+whose best scores so far are carried on and prune the next ones; a part gives its own top
+k for each query, and these merge by query. Nothing is collected, and memory is one pair
+of blocks.
 
 Vectors that are null or empty or hold a null or a non-finite component, or a
 null id, take no part. Vectors of another length than the query's aren't its
 candidates. All rows with the query's id are its own; repeated rows are repeated
 candidates, a repeated query (same id and vector) is asked once. Ties go to the
-smaller id. Queries without candidates have no row.
+smaller id. Queries without candidates have no row. An empty table gives an empty
+result; columns other than vec_id and embedding are not read, so none can clash. Vectors
+of any length work. A component or a result's score that doesn't fit a long (finite components
+over about a million, for most lengths) fails the query with a message that says so.
 """
 
 from __future__ import annotations
@@ -30,11 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import small_batches
+from tapewright.llm.common import partitions, small_batches
 
 SCALE, BLOCK, LEVELS = 256, 1024, (1, 4, 16)
-#: About so many candidates are dealt into one part.
-PART_ROWS = 1 << 15
+_FITS = 1 << 62
 #: Above this product of norms, double precision can't hold every integer.
 _EXACT = float(1 << 53)
 
@@ -44,16 +49,30 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite)
 
 
+def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row and segment: mean times the root of the length, and deviation norm. A
+    bound is then the inner product of the first plus that of the second."""
+    parts = np.array_split(np.arange(x.shape[1]), min(segments, x.shape[1]))
+    mean = np.stack([x[:, p].mean(axis=1) for p in parts], axis=1)
+    spread = np.stack([np.sqrt(((x[:, p] - m[:, None]) ** 2).sum(axis=1)) for p, m in zip(parts, mean.T)], axis=1)
+    return mean * np.sqrt([len(p) for p in parts]), spread
+
+
 def _packed(vectors: DataFrame, scale: int) -> DataFrame:
-    """Blocks ``(dim, ids, data)`` of up to BLOCK vectors of one length, as int64 bytes."""
+    """Blocks ``(dim, ids, data, stats)`` of up to BLOCK vectors of one length: int64 bytes,
+    and the statistics of all levels side by side as float64 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
 
         def block(dim: int) -> pa.RecordBatch:
             rows = held.pop(dim)
-            ids, data = np.array([i for i, _ in rows], "<i8"), np.stack([x for _, x in rows]).astype("<i8")
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["dim", "ids", "data"])
+            ids, data = np.array([i for i, _ in rows], "<i8"), np.stack([x for _, x in rows])
+            if np.abs(data).max() >= _FITS:
+                raise ValueError(f"a component times {scale} doesn't fit a long")
+            stats = np.concatenate([x for level in LEVELS for x in statistics(data, level)], axis=1)
+            columns = [ids, data.astype("<i8"), stats.astype("<f8")]
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["dim", "ids", "data", "stats"])
 
         for b in batches:
             for i, x in zip(b.column("vec_id").to_pylist(), b.column("embedding")):
@@ -64,46 +83,52 @@ def _packed(vectors: DataFrame, scale: int) -> DataFrame:
         for dim in list(held):
             yield block(dim)
 
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "dim int, ids binary, data binary")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "dim int, ids binary, data binary, stats binary")
 
 
-def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row and segment: mean times the root of the length, and deviation norm. A
-    bound is then the inner product of the first plus that of the second."""
-    parts = np.array_split(np.arange(x.shape[1]), min(segments, x.shape[1]))
-    mean = np.stack([x[:, p].mean(axis=1) for p in parts], axis=1)
-    spread = np.stack([np.sqrt(((x[:, p] - m[:, None]) ** 2).sum(axis=1)) for p, m in zip(parts, mean.T)], axis=1)
-    return mean * np.sqrt([len(p) for p in parts]), spread
+class Block:
+    """Vectors of one length, their ids, and per level the two halves of the bound."""
+
+    def __init__(self, dim: int, ids: bytes, data: bytes, stats: bytes):
+        self.ids, self.data = np.frombuffer(ids, "<i8"), np.frombuffer(data, "<i8").reshape(-1, dim)
+        self.floats = self.data.astype("float64")
+        self.norm = float(np.linalg.norm(self.floats, axis=1).max())
+        stats, at, self.levels = np.frombuffer(stats, "<f8").reshape(len(self.ids), -1), 0, []
+        for level in LEVELS:
+            # mean and spread side by side: a bound is one inner product
+            width = 2 * min(level, dim)
+            self.levels.append(stats[:, at : at + width])
+            at += width
 
 
-def block_top_k(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """``(query id, id, score)`` of each query's best k of one block of candidates."""
-    out = []
-    qf, cf = q.astype("float64"), c.astype("float64")
-    safe = np.linalg.norm(qf, axis=1).max() * np.linalg.norm(cf, axis=1).max() < _EXACT
-    levels = [(statistics(qf, s), statistics(cf, s)) for s in LEVELS]
-    (qm, qs), (cm, cs) = levels[0]
-    coarse = qm @ cm.T + qs @ cs.T
+def best_so_far(q: Block, c: Block, k: int, held: list[list[tuple[int, int]]]) -> None:
+    """Merge each query's best ``(-score, id)`` of one more block of candidates into ``held``."""
+    safe = q.norm * c.norm < _EXACT
+    coarse = q.levels[0] @ c.levels[0].T
     # rounding in the bounds: far under one unit of an integer score unless the values are huge
     slack = 1e-9 * (1 + np.abs(coarse).max())
-    for r in range(len(q)):
-        alive = np.flatnonzero(c_ids != q_ids[r])
-        if not len(alive):
-            continue
+    for r in range(len(q.ids)):
 
         def exact(at: np.ndarray) -> np.ndarray:
-            return (cf[at] @ qf[r]).astype("int64") if safe else np.array([sum(int(a) * int(b) for a, b in zip(c[i], q[r])) for i in at], object)
-
-        seed = alive[np.argsort(-coarse[r, alive], kind="stable")[: 4 * k]]
-        cut = np.sort(exact(seed))[::-1][: k][-1] if len(seed) >= k else None
-        if cut is not None:
-            alive = alive[coarse[r, alive] >= float(cut) - slack]
-            for (qm, qs), (cm, cs) in levels[1:]:
-                alive = alive[cm[alive] @ qm[r] + cs[alive] @ qs[r] >= float(cut) - slack]
-        score = exact(alive)
-        best = np.lexsort((c_ids[alive], -score))[:k]
-        out += [(int(q_ids[r]), int(c_ids[alive[i]]), int(score[i])) for i in best]
-    return out
+            if safe:
+                return (c.floats[at] @ q.floats[r]).astype("int64")
+            return np.array([sum(int(a) * int(b) for a, b in zip(c.data[i], q.data[r])) for i in at], object)
+
+        alive = np.flatnonzero(c.ids != q.ids[r])
+        if len(held[r]) < k:
+            seed = alive[np.argsort(-coarse[r, alive], kind="stable")[: 4 * k]]
+            known = sorted([-s for s, _ in held[r]] + exact(seed).tolist(), reverse=True)
+        else:
+            known = [-s for s, _ in held[r]]
+        if len(known) >= k:
+            cut = float(known[k - 1]) - slack
+            for n, level in enumerate(c.levels):
+                bound = coarse[r, alive] if n == 0 else level[alive] @ q.levels[n][r]
+                alive = alive[bound >= cut]
+        if len(alive):
+            score = exact(alive)
+            top = np.lexsort((c.ids[alive], -score))[:k]
+            held[r] = sorted([*held[r], *((-int(score[i]), int(c.ids[alive[i]])) for i in top)])[:k]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE) -> DataFrame:
@@ -113,25 +138,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE
         raise ValueError("k is at least 1")
     small_batches(vectors.sparkSession)
     asked = usable(queries.select("vec_id", "embedding")).dropDuplicates(["vec_id", "embedding"])
-    q = _packed(asked, scale).toDF("q_dim", "q_ids", "q_data")
+    q = _packed(asked, scale).toDF("q_dim", "q_ids", "q_data", "q_stats")
     c = _packed(usable(vectors.select("vec_id", "embedding")), scale)
     # blocks of candidates are dealt into parts, blocks of queries go to every part
-    parts = max(16, -(-vectors.count() // PART_ROWS))
+    parts = max(16, partitions(vectors.sparkSession))
     c = c.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).repartition(parts, "dim", "part")
-    q = q.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts, "q_dim", "q_part")
+    q = q.withColumns({"q_part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "q_block": F.xxhash64("q_ids", "q_data")}).repartition(parts, "q_dim", "q_part")
     pairs = c.join(q, (F.col("dim") == F.col("q_dim")) & (F.col("part") == F.col("q_part")))  # of blocks, not rows
+    pairs = pairs.select("dim", "part", "ids", "data", "stats", "q_block", "q_ids", "q_data", "q_stats").sortWithinPartitions("dim", "part", "q_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, q, held = None, None, []
+
+        def found() -> pa.RecordBatch:
+            rows = [(int(i), v, -s) for i, best in zip(q.ids, held) for s, v in best]
+            if any(abs(s) >= 1 << 63 for _, _, s in rows):
+                raise ValueError("a score doesn't fit a long")
+            return pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], pa.int64()) for n in range(3)], ["query_id", "vec_id", "score"])
+
         for b in batches:
-            for p in b.to_pylist():
-                d = p["dim"]
-                ids = lambda name: np.frombuffer(p[name], "<i8")  # noqa: B023, E731
-                got = block_top_k(ids("q_ids"), ids("q_data").reshape(-1, d), ids("ids"), ids("data").reshape(-1, d), k)
-                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in got], pa.int64()) for n in range(3)], ["query_id", "vec_id", "score"])
+            for i in range(b.num_rows):
+                p = {n: b.column(n)[i].as_py() for n in ("dim", "part", "q_block")}
+                get = lambda *names: [b.column(n)[i].as_py() for n in names]  # noqa: B023, E731
+                if p != now:
+                    if q is not None:
+                        yield found()
+                    now, q = p, Block(p["dim"], *get("q_ids", "q_data", "q_stats"))
+                    held = [[] for _ in q.ids]
+                best_so_far(q, Block(p["dim"], *get("ids", "data", "stats")), k, held)
+        if q is not None:
+            yield found()
 
-    found = pairs.select("dim", "ids", "data", "q_ids", "q_data").mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = pairs.mapInArrow(run, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
