@@ -5,7 +5,8 @@ and one for its first ``PREFIX`` characters, so that unseen endings of a known
 stem still mean something. Filters of widths 1, 2 and 3 run over the words of the
 whole text, each filter keeps its maximum, and a logistic layer reads the maxima.
 Everything is trained with numpy on a bounded sample of labelled rows
-(``max_positive`` and ``max_negative``, chosen by a hash of the id); scoring runs
+(``max_positive`` and ``max_negative`` rows, chosen by a hash of the id, as far as their
+texts have ``max_chars`` characters together); scoring runs
 in Arrow batches over all rows. A model is about two megabytes whatever the input.
 
 Scores depend on the text alone. They are shifted so that 0.5 is the best cut on
@@ -15,26 +16,31 @@ language, which callers may apply to the score (the pipeline does).
 Null text counts as empty; a text without words scores like any other. Rows
 without label, or with a null label or id, teach nothing. With no labelled rows
 of either class the score is the constant share of label 1 (0 without any).
-Repeated rows give repeated scores; repeated labels of one id: the larger one.
+Repeated rows give repeated scores; of repeated labels of one id the larger one counts,
+of its repeated texts the smallest one teaches. An empty table gives an empty result.
+Whole texts are scored, however long; other columns pass through ``drop_toxic``.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tapewright.llm.common import small_batches
 
 BUCKETS, DIM, WIDTHS, FILTERS, PREFIX = 1 << 15, 8, (1, 2, 3), 8, 5
 #: Bounds of the training sample, in rows of each class.
 MAX_POSITIVE, MAX_NEGATIVE = 1500, 3500
+#: Bound of its texts, in characters; whole texts or none.
+MAX_CHARS = 64_000_000
 #: Words whose embeddings a worker keeps.
 KEPT_WORDS = 300_000
 #: Words convolved at once.
@@ -212,27 +218,32 @@ def train(texts: list[str | None], labels: np.ndarray, langs: list[str | None],
     return m
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> DataFrame:
-    """A bounded sample of labelled rows that are not held out: text, lang, toxic."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_chars: int = MAX_CHARS) -> DataFrame:
+    """A bounded sample of labelled rows that are not held out: doc_id, text, lang, toxic."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = F.xxhash64("doc_id")
     chosen = [known.filter(F.col("toxic") == y).orderBy(draw, "doc_id").limit(n) for y, n in ((1, max_positive), (0, max_negative))]
     chosen = chosen[0].unionByName(chosen[1])
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    return docs.select("doc_id", "text", lang).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "toxic")
+    found = docs.select("doc_id", "text", lang).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("d"), F.first("toxic").alias("toxic"))
+    # one task sees the sample's lengths: its rows are bounded
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sized = found.withColumn("upto", F.sum(F.coalesce(F.length("d.text"), F.lit(0))).over(upto))
+    return sized.filter(F.col("upto") <= max_chars).select("doc_id", "d.text", "d.lang", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Model:
-    """Train on at most ``max_positive + max_negative`` rows, which come to the driver."""
-    got = training_rows(docs, labels, max_positive, max_negative).toArrow().sort_by("doc_id")
+def fit(docs: DataFrame, labels: DataFrame, **sample) -> Model:
+    """Train on the rows of ``training_rows``, which come to the driver."""
+    got = training_rows(docs, labels, **sample).toArrow().sort_by("doc_id")
     return train(got["text"].to_pylist(), np.array(got["toxic"].to_pylist(), "float64"), got["lang"].to_pylist())
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``toxicity`` (0 to 1), from ``text`` alone. Narrow."""
+def score_documents(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -> DataFrame:
+    """``keep`` (all) columns of ``docs`` and ``toxicity`` (0 to 1), from ``text`` alone. Narrow."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = list(docs.columns if keep is None else keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -241,11 +252,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             ids = [words.ids(t) for t in b.column("text").to_pylist()]
             scores = m.scores(ids, words.vectors())
             words.shed()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, "toxicity"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("toxicity", DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -262,7 +271,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
     ``rejected`` (score at or over its language's cut)."""
     model = fit(docs, labels, **sample)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    scored = score_documents(docs.select("doc_id", "text", lang), model)
+    scored = score_documents(docs.select("doc_id", "text", lang), model, ("doc_id", "lang"))
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
