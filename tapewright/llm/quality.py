@@ -8,7 +8,8 @@ that all rules pass. Documents that fail a hard base rule are never kept.
 
 Null text has no words. Counts of repeated words come from 8-word windows, hashed
 twice over within the row; no window leaves its document. Repeated rows vote
-repeatedly. An empty table gives an empty result.
+repeatedly; a null id is an id. An empty table gives an empty result. Whole texts are
+measured, however long; columns other than doc_id and text are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -75,22 +76,25 @@ def rules() -> dict[str, Column]:
 
 def fit_label_model(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, float]]:
     """Class share and rule accuracies from vote columns ``names``, by expectation-
-    maximisation over pattern counts. The driver sees one row of sums per round."""
-    patterns = materialize(votes.groupBy(*names).agg(F.count("*").alias("n")))
-    share, accuracy = 0.8, dict.fromkeys(names, 0.8)
-    for _ in range(rounds):
-        p = posterior(share, accuracy)
-        sums = [F.sum(F.col("n")).alias("n"), F.sum(F.col("n") * p).alias("good")]
-        for k in names:
-            right = F.when(F.col(k) == 1, p).when(F.col(k) == -1, 1 - p).otherwise(F.lit(0.0))
-            sums += [F.sum(F.col("n") * right).alias(f"r_{k}"), F.sum(F.when(F.col(k) != 0, F.col("n")).otherwise(0)).alias(f"n_{k}")]
-        got = patterns.agg(*sums).first()
-        if not got["n"]:
-            break
+    maximisation. Spark counts the patterns of votes; at most 3 to the number of rules
+    of them, whatever the input, come to the driver, where the rounds run."""
+    patterns = [tuple(r) for r in votes.groupBy(*names).agg(F.count("*").alias("n")).collect()]
+    share, accuracy = 0.8, [0.8] * len(names)
+    for _ in range(rounds if patterns else 0):
+        total = good = 0.0
+        right, cast = [0.0] * len(names), [0] * len(names)
+        for *vote, n in sorted(patterns):
+            logit = math.log(share / (1 - share)) + sum(v * math.log(a / (1 - a)) for v, a in zip(vote, accuracy))
+            p = 1 / (1 + math.exp(-logit))
+            total, good = total + n, good + n * p
+            for k, v in enumerate(vote):
+                if v:
+                    right[k] += n * (p if v == 1 else 1 - p)
+                    cast[k] += n
         # a rule is taken to be better than chance, and no estimate becomes certain
-        share = min(0.99, max(0.01, (got["good"] + 1) / (got["n"] + 2)))
-        accuracy = {k: min(0.98, max(0.55, (got[f"r_{k}"] + 2) / (got[f"n_{k}"] + 3))) for k in names}
-    return share, accuracy
+        share = min(0.99, max(0.01, (good + 1) / (total + 2)))
+        accuracy = [min(0.98, max(0.55, (r + 2) / (c + 3))) for r, c in zip(right, cast)]
+    return share, dict(zip(names, accuracy))
 
 
 def posterior(share: float, accuracy: dict[str, float]) -> Column:

@@ -10,7 +10,9 @@ double SHA-256. A string of these formats whose checksum fails is not reported.
 
 Matches of a kind are leftmost and don't overlap; matches that fail a length or a
 checksum use up their place all the same. Offsets are code points, ends exclusive.
-Null text counts as empty. Repeated rows give repeated results. Narrow, no shuffle.
+Null text counts as empty. Repeated rows give repeated results; an empty table gives an
+empty one. Whole texts are scanned, however long; columns other than doc_id and text are
+not read, so none can clash. Narrow, no shuffle.
 """
 
 from __future__ import annotations
