@@ -4,21 +4,35 @@ A document's 64-bit fingerprint has a bit set where over half of its shingles'
 XXH64 hashes have it. Fingerprints that differ in at most ``max_bits`` (2) bits
 are linked, and linked documents form groups.
 
-Candidates come from an inverted index over byte positions. Two bits can spoil
-at most two of the eight bytes, so of the four two-byte blocks at least two agree
-whole: a posting holds two blocks (four positional bytes; lists of one byte would
-grow with the square of the input). Pairs that share a posting are tallied on all
-eight positional bytes, those with at least ``8 - max_bits`` equal ones are kept,
-and their bits are counted. A posting list longer than ``MAX_POSTING`` is never
-paired up: its members are written under themselves and their 64 one-bit
-neighbours instead. Two fingerprints meet under such a key exactly if they differ
-in at most two bits, and no key has over 65 members, so that path is exact and
-linear.
-
-Exact copies and equal fingerprints collapse before any of this. Null text and a
-text without words have fingerprint zero. A null doc_id takes part in the links
-but never names a group unless all ids of the group are null. Repeated rows give
-repeated results.
+Candidates come from an inverted index over byte positions. Lists of one byte would
+grow with the square of the input, so a posting holds the bytes at four positions.
+Of the 70 sets of four positions the index takes the 14 whose numbers (0 to 7) XOR to
+zero. Two positions lie in three of these, and three in one, so two fingerprints share
+three postings or more exactly if they share six bytes or more, one if they share five,
+and one or none with four. Postings are tallied for each pair; two differing bits leave
+six bytes equal, so pairs that reach a tally of three are retained and their bits
+counted.
+
+A list of more than ``MAX_POSTING`` members is split by two more of its bytes, in all
+six ways: members within two bits share two of the other four bytes at least, and so
+meet; they count once for the list. Fingerprints that agree on six bytes and still make
+such a long list differ in 16 known bits: they are written under themselves and their
+16 one-bit neighbours, and two meet under one of these exactly if they are within two
+bits. That path is linear, and its pairs have the six bytes that a tally has to show.
+
+Equal fingerprints are one node before any of this. Null text and a text without words
+have fingerprint zero. A null doc_id takes part in the links but never names a group
+unless all ids of the group are null. Repeated rows give repeated results. An empty table
+gives an empty result. Texts of any length are one row's work; columns other than
+doc_id and text pass through ``drop_near_duplicates``, names that begin with ``__tw_``
+are the operator's own.
+
+With a ``similarity`` texts are compared themselves. Nodes are sets of shingles (copies
+are one node); ``tables`` fingerprints of a node come from as many hash functions, and
+its postings hold ``equal_bytes`` (3) positional bytes of one of them: candidates share
+that many in one table and differ there in at most ``max_bits``. What is found is
+verified by exact Jaccard similarity, so no false link is made; links can be missed,
+since texts just over 0.8 often share fewer bytes (the README has figures).
 """
 
 from __future__ import annotations
@@ -28,15 +42,37 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tapewright.llm.common import materialize, small_batches, spread_join
+from tapewright.llm.common import frequent, materialize, partitions, release, small_batches, spread_join
 
 SEED = 42
 #: Longest posting list whose members are paired up.
 MAX_POSTING = 48
+#: Four of the eight byte positions, so that each three positions lie in one set.
+QUADS = tuple(q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0)
+
+
+def least_tally(max_bits: int) -> int:
+    """Postings that two fingerprints share at least if at most ``max_bits`` bits differ."""
+    return min(sum(not set(q) & set(spoilt) for q in QUADS) for spoilt in combinations(range(8), max_bits))
+
+
+def _wide(positions) -> int:
+    """Mask over the bytes at these positions."""
+    return sum(0xFF << 8 * i for i in positions)
+
+
+def _long(x: int) -> Column:
+    """Literal of 64 bits."""
+    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+
+
+def _equal_bytes(x: Column) -> Column:
+    """Bit i is set if byte i of the XOR ``x`` is zero."""
+    return sum(F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(0xFF)) == 0, 1 << i).otherwise(0) for i in range(8))
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -81,21 +117,32 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("do
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def _sketches(docs: DataFrame, shingle: int, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` columns, ``fp`` and ``sk``, a hash of the set of shingles; narrow."""
+def _remixed(h: np.ndarray, table: int) -> np.ndarray:
+    """Hashes as another hash function would give them; table 0 leaves them alone."""
+    if table:
+        with np.errstate(over="ignore"):
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(2 * table * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+    return h
+
+
+def _sketches(docs: DataFrame, shingle: int, tables: int, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns, ``sk``, a hash of the set of shingles, and ``fp0`` and on, a
+    fingerprint for each table; narrow."""
     small_batches(docs.sparkSession)
-    keep = list(keep)
+    keep, prints = list(keep), [f"fp{k}" for k in range(tables)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
             hashes = [shingle_hashes(t, shingle) for t in b.column("text").to_pylist()]
-            fp = np.array([_majority(h) for h in hashes], np.uint64).view(np.int64)
             sk = np.array([xxhash.xxh64_intdigest(np.unique(h).astype("<u8").tobytes(), SEED) for h in hashes], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp), pa.array(sk)], [*keep, "fp", "sk"])
+            fps = [np.array([_majority(_remixed(h, k)) for h in hashes], np.uint64).view(np.int64) for k in range(tables)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sk), *map(pa.array, fps)], [*keep, "sk", *prints])
 
-    schema = StructType([*(docs.schema[c] for c in keep), StructField("fp", LongType()), StructField("sk", LongType())])
+    schema = StructType([*(docs.schema[c] for c in keep), *(StructField(c, LongType()) for c in ("sk", *prints))])
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
@@ -125,41 +172,41 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return one.join(texts.select(F.col("sk").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, max_bits: int, similarity: float) -> DataFrame:
-    """``(node, root)`` of every linked one of the distinct ``nodes(sk, fp)``. Nodes are
-    linked if at most ``max_bits`` (1 to 5) bits differ and their texts, which
-    ``texts_of`` finds for a table of ``sk``, are verified.
+def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, tables: int, equal_bytes: int, max_bits: int, similarity: float) -> DataFrame:
+    """``(node, root)`` of every linked one of the distinct ``nodes(sk, fp0, ..)``. Nodes
+    are candidates if they share ``equal_bytes`` (3 to 8) positional bytes of a table's
+    fingerprint and differ there in at most ``max_bits``, and linked if their texts,
+    which ``texts_of`` finds for a table of ``sk``, are verified.
 
-    So many bits leave ``8 - max_bits`` bytes equal, so a posting holds as many. A pair
-    is taken from the posting of its first equal bytes. In a list longer than
+    A pair is taken from the posting of its first equal bytes. In a list longer than
     ``MAX_POSTING`` each member is first verified against one of them; then only pairs
     that are not yet in one group are compared, and all of these."""
-    if not 1 <= max_bits <= 5:
+    if not 3 <= equal_bytes <= 8:
         raise ValueError("lists of under three bytes grow with the square of the input")
-    masks = []
-    for at in combinations(range(8), 8 - max_bits):
-        wide = sum(0xFF << 8 * i for i in at)
-        masks.append(F.struct(F.lit(sum(1 << i for i in at)).alias("mask"), F.lit(wide - (1 << 64) if wide >> 63 else wide).alias("wide")))
-    key = ["mask", "value"]
-    every = nodes.select("sk", "fp", F.explode(F.array(*masks)).alias("m")).select("sk", "fp", "m.mask", F.col("fp").bitwiseAND(F.col("m.wide")).alias("value"))
-    sizes = materialize(every.groupBy(key).agg(F.count("*").alias("n"), F.min("sk").alias("leader"), F.min_by("fp", "sk").alias("leader_fp")).filter("n > 1"))
-    posted = materialize(every.join(sizes, key))
-    bits = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= max_bits
+    sets = list(combinations(range(8), equal_bytes))
+    keys = [F.struct(F.lit(t * len(sets) + m).alias("list"), F.col(f"fp{t}").bitwiseAND(_long(_wide(at))).alias("value"), F.col(f"fp{t}").alias("fp")) for t in range(tables) for m, at in enumerate(sets)]
+    key = ["list", "value"]
+    every = nodes.select("sk", F.explode(F.array(*keys)).alias("m")).select("sk", "m.*")
+    sizes = every.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+    # a merge join at every size; lists that own many rows are split by adaptive execution
+    posted = materialize(every.join(sizes.hint("merge"), key))
+    mask = F.element_at(F.array(*(F.lit(sum(1 << i for i in at)) for at in sets)), F.pmod(F.col("list"), F.lit(len(sets))) + 1)
 
     def paired(d: DataFrame, *more: str) -> DataFrame:
         left, right = (d.select(*key, *(F.col(c).alias(f"{side}_{c}") for c in ("sk", "fp", *more))) for side in "ab")
-        x = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
-        equal = sum(F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(0xFF)) == 0, 1 << i).otherwise(0) for i in range(8))
-        upto = F.col("mask")
+        x, upto = F.col("a_fp").bitwiseXOR(F.col("b_fp")), F.col("mask")
         for k in (1, 2, 4):
             upto = upto.bitwiseOR(F.shiftright(upto, k))
-        near = left.join(right, key).filter("a_sk < b_sk").filter(bits("a_fp", "b_fp")).filter(equal.bitwiseAND(upto) == F.col("mask"))
+        near = left.join(right, key).filter("a_sk < b_sk").filter(F.bit_count(x) <= max_bits).withColumn("mask", mask)
+        near = near.filter(_equal_bytes(x).bitwiseAND(upto) == F.col("mask"))
         for c in more:
             near = near.filter(F.col(f"a_{c}") != F.col(f"b_{c}"))
         return near.select(F.col("a_sk").alias("a"), F.col("b_sk").alias("b"))
 
     crowded = posted.filter(F.col("n") > MAX_POSTING)
-    star = crowded.filter("leader <> sk").filter(bits("leader_fp", "fp")).select(F.col("leader").alias("a"), F.col("sk").alias("b"))
+    leaders = crowded.groupBy(key).agg(F.min("sk").alias("leader"), F.min_by("fp", "sk").alias("leader_fp"))
+    star = crowded.join(leaders, key).filter("leader <> sk").filter(F.bit_count(F.col("leader_fp").bitwiseXOR(F.col("fp"))) <= max_bits)
+    star = star.select(F.col("leader").alias("a"), F.col("sk").alias("b"))
     pairs = materialize(paired(posted.filter(F.col("n") <= MAX_POSTING)).unionByName(star).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sk")).unionByName(crowded.select("sk")).distinct()
     texts = materialize(texts_of(wanted))
@@ -168,49 +215,55 @@ def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     owned = crowded.select(*key, "sk", "fp").join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
     mixed = owned.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(*key)
     left = materialize(owned.join(mixed, key))
-    if left.isEmpty():
-        return roots
-    more = verified(materialize(paired(left, "root").distinct()), texts, shingle, similarity)
-    return materialize(components(edges.unionByName(more)))
-
-
-def _postings(prints: DataFrame) -> DataFrame:
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = [F.struct(F.lit(n).alias("blocks"), F.shiftleft(block[i], 16).bitwiseOR(block[j]).alias("value")) for n, (i, j) in enumerate(combinations(range(4), 2))]
-    return prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.blocks", "k.value")
+    if not left.isEmpty():
+        more = verified(materialize(paired(left, "root").distinct()), texts, shingle, similarity)
+        roots = materialize(components(edges.unionByName(more)))
+    release(posted, pairs, texts, edges, left)
+    return roots
 
 
 def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     """Links ``(a, b)`` among distinct fingerprints ``prints(fp)`` that span the same
-    groups as all pairs within ``max_bits`` (at most 2) differing bits."""
-    if not 0 <= max_bits <= 2:
-        raise ValueError("the postings guarantee two equal blocks for at most 2 bits")
-    key = ["blocks", "value"]
-    sizes = materialize(_postings(prints).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"))
-    short = _postings(prints).join(sizes.filter(F.col("n") <= MAX_POSTING).drop("n"), key)
-    short = materialize(short)
-    left, right = short.withColumnRenamed("fp", "a"), short.withColumnRenamed("fp", "b")
-    equal_bytes = sum(
-        (F.shiftrightunsigned(F.col("a").bitwiseXOR(F.col("b")), 8 * i).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for i in range(8)
-    )
-    near = (
-        left.join(right, key)
-        .filter("a < b")
-        .filter(equal_bytes >= 8 - max_bits)
-        .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-        .select("a", "b")
-    )
-    crowded = _postings(prints).join(sizes.filter(F.col("n") > MAX_POSTING).drop("n"), key).select("fp").distinct()
-    if max_bits == 2:
-        flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)))
-        around = crowded.select("fp", F.explode(flips).alias("m"))
-        star = around.groupBy("m").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-        star = star.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b")
-    elif max_bits == 1:
-        flips = F.array(*(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)))
-        star = crowded.select(F.col("fp").alias("a"), F.explode(flips).alias("b")).join(crowded.withColumnRenamed("fp", "b"), "b").filter("a < b").select("a", "b")
-    else:
-        return near
+    groups as all pairs within ``max_bits`` (1 or 2) differing bits."""
+    if not 1 <= max_bits <= 2:
+        raise ValueError("long lists are split for 1 or 2 differing bits")
+    key = ["list", "value"]
+    quads = [F.struct(F.lit(m).alias("list"), F.col("fp").bitwiseAND(_long(_wide(q))).alias("value")) for m, q in enumerate(QUADS)]
+    every = prints.select("fp", F.explode(F.array(*quads)).alias("k")).select("fp", "k.*")
+    sizes = every.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+    posted = materialize(every.join(sizes.hint("merge"), key))
+
+    def met(d: DataFrame, key: list[str]) -> DataFrame:
+        left, right = d.select(*key, F.col("fp").alias("a")), d.select(*key, F.col("fp").alias("b"))
+        return left.join(right, key).filter("a < b")
+
+    # lists that are too long: once for each two of the other four bytes
+    ways = [[F.struct(F.lit(n).alias("way"), F.col("fp").bitwiseAND(_long(_wide([*q, *two]))).alias("six"), F.lit(sum(1 << i for i in two)).alias("two"), _long(_wide(set(range(8)) - {*q, *two})).alias("free")) for n, two in enumerate(combinations([i for i in range(8) if i not in q], 2))] for q in QUADS]
+    way = F.element_at(F.array(*(F.array(*w) for w in ways)), F.col("list") + 1)
+    split = posted.filter(F.col("n") > MAX_POSTING).select("fp", "list", F.explode(way).alias("w")).select("fp", "list", "w.*")
+    fine = ["list", "way", "six"]
+    longer = split.groupBy(fine).agg(F.count("*").alias("n")).filter("n > 1")
+    split = materialize(split.join(longer, fine))
+    others = F.element_at(F.array(*(F.lit(0xFF - sum(1 << i for i in q)) for q in QUADS)), F.col("list") + 1)
+    # of the ways in which a pair meets in one list, the first counts: its two bytes are the lowest equal ones
+    same = _equal_bytes(F.col("a").bitwiseXOR(F.col("b"))).bitwiseAND(others)
+    lowest = same.bitwiseAND(-same)
+    rest = same - lowest
+    parted = met(split.filter(F.col("n") <= MAX_POSTING), [*fine, "two"]).filter(F.col("two") == lowest + rest.bitwiseAND(-rest))
+    both = met(posted.filter(F.col("n") <= MAX_POSTING), key).select("a", "b").unionByName(parted.select("a", "b"))
+    tallied = both.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least_tally(max_bits))
+    near = tallied.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
+
+    # lists of six equal bytes that are still too long
+    dense = split.filter(F.col("n") > MAX_POSTING).select("fp", "free").distinct()
+    bits = F.array(*(_long(1 << i) for i in range(64)))
+    flips = F.transform(F.filter(bits, lambda b: b.bitwiseAND(F.col("free")) != 0), lambda b: F.col("fp").bitwiseXOR(b))
+    around = dense.select("fp", "free", F.explode(F.concat(F.array("fp"), flips)).alias("middle"))
+    meet = around.groupBy("free", "middle").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)  # 17 members at most
+    if max_bits == 1:
+        meet = meet.filter(F.array_contains("fps", F.col("middle")))
+    centre = F.col("middle") if max_bits == 1 else F.array_min("fps")
+    star = meet.select(centre.alias("c"), F.explode("fps").alias("m")).filter("c <> m").select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
     return near.unionByName(star).distinct()
 
 
@@ -220,14 +273,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     each round is written to the shared folder."""
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
+
+    def lowered(all_edges: DataFrame, lowest: DataFrame) -> DataFrame:
+        lowest = materialize(lowest)
+        # at most eight hubs for each partition
+        hot = lowest.filter(F.col("n") >= max(2, all_edges.count() // (8 * partitions(all_edges.sparkSession)))).select("a")
+        return spread_join(all_edges, lowest.drop("n"), "a", "b", hot)
+
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = spread_join(both, lowest, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        lowest = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = lowered(both, lowest).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = materialize(large)
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = spread_join(large, lowest, "a", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = materialize(small.select("e.a", "e.b").filter("a <> b").distinct())
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = lowered(large, lowest).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        before, edges = edges, materialize(small.select("e.a", "e.b").filter("a <> b").distinct())
+        release(before, large)
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
         if now == state:
             break
@@ -246,15 +307,21 @@ def classes(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     named = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left")
     grouped = materialize(named.select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return materialize(spread_join(grouped, smallest, "root", "fp").select("fp", "root", "component_id"))
+    return materialize(spread_join(grouped, smallest, "root", "fp", frequent(grouped, "root")).select("fp", "root", "component_id"))
+
+
+def _classed(prints: DataFrame, max_bits: int, by: str) -> DataFrame:
+    """``prints(doc_id, fingerprint, ..)`` with their class; rows of a fingerprint that
+    many documents share are dealt over all partitions."""
+    prints = prints.withColumnRenamed("fingerprint", "fp")
+    return spread_join(prints, classes(prints.select("doc_id", F.col("fp").alias("fingerprint")), max_bits), "fp", by, frequent(prints, "fp"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex digits),
     component_id (smallest doc_id reachable over links, its own included)."""
-    prints = materialize(fingerprints(docs, shingle))
-    out = prints.join(classes(prints, max_bits), F.col("fingerprint") == F.col("fp"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    out = _classed(materialize(fingerprints(docs, shingle)), max_bits, "doc_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: The id as a string and whether it is null: plain columns as keys of a join.
@@ -265,33 +332,35 @@ def _plain(d: DataFrame) -> DataFrame:
     return d.withColumns({OWN: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), NONE: F.col("doc_id").isNull()})
 
 
-def _roots(keyed: DataFrame, text_key: str, shingle: int, max_bits: int, similarity: float | None) -> DataFrame:
+def _roots(keyed: DataFrame, text_key: str, shingle: int, max_bits: int, similarity: float | None, tables: int, equal_bytes: int) -> DataFrame:
     """``(doc_id, text_key, root)`` of each row."""
     if similarity is None:
         prints = materialize(fingerprints(keyed.select("doc_id", text_key, "text"), shingle, ("doc_id", text_key)))
-        return prints.join(classes(prints, max_bits), F.col("fingerprint") == F.col("fp")).select("doc_id", text_key, "root")
-    prints = materialize(_sketches(keyed.select("doc_id", text_key, "text"), shingle, ("doc_id", text_key)))
+        return _classed(prints, max_bits, text_key).select("doc_id", text_key, "root")
+    fps = [f"fp{k}" for k in range(tables)]
+    prints = materialize(_sketches(keyed.select("doc_id", text_key, "text"), shingle, tables, ("doc_id", text_key)))
     # exact copies share a node: one row of each goes on
     rank = F.struct(F.col("doc_id").isNull().alias(NONE), "doc_id", text_key)
-    nodes = materialize(prints.groupBy("sk").agg(F.min("fp").alias("fp"), F.min(rank).alias("s")).select("sk", "fp", "s.doc_id", f"s.{text_key}"))
+    nodes = materialize(prints.groupBy("sk").agg(*(F.min(c).alias(c) for c in fps), F.min(rank).alias("s")).select("sk", *fps, "s.doc_id", f"s.{text_key}"))
     keys = [OWN, NONE, text_key]
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         chosen = materialize(_plain(nodes.join(wanted, "sk")).select("sk", *keys))
         return _plain(keyed.select("doc_id", text_key, "text")).join(chosen, keys).dropDuplicates(keys).select("sk", "text")
 
-    member = similar_groups(nodes.select("sk", "fp"), texts_of, shingle, max_bits, similarity)
+    member = similar_groups(nodes.select("sk", *fps), texts_of, shingle, tables, equal_bytes, max_bits, similarity)
     return nodes.join(member.withColumnRenamed("node", "sk"), "sk", "left").select("doc_id", text_key, F.coalesce("root", "sk").alias("root"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, similarity: float | None = None) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, similarity: float | None = None, tables: int = 2, equal_bytes: int = 3) -> DataFrame:
     """Rows of ``docs`` that stay: of each group the one with the smallest doc_id
     (null ids last, then by the text's hash; of rows with that id and text, one). All columns of ``docs`` come back unchanged.
-    With a ``similarity``, texts are linked only if their sets of shingles have that
-    Jaccard similarity too, and equal sets always are."""
+    With a ``similarity``, texts are linked if they share ``equal_bytes`` and differ in at
+    most ``max_bits`` in one of ``tables`` fingerprints and their sets of shingles have
+    that Jaccard similarity; equal sets always are."""
     text_key = "__tw_text"
     keyed = docs.withColumn(text_key, F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = _roots(keyed, text_key, shingle, max_bits, similarity)
+    found = _roots(keyed, text_key, shingle, max_bits, similarity, tables, equal_bytes)
     rank = F.struct(F.col("doc_id").isNull().alias(NONE), "doc_id", text_key)
     first = found.groupBy("root").agg(F.min(rank).alias("s")).select("s.doc_id", f"s.{text_key}")
     # plain columns as keys: join and de-duplication then share one shuffle of the texts
