@@ -106,3 +106,21 @@ def test_op10(spark, data):
     df = Q.op10_chat(spark, data)
     found = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in df.collect()}
     assert found == brute.op10(rows)
+
+
+def test_oracles(spark, data):
+    import os
+
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        p = f"{data}/{t}.parquet"
+        db.execute(f"create view {t} as select * from read_parquet('{p + '/*.parquet' if os.path.isdir(p) else p}')")
+    norm = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    for name, sql in Q.ORACLE_SQL.items():
+        got = Q.QUERIES[name](spark, data)
+        expected = db.sql(sql)
+        assert sorted(expected.columns) == sorted(got.columns), name
+        rows = expected.select(*[duckdb.ColumnExpression(c) for c in got.columns]).fetchall()
+        assert sorted(tuple(map(norm, r)) for r in rows) == sorted(tuple(map(norm, r)) for r in got.collect()), name

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapewright.llm import chat, licenses, linededup, mixing, quality, secrets, simhash, tokens, topk, toxicity
@@ -49,10 +50,23 @@ def test_tokens(nasty, unique):
 
 def test_agenda_ties_and_runs():
     v = tokens.Vocabulary(piece_model())
-    for text in (" " * 1000, "a" * 5000, " a" * 500, "\n\n\n", "ab" * 999 + " " * 17 + "é" * 99, "x<s></s><unk>"):
-        chunks = tokens._Chunks(v)
-        got = [i for e in tokens.encode_text(text, chunks) for i in map(int, e[0].split())]
-        assert got == v.library.encode(text)
+    for text in (" " * 1000, "a" * 5000, " a" * 500, "\n\n\n", "ab" * 999 + " " * 17 + "é" * 99, "x<s></s><unk>", "\U0010ffff\ue000 漢字 ab\ue000"):
+        (entries,), differing = tokens.encode_texts([text], tokens._Chunks(v))
+        assert [i for e in entries for i in map(int, e[0].split())] == v.library.encode(text) and differing == [0]
+
+
+def test_one_agenda_for_many_chunks_is_each_ones_own():
+    import random
+
+    v, rng = tokens.Vocabulary(piece_model()), random.Random(2)
+    chunks = ["▁" * rng.randrange(1, 4) + "".join(rng.choice("aabcdeinrst\ue000éß漢😀.,19\n") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    assert v.encode_chunks(chunks) == [v.encode_chunk(c) for c in chunks] == [v.library.encode(c[1:].replace("▁", " ")) if c != "▁" else v.encode_chunk(c) for c in chunks]
+    assert v.encode_chunks([]) == []
+
+
+def test_tokens_of_empty_table(nasty):
+    assert tokens.encode_documents(nasty.limit(0), piece_model()).count() == 0
+    assert tokens.decode_documents(nasty.limit(0).selectExpr("doc_id", "array(1) as ids"), piece_model()).count() == 0
 
 
 def test_toxicity(spark, nasty):
@@ -93,6 +107,49 @@ def test_simhash(nasty, unique):
     assert simhash.near_duplicates(nasty.limit(0)).count() == 0
 
 
+def plain_forward(m, text):
+    """The classifier's score, word by word."""
+    import math
+    import zlib as z
+
+    import numpy as np
+
+    words = toxicity._WORD.findall((text or "").lower())
+    row = lambda w: m.table[z.crc32(w.encode("utf-8", "surrogatepass")) % toxicity.BUCKETS] + m.table[z.crc32(b"^" + w[: toxicity.PREFIX].encode("utf-8", "surrogatepass")) % toxicity.BUCKETS]
+    vectors = [row(w) for w in words] + [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - (not words) * 0)
+    logit, at = float(m.out[-1]), 0
+    for f in m.filters:
+        width = len(f)
+        tops = [sum(vectors[i + j] @ f[j] for j in range(width)) for i in range(max(1, len(words)))]
+        hidden = np.maximum(np.max(tops, axis=0) + m.bias[at : at + toxicity.FILTERS], 0)
+        logit += float(hidden @ m.out[at : at + toxicity.FILTERS])
+        at += toxicity.FILTERS
+    return 1 / (1 + math.exp(-(logit - m.shift)))
+
+
+def test_toxicity_against_a_plain_forward_pass(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.fit(docs, labels)
+    assert m.constant is None
+    score = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    rows = docs.select("doc_id", "text", "lang").collect()
+    assert len(rows) == len(score) and all(abs(score[r.doc_id] - plain_forward(m, r.text)) < 1e-3 for r in rows)
+    # the stage drops by the cut of each language
+    stay = {r.doc_id for r in corpus_pipeline.toxic(spark, docs, data).collect()}
+    cut = lambda lang: m.thresholds.get(lang, 0.5)
+    sure = [r for r in rows if abs(score[r.doc_id] - cut(r.lang)) > 1e-6]
+    assert all((r.doc_id in stay) == (score[r.doc_id] < cut(r.lang)) for r in sure)
+
+
+def test_toxicity_training_rows_are_bounded_and_stable(spark):
+    docs = spark.createDataFrame([(1, "b" * 50, "en"), (1, "a" * 30, "de"), (2, "c" * 40, "en"), (3, None, None), (4, "d" * 10, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, toxic int")
+    got = {r.doc_id: (r.text, r.lang) for r in toxicity.training_rows(docs, labels).collect()}
+    assert got.get(1, ("a" * 30, "de")) == ("a" * 30, "de")
+    cut = toxicity.training_rows(docs, labels, max_chars=45).collect()
+    assert sum(len(r.text or "") for r in cut) <= 45 and len(cut) < 5
+
+
 def test_simhash_survivors_per_group(spark):
     """Neither null ids nor a repeated id make unlike documents one group."""
     rows = [(None, "alpha beta gamma delta"), (None, "one two three four five"), (None, "red green blue black white"), (7, "north south east west"), (7, "iron copper silver gold"), (None, "iron copper silver gold"), (9, "North south east west")]
@@ -100,10 +157,39 @@ def test_simhash_survivors_per_group(spark):
     assert sorted(map(tuple, kept), key=str) == sorted(rows[:5], key=str)
 
 
+def stage_groups(lines):
+    """Smallest row number of each group that the stage's rule makes, and of each that
+    Jaccard similarity alone makes, by brute force over all pairs."""
+    words = [brute.SPACE.findall((x or "").translate(brute.UP)) for x in lines]
+    sets = [frozenset(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for w in words]
+    hashes = [simhash.shingle_hashes(x, 5) for x in lines]
+    prints = [[simhash._majority(simhash._remixed(h, k)) for h in hashes] for k in range(2)]
+    equal = lambda x: sum(x >> 8 * i & 0xFF == 0 for i in range(8))
+
+    def groups(by_bytes):
+        root = list(range(len(lines)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a in range(len(lines)):
+            for b in range(a):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    near = any(equal(p[a] ^ p[b]) >= 3 and (p[a] ^ p[b]).bit_count() <= 10 for p in prints)
+                    if not by_bytes or near or sets[a] == sets[b]:
+                        x, y = find(a), find(b)
+                        root[max(x, y)] = min(x, y)
+        return {find(x) for x in range(len(lines))}
+
+    return groups(True), groups(False)
+
+
 @pytest.mark.parametrize("listed", [48, 4])
 def test_near_copies_against_brute_force_jaccard(spark, monkeypatch, listed):
-    """The stage drops what brute force links by Jaccard and bits, by short lists or
-    crowded ones, nothing that brute-force Jaccard would keep, and over half of the rest."""
+    """The stage drops what brute force links by Jaccard and bytes, by short lists or
+    crowded ones, nothing that brute-force Jaccard would keep, and nearly all of the rest."""
     import random
 
     monkeypatch.setattr(simhash, "MAX_POSTING", listed)
@@ -119,43 +205,38 @@ def test_near_copies_against_brute_force_jaccard(spark, monkeypatch, listed):
                     copy[rng.randrange(n)] = word()
                 texts.append(copy)
     texts += [texts[0], [w.upper() for w in texts[6]]]
-    sets = [frozenset(zip(*([w.lower() for w in t[i:]] for i in range(5)))) for t in texts]
     lines = [" ".join(t) for t in texts]
-    prints = [simhash.fingerprint(x, 5) for x in lines]
-    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-
-    def groups(linked):
-        root = list(range(len(texts)))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    expected, whole = stage_groups(lines)
+    assert kept == expected and whole <= kept
+    assert len(texts) - len(kept) > 0.9 * (len(texts) - len(whole))
 
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
 
-        for a in range(len(texts)):
-            for b in range(a):
-                if linked(a, b):
-                    x, y = find(a), find(b)
-                    root[max(x, y)] = min(x, y)
-        return {find(x) for x in range(len(texts))}
+def test_tally_tells_six_equal_bytes():
+    from itertools import combinations
 
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
-    assert kept == groups(lambda a, b: alike(a, b) and (prints[a] ^ prints[b]).bit_count() <= 5)
-    whole = groups(alike)
-    assert whole <= kept
-    assert len(texts) - len(kept) > 0.5 * (len(texts) - len(whole))
+    assert len(simhash.QUADS) == 14 and (simhash.least_tally(1), simhash.least_tally(2)) == (7, 3)
+    for n in range(9):
+        for equal in combinations(range(8), n):
+            assert (sum(set(q) <= set(equal) for q in simhash.QUADS) >= 3) == (n >= 6)
 
 
-def test_simhash_crowded_postings(spark):
-    """Long posting lists take the other way; both must give the same groups."""
+@pytest.mark.parametrize("listed", [48, 4, 1])
+@pytest.mark.parametrize("bits", [2, 1])
+def test_simhash_crowded_postings(spark, monkeypatch, listed, bits):
+    """Long posting lists are split, the longest ones by neighbours; the groups must be the same."""
     import random
 
+    monkeypatch.setattr(simhash, "MAX_POSTING", listed)
     rng, base = random.Random(3), 0x0123456789ABCDEF
-    prints = {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(150)} | {base ^ (rng.getrandbits(16) << 48) for _ in range(150)} | {rng.getrandbits(64) for _ in range(200)}
+    prints = {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(150)} | {base ^ (rng.getrandbits(16) << 48) for _ in range(150)} | {rng.getrandbits(64) for _ in range(100)}
+    prints |= {base ^ (rng.getrandbits(8) << 8) ^ (rng.getrandbits(8) << 40) for _ in range(100)}
     signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
+    found = simhash.links(df, bits).collect()
+    assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 2 for r in found if bits == 2)
+    roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(found, "a long, b long")).collect()}
     parent = {p: p for p in signed}
 
     def find(x):
@@ -165,7 +246,7 @@ def test_simhash_crowded_postings(spark):
 
     for k, a in enumerate(signed):
         for b in signed[:k]:
-            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= bits:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     assert {p: roots.get(p, p) for p in signed} == {p: find(p) for p in signed}
@@ -176,6 +257,12 @@ def test_components_of_a_chain(spark):
     assert {r.root for r in simhash.components(edges).collect()} == {0}
 
 
+def test_components_with_a_hub(spark):
+    edges = spark.range(1, 300).selectExpr("id as a", "500L as b").unionByName(spark.range(600, 620).selectExpr("id as a", "id + 100 as b"))
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert {got[n] for n in [*range(1, 300), 500]} == {1} and all(got[n] == got[n + 100] == n for n in range(600, 620))
+
+
 def test_mixing(spark, nasty):
     df = mixing.mix_documents(nasty)
     assert df.count() == len(NASTY)
@@ -194,6 +281,39 @@ def test_mixing_prefers_quality(spark):
     assert took.filter("doc_id % 2 = 0").count() > 1.8 * took.filter("doc_id % 2 = 1").count()
 
 
+def test_mixing_of_tiny_weights_takes_all_ids_alike(spark):
+    rows = spark.range(4000).selectExpr("id as doc_id", "'s' as source", "10L as size", "0.0D as quality", "id as tie")
+    took = mixing.mix(rows, share=0.6).filter("taken > 0")
+    n, mean = took.selectExpr("count(*)", "avg(doc_id)").first()
+    assert abs(n - 2400) <= 1 and 1900 < mean < 2100
+
+
+def test_mixing_repeats_equal_rows_as_often_as_counted(spark):
+    """Six equal rows, of which the target takes five."""
+    docs = spark.createDataFrame([(1, "s", "one two three four")] * 6 + [(None, "s", None), (None, "s", None)], "doc_id long, source string, text string")
+    count = lambda d, n: {r[0]: r[1] for r in d.groupBy("doc_id").agg(n).collect() if r[1]}
+    took = count(mixing.mix_documents(docs, share=20 / 24), F.sum("times"))
+    assert took == count(mixing.sample_documents(docs, share=20 / 24), F.count("*")) and took[1] == 5
+
+
+def test_mix_stage_against_the_query(spark, data):
+    docs = corpus_pipeline.documents(spark, data)
+    times = {r.doc_id: r.times for r in mixing.mix_documents(docs).collect() if r.times}
+    out = corpus_pipeline.mix(spark, docs, data)
+    assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == times
+    assert sorted(map(str, out.distinct().collect())) == sorted(map(str, (r for r in docs.collect() if r.doc_id in times)))
+
+
+def test_encode_stage_against_the_library(spark, data):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    docs = corpus_pipeline.documents(spark, data)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    out = corpus_pipeline.encode(spark, docs, data).collect()
+    assert {r.doc_id: r.ids for r in out} == {i: sp.encode(t, add_eos=True) for i, t in text.items()}
+
+
 def test_licenses(spark, nasty, unique):
     df = licenses.scan(nasty)
     assert df.count() == len(NASTY)
@@ -203,6 +323,47 @@ def test_licenses(spark, nasty, unique):
     texts = [notice, " ".join(w[:9] + ["extra"] + w[9:]), " ".join(w[:8]), "nothing here"]
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.labels for r in got] == ["mit-notice", "mit-notice", "", ""] and got[0].score == 1 > got[1].score > 0.7
+    assert licenses.scan(nasty.limit(0)).count() == 0
+
+
+def test_licenses_count_distinct_positions(spark):
+    """Repeats of a few template words are no notice, and stray hits don't hide one."""
+    part = "licensed under the apache license version 2 0"
+    notice = "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"
+    w = notice.split()
+    texts = ["the license " * 12 + part, "all rights all rights", "mozilla public mozilla public", "the license " * 40 + " ".join(w[:10] + ["so"] + w[10:]) + " the license" * 40, "all rights reserved"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["apache", "", "", "apache,apache-notice", "reserved"]
+
+
+def plain_em(patterns, rounds):
+    import math
+
+    names = len(patterns[0][0])
+    share, acc = 0.8, [0.8] * names
+    prob = lambda v: 1 / (1 + math.exp(-(math.log(share / (1 - share)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, acc)))))
+    for _ in range(rounds):
+        p = [prob(v) for v, _ in patterns]
+        total, good = sum(n for _, n in patterns), sum(n * q for (_, n), q in zip(patterns, p))
+        new = []
+        for k in range(names):
+            cast = sum(n for v, n in patterns if v[k])
+            right = sum(n * (q if v[k] > 0 else 1 - q) for (v, n), q in zip(patterns, p) if v[k])
+            new.append(min(0.98, max(0.55, (right + 2) / (cast + 3))))
+        share, acc = min(0.99, max(0.01, (good + 1) / (total + 2))), new
+    return prob
+
+
+def test_quality_against_plain_em(spark, data):
+    from collections import Counter
+
+    docs = corpus_pipeline.documents(spark, data)
+    names = list(quality.rules())
+    voted = {r.doc_id: tuple(r[k] for k in names) for r in quality.features(docs).withColumns(quality.rules()).collect()}
+    prob = plain_em(list(Counter(voted.values()).items()), quality.ROUNDS)
+    for r in quality.judge(docs).collect():
+        assert abs(r.quality - prob(voted[r.doc_id])) < 1e-9
+        assert r.kept == (not r.base_failed and prob(voted[r.doc_id]) >= quality.KEEP_AT)
 
 
 def test_quality(nasty, unique):
@@ -240,6 +401,16 @@ def test_line_dedup(nasty, unique):
     assert linededup.line_dedup(nasty.limit(0)).count() == 0
 
 
+def test_hot_lines_are_split_and_decided(spark):
+    """One line in most documents, one many times in a single document, one in two."""
+    docs = [(i, "the very common line of all\n" + f"own {i}\n" * (i % 3)) for i in range(300)]
+    docs += [(900, "a line that only one document has\n" * 500), (901, "a line that two documents have\n" * 40), (902, "a line that two documents have")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert keyed(linededup.line_dedup(df), "n_lines", "n_dropped", "kept_sha256") == brute.op8(docs)[0]
+    words = linededup.bitmaps(df).selectExpr("max(size(__tw_dropped))").first()[0]
+    assert words == 1  # no word for lines that stay
+
+
 def test_bitmaps_of_many_lines(spark):
     """Drops far apart, at word borders and in the last line."""
     shared = [f"a shared line with number {n:05d}" for n in range(5)]
@@ -259,13 +430,40 @@ def test_top_k(spark):
     expected = brute.op9([r for r in rows if r[0] != 8], {0, 50})
     assert got == expected
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    more = spark.createDataFrame([*rows, (None, [9.0, 9.0]), (11, [])], "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "'x' as part", "2 as rank")
+    assert sorted(tuple(r) for r in topk.top_k(more, more.filter("vec_id % 50 = 0"), 5).collect()) == expected
+
+
+def test_top_k_carries_its_cut_over_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1.0, 0.5, 0.25, 3.0]) for _ in range(20)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(tuple(r) for r in topk.top_k(df, df.filter("vec_id % 50 = 0"), 5).collect())
+    assert got == brute.op9(rows, {i for i, _ in rows if i % 50 == 0})
+
+
+@pytest.mark.parametrize("big", [1e10, 1e20])
+def test_top_k_says_what_does_not_fit(spark, big):
+    df = spark.createDataFrame([(0, [big, 1.0]), (1, [big, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="fit a long"):
+        topk.top_k(df, df.filter("vec_id = 0"), 1).collect()
 
 
 def test_top_k_big_values():
     import numpy as np
 
     big = np.array([[3_000_000_000, 1], [3_000_000_000, 2]], "<i8")
-    assert topk.block_top_k(np.array([9]), big[:1], np.array([1, 2]), big, 2) == [(9, 2, 9 * 10**18 + 2), (9, 1, 9 * 10**18 + 1)]
+
+    def block(ids, x):
+        stats = np.concatenate([y for n in topk.LEVELS for y in topk.statistics(x.astype("float64"), n)], axis=1)
+        return topk.Block(2, np.array(ids, "<i8").tobytes(), x.tobytes(), stats.astype("<f8").tobytes())
+
+    held = [[]]
+    topk.best_so_far(block([9], big[:1]), block([1, 2], big), 2, held)
+    assert held == [[(-(9 * 10**18 + 2), 2), (-(9 * 10**18 + 1), 1)]]
 
 
 def test_chat(spark):
@@ -285,6 +483,21 @@ def test_chat(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_chat_roles_come_back(spark):
+    roles = ["a\x00b", "\\n", "\\\n", "\n\n", "x\\\\n\n\\", "<\\|im_end|>\\n", "", "<|\\\n|>", "n", "\\"]
+    rows = [(k, 0, r, "<|im_start|>" + r + "\nlong " * 20_000) for k, r in enumerate(roles)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as r", "'x' as segments", "2 as n_turns")
+    got = {r.conv_id: r.turns_sha256 for r in chat.digests(df).collect()}
+    assert got == {k: brute.sha(f"{r}\n{t}\n") for k, _, r, t in rows}
+
+
+def test_pipeline_of_empty_tables(spark, data, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{data}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert secrets.scan(corpus_pipeline.documents(spark, str(tmp_path))).count() == 0
+
+
 def test_pipeline_stages(spark, nasty, data, tmp_path):
     docs = nasty.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES:
@@ -302,6 +515,8 @@ def test_pipeline_against_brute_force(spark, data):
     kept = brute.op8(rows)[1]
     out = corpus_pipeline.lines(spark, docs, data)
     assert {r.doc_id: r.text or "" for r in out.collect()} == kept
-    groups = brute.op3(rows)
-    stay = corpus_pipeline.near_duplicates(spark, docs, data)
-    assert sorted(r.doc_id for r in stay.collect()) == sorted({g for _, g in groups.values()})
+    rows.sort()
+    expected, whole = stage_groups([t for _, t in rows])
+    stay = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()}
+    assert stay == {rows[k][0] for k in expected}
+    assert {rows[k][0] for k in whole} <= stay and len(stay) - len(whole) <= 0.1 * (len(rows) - len(whole))
