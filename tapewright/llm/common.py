@@ -15,7 +15,7 @@ SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes in one Arrow batch sent to a Python worker, so that long texts don't add up.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 4 << 20
 #: Rows sampled for each shuffle partition to find the keys that own most rows.
 SAMPLED_A_PARTITION = 400
 

@@ -28,11 +28,12 @@ doc_id and text pass through ``drop_near_duplicates``, names that begin with ``_
 are the operator's own.
 
 With a ``similarity`` texts are compared themselves. Nodes are sets of shingles (copies
-are one node); ``tables`` fingerprints of a node come from as many hash functions, and
-its postings hold ``equal_bytes`` (3) positional bytes of one of them: candidates share
-that many in one table and differ there in at most ``max_bits``. What is found is
-verified by exact Jaccard similarity, so no false link is made; links can be missed,
-since texts just over 0.8 often share fewer bytes (the README has figures).
+are one node); ``tables`` fingerprints of a node come from as many hash functions. Here a
+posting holds three bytes, at 20 of the 56 sets of three positions: each four positions
+hold one of these, so four equal bytes, which four differing bits leave at least, are
+sure to meet, and three equal ones often do. Candidates meet in one table, differ there in
+at most ``max_bits``, and are verified by exact Jaccard similarity: no false link is made,
+and links are missed where texts just over 0.8 share too few bytes (the README has figures).
 """
 
 from __future__ import annotations
@@ -53,6 +54,10 @@ SEED = 42
 MAX_POSTING = 48
 #: Four of the eight byte positions, so that each three positions lie in one set.
 QUADS = tuple(q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0)
+#: Three of the eight byte positions, so that each four positions hold one such set: positions
+#: lie in a ring of groups, and a set is of one group, or two of a group and one of the next.
+_GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+TRIPLES = tuple(t for t in combinations(range(8), 3) if any(sum(x in g for x in t) == 3 or sum(x in g for x in t) == 2 and sum(x in h for x in t) == 1 for g, h in zip(_GROUPS, (*_GROUPS[1:], _GROUPS[0]))))
 
 
 def least_tally(max_bits: int) -> int:
@@ -172,33 +177,34 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return one.join(texts.select(F.col("sk").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, tables: int, equal_bytes: int, max_bits: int, similarity: float) -> DataFrame:
+def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, tables: int, max_bits: int, similarity: float) -> DataFrame:
     """``(node, root)`` of every linked one of the distinct ``nodes(sk, fp0, ..)``. Nodes
-    are candidates if they share ``equal_bytes`` (3 to 8) positional bytes of a table's
-    fingerprint and differ there in at most ``max_bits``, and linked if their texts,
-    which ``texts_of`` finds for a table of ``sk``, are verified.
+    are candidates if they share a posting of three positional bytes in a table and differ
+    there in at most ``max_bits``, and linked if their texts, which ``texts_of`` finds for
+    a table of ``sk``, are verified.
 
-    A pair is taken from the posting of its first equal bytes. In a list longer than
+    A pair is taken from its first posting in a table. In a list longer than
     ``MAX_POSTING`` each member is first verified against one of them; then only pairs
     that are not yet in one group are compared, and all of these."""
-    if not 3 <= equal_bytes <= 8:
-        raise ValueError("lists of under three bytes grow with the square of the input")
-    sets = list(combinations(range(8), equal_bytes))
-    keys = [F.struct(F.lit(t * len(sets) + m).alias("list"), F.col(f"fp{t}").bitwiseAND(_long(_wide(at))).alias("value"), F.col(f"fp{t}").alias("fp")) for t in range(tables) for m, at in enumerate(sets)]
-    key = ["list", "value"]
-    every = nodes.select("sk", F.explode(F.array(*keys)).alias("m")).select("sk", "m.*")
-    sizes = every.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+
+    def posting(table: int, nth: int) -> Column:
+        fp, key = F.col(f"fp{table}"), _long(table * len(TRIPLES) + nth)
+        for i in TRIPLES[nth]:
+            key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(fp, 8 * i).bitwiseAND(_long(0xFF)))
+        return F.struct(key.alias("key"), fp.alias("fp"))
+
+    every = nodes.select("sk", F.explode(F.array(*(posting(t, m) for t in range(tables) for m in range(len(TRIPLES))))).alias("m")).select("sk", "m.*")
+    sizes = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     # a merge join at every size; lists that own many rows are split by adaptive execution
-    posted = materialize(every.join(sizes.hint("merge"), key))
-    mask = F.element_at(F.array(*(F.lit(sum(1 << i for i in at)) for at in sets)), F.pmod(F.col("list"), F.lit(len(sets))) + 1)
+    posted = materialize(every.join(sizes.hint("merge"), "key"))
+    key = "key"
 
     def paired(d: DataFrame, *more: str) -> DataFrame:
-        left, right = (d.select(*key, *(F.col(c).alias(f"{side}_{c}") for c in ("sk", "fp", *more))) for side in "ab")
-        x, upto = F.col("a_fp").bitwiseXOR(F.col("b_fp")), F.col("mask")
-        for k in (1, 2, 4):
-            upto = upto.bitwiseOR(F.shiftright(upto, k))
-        near = left.join(right, key).filter("a_sk < b_sk").filter(F.bit_count(x) <= max_bits).withColumn("mask", mask)
-        near = near.filter(_equal_bytes(x).bitwiseAND(upto) == F.col("mask"))
+        left, right = (d.select(key, *(F.col(c).alias(f"{side}_{c}") for c in ("sk", "fp", *more))) for side in "ab")
+        x = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
+        near = left.join(right, key).filter("a_sk < b_sk").filter(F.bit_count(x) <= max_bits)
+        first = F.coalesce(*(F.when(x.bitwiseAND(_long(_wide(at))) == 0, m) for m, at in enumerate(TRIPLES)))
+        near = near.filter(first == F.shiftright(key, 24) % len(TRIPLES))
         for c in more:
             near = near.filter(F.col(f"a_{c}") != F.col(f"b_{c}"))
         return near.select(F.col("a_sk").alias("a"), F.col("b_sk").alias("b"))
@@ -212,8 +218,8 @@ def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     texts = materialize(texts_of(wanted))
     edges = materialize(verified(pairs, texts, shingle, similarity))
     roots = materialize(components(edges))
-    owned = crowded.select(*key, "sk", "fp").join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
-    mixed = owned.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(*key)
+    owned = crowded.select(key, "sk", "fp").join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
+    mixed = owned.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(key)
     left = materialize(owned.join(mixed, key))
     if not left.isEmpty():
         more = verified(materialize(paired(left, "root").distinct()), texts, shingle, similarity)
@@ -332,7 +338,7 @@ def _plain(d: DataFrame) -> DataFrame:
     return d.withColumns({OWN: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), NONE: F.col("doc_id").isNull()})
 
 
-def _roots(keyed: DataFrame, text_key: str, shingle: int, max_bits: int, similarity: float | None, tables: int, equal_bytes: int) -> DataFrame:
+def _roots(keyed: DataFrame, text_key: str, shingle: int, max_bits: int, similarity: float | None, tables: int) -> DataFrame:
     """``(doc_id, text_key, root)`` of each row."""
     if similarity is None:
         prints = materialize(fingerprints(keyed.select("doc_id", text_key, "text"), shingle, ("doc_id", text_key)))
@@ -348,19 +354,19 @@ def _roots(keyed: DataFrame, text_key: str, shingle: int, max_bits: int, similar
         chosen = materialize(_plain(nodes.join(wanted, "sk")).select("sk", *keys))
         return _plain(keyed.select("doc_id", text_key, "text")).join(chosen, keys).dropDuplicates(keys).select("sk", "text")
 
-    member = similar_groups(nodes.select("sk", *fps), texts_of, shingle, tables, equal_bytes, max_bits, similarity)
+    member = similar_groups(nodes.select("sk", *fps), texts_of, shingle, tables, max_bits, similarity)
     return nodes.join(member.withColumnRenamed("node", "sk"), "sk", "left").select("doc_id", text_key, F.coalesce("root", "sk").alias("root"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, similarity: float | None = None, tables: int = 2, equal_bytes: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, similarity: float | None = None, tables: int = 3) -> DataFrame:
     """Rows of ``docs`` that stay: of each group the one with the smallest doc_id
     (null ids last, then by the text's hash; of rows with that id and text, one). All columns of ``docs`` come back unchanged.
-    With a ``similarity``, texts are linked if they share ``equal_bytes`` and differ in at
-    most ``max_bits`` in one of ``tables`` fingerprints and their sets of shingles have
-    that Jaccard similarity; equal sets always are."""
+    With a ``similarity``, texts are linked if they meet in the postings of one of ``tables``
+    fingerprints, differ there in at most ``max_bits``, and their sets of shingles have that
+    Jaccard similarity; equal sets always are."""
     text_key = "__tw_text"
     keyed = docs.withColumn(text_key, F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = _roots(keyed, text_key, shingle, max_bits, similarity, tables, equal_bytes)
+    found = _roots(keyed, text_key, shingle, max_bits, similarity, tables)
     rank = F.struct(F.col("doc_id").isNull().alias(NONE), "doc_id", text_key)
     first = found.groupBy("root").agg(F.min(rank).alias("s")).select("s.doc_id", f"s.{text_key}")
     # plain columns as keys: join and de-duplication then share one shuffle of the texts

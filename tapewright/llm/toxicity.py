@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -42,7 +43,7 @@ MAX_POSITIVE, MAX_NEGATIVE = 1500, 3500
 #: Bound of its texts, in characters; whole texts or none.
 MAX_CHARS = 64_000_000
 #: Words whose embeddings a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 #: Words convolved at once.
 CONVOLVED = 1 << 17
 _WORD = re.compile(r"[^\W_]+")
@@ -57,14 +58,15 @@ class Words(dict):
     """word -> row of a growing table of embeddings; row 0 is padding."""
 
     def __init__(self, table: np.ndarray):
-        self.table, self.pairs = table, [(-1, -1)]
+        self.table, self.pairs = table, (array("i", [-1]), array("i", [-1]))
         self.rows = np.zeros((1, table.shape[1]), "float32")
 
     def __missing__(self, word: str) -> int:
         raw = word.encode("utf-8", "surrogatepass")
         stem = word[:PREFIX].encode("utf-8", "surrogatepass")
-        self.pairs.append((zlib.crc32(raw) % BUCKETS, zlib.crc32(b"^" + stem) % BUCKETS))
-        self[word] = n = len(self.pairs) - 1
+        self.pairs[0].append(zlib.crc32(raw) % BUCKETS)
+        self.pairs[1].append(zlib.crc32(b"^" + stem) % BUCKETS)
+        self[word] = n = len(self.pairs[0]) - 1
         return n
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -72,9 +74,8 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
 
     def vectors(self) -> np.ndarray:
-        if len(self.rows) < len(self.pairs):
-            p = np.array(self.pairs[len(self.rows) :])
-            self.rows = np.concatenate([self.rows, self.table[p[:, 0]] + self.table[p[:, 1]]])
+        if (known := len(self.rows)) < len(self.pairs[0]):
+            self.rows = np.concatenate([self.rows, self.table[self.pairs[0][known:]] + self.table[self.pairs[1][known:]]])
         return self.rows
 
     def shed(self) -> None:
@@ -166,7 +167,7 @@ def train(texts: list[str | None], labels: np.ndarray, langs: list[str | None],
         return m
     words = Words(table)
     docs = [words.ids(t) for t in texts]
-    pairs = np.array(words.pairs)
+    pairs = np.array(words.pairs).T
     calibrate = np.arange(len(docs)) % 5 == 4
     if len(set(labels[calibrate])) < 2 or len(set(labels[~calibrate])) < 2:
         calibrate[:] = False

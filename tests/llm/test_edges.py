@@ -163,8 +163,8 @@ def stage_groups(lines):
     words = [brute.SPACE.findall((x or "").translate(brute.UP)) for x in lines]
     sets = [frozenset(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for w in words]
     hashes = [simhash.shingle_hashes(x, 5) for x in lines]
-    prints = [[simhash._majority(simhash._remixed(h, k)) for h in hashes] for k in range(2)]
-    equal = lambda x: sum(x >> 8 * i & 0xFF == 0 for i in range(8))
+    prints = [[simhash._majority(simhash._remixed(h, k)) for h in hashes] for k in range(3)]
+    meet = lambda x: any(all(x >> 8 * i & 0xFF == 0 for i in t) for t in simhash.TRIPLES)
 
     def groups(by_bytes):
         root = list(range(len(lines)))
@@ -177,7 +177,7 @@ def stage_groups(lines):
         for a in range(len(lines)):
             for b in range(a):
                 if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                    near = any(equal(p[a] ^ p[b]) >= 3 and (p[a] ^ p[b]).bit_count() <= 10 for p in prints)
+                    near = any(meet(p[a] ^ p[b]) and (p[a] ^ p[b]).bit_count() <= 10 for p in prints)
                     if not by_bytes or near or sets[a] == sets[b]:
                         x, y = find(a), find(b)
                         root[max(x, y)] = min(x, y)
@@ -220,6 +220,8 @@ def test_tally_tells_six_equal_bytes():
     for n in range(9):
         for equal in combinations(range(8), n):
             assert (sum(set(q) <= set(equal) for q in simhash.QUADS) >= 3) == (n >= 6)
+            assert n < 4 or any(set(t) <= set(equal) for t in simhash.TRIPLES)
+    assert len(simhash.TRIPLES) == 20
 
 
 @pytest.mark.parametrize("listed", [48, 4, 1])
