@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapewright.functions.scalars import DAY, ORIGIN_US, SECOND, floor_us, quotation_to_decimal
 
 KEY = "instrument_id"
+CHUNK = 32 * DAY
 
 
 def complete_candles(candles: DataFrame) -> DataFrame:
@@ -110,9 +111,12 @@ def rounded_coverage(ranges: DataFrame, interval_seconds: int) -> DataFrame:
 
 def stitched_candles(stored: DataFrame, coverage: DataFrame, loaded: DataFrame, requests: DataFrame, interval_seconds: int) -> DataFrame:
     """Candles of ``requests``: stored ones within the coverage, and loaded ones that are
-    complete and lie in a gap; then one per time. Where both touch, stored ones win."""
+    complete and lie in a gap; then one per time. Where both touch, stored ones win. Gaps
+    are cut into chunks of time, so a candle meets the gaps of its chunk only."""
     gaps = coverage_gaps(requests, coverage, interval_seconds).withColumnsRenamed({"start": "gs", "end": "ge"})
-    new = complete_candles(loaded).join(gaps, KEY).filter(F.col("us").between(F.col("gs"), F.col("ge"))).select(*loaded.columns).dropDuplicates([KEY, "us"])
+    gaps = gaps.filter("gs <= ge").withColumn("__c", F.explode(F.sequence(F.floor(F.col("gs") / CHUNK), F.floor(F.col("ge") / CHUNK))))
+    new = complete_candles(loaded).withColumn("__c", F.floor(F.col("us") / CHUNK)).join(gaps, [KEY, "__c"])
+    new = new.filter(F.col("us").between(F.col("gs"), F.col("ge"))).select(*loaded.columns).dropDuplicates([KEY, "us"])
     wanted = requests.select(KEY, F.col("start").alias("rs"), F.col("end").alias("re"))
     old = stored.join(wanted, KEY).filter(F.col("us").between(F.col("rs"), F.col("re"))).select(*stored.columns)
     return merge_candles(old, new)

@@ -23,6 +23,12 @@ from tapewright.schemas import SIGNAL_TYPES, Settings
 
 TRADE, PRICE, BOOK, STATUS = ("trade",), ("trade", "last_price"), ("orderbook",), ("trading_status",)
 
+# fixed values: what the payload of a signal calls its baseline
+BASELINES = {
+    "volume_spike": "rolling volume", "trade_rate_spike": "trade count", "price_jump": "price move", "spread_widening": "spread",
+    "orderbook_imbalance": "imbalance",
+}
+
 
 def settings_frame(spark, default: Settings, overrides: Mapping[str, Settings]) -> DataFrame:
     """A row per override, and one with a null instrument for everything else."""
@@ -129,7 +135,7 @@ def candidates(events: DataFrame, default: Settings, overrides: Mapping[str, Set
     measured = _by_frames(set_, default, overrides, ("trade_window_seconds", "price_window_seconds"), _measure)
     kept = [
         "instrument_id", "us", "seq", "event_type", "is_trade", "is_move", "is_book", "status_changed", "status_before", "trading_status",
-        "volume", "rate", "move", "spread", "imbalance", "bid_share", "delta", "gate_us", *default.as_dict(),
+        "volume", "rate", "move", "spread", "imbalance", "bid_share", "delta", "gate_us", *(default.as_dict() if overrides else ["combo_enabled"]),
     ]
     measured = measured.select(*kept).filter("is_trade or is_move or is_book or status_changed")
     gates = [Gate("g_trade", "gate_us", "is_trade"), Gate("g_price", "gate_us", "is_move"), Gate("g_book", "gate_us", "is_book")]
@@ -137,6 +143,9 @@ def candidates(events: DataFrame, default: Settings, overrides: Mapping[str, Set
         gates.append(Gate("g_combo", "gate_us", ("g_trade", "g_book"), "combo_enabled"))
     sampled = greedy_gate(measured, ["instrument_id"], ["us", "seq"], gates).filter("g_trade or g_price or g_book or status_changed")
 
+    if not overrides:  # settings are literals, which needn't go through the gates
+        sampled = sampled.withColumns({k: F.lit(v) for k, v in default.as_dict().items()})
+
     def score(d: DataFrame, points: int) -> DataFrame:
         for name, gate, wanted in (
             ("volume", "g_trade", "volume_spike"), ("rate", "g_trade", "trade_rate_spike"), ("move", "g_price", "price_jump"),
@@ -158,20 +167,20 @@ def candidates(events: DataFrame, default: Settings, overrides: Mapping[str, Set
     fired = {k: F.coalesce((F.col(f"{n}_z") >= F.col(t)) & also, F.lit(False)) for k, (n, t, _, also) in fires.items() if k in needed}
     none = F.lit(None)
 
-    def row(kind, on, severity, metric, base, z, window, cooldown, note=none):
+    def row(kind, on, severity, metric, base, z, window, cooldown, detail, note=none):
         return F.when(on, F.struct(
             F.lit(kind).alias("signal_type"), severity.cast("int").alias("severity"), metric.cast("double").alias("metric_value"), base.cast("double").alias("baseline_value"),
-            z.cast("double").alias("z_score"), window.cast("int").alias("window_seconds"), (F.col(cooldown).cast("bigint") * S.SECOND).alias("cooldown_us"), note.cast("string").alias("note"),
+            z.cast("double").alias("z_score"), window.cast("int").alias("window_seconds"), (F.col(cooldown).cast("bigint") * S.SECOND).alias("cooldown_us"), note.cast("string").alias("note"), F.to_json(F.struct(*(c.alias(k) for k, c in detail.items()))).alias("detail"),
         ))
 
     rows = [
-        row(k, fired[k], S.severity(F.col(f"{n}_z")), F.col(n), F.col(f"{n}_b.mean"), F.col(f"{n}_z"), F.col(w), "alert_cooldown_seconds")
+        row(k, fired[k], S.severity(F.col(f"{n}_z")), F.col(n), F.col(f"{n}_b.mean"), F.col(f"{n}_z"), F.col(w), "alert_cooldown_seconds", {"baseline_label": F.lit(BASELINES[k])})
         for k, (n, _, w, _) in fires.items()
         if k in only
     ]
     if "trading_status_changed" in only:
         change = F.concat(F.lit(" trading status changed from "), F.col("status_before"), F.lit(" to "), F.trim("trading_status"), F.lit("."))
-        rows.append(row("trading_status_changed", F.col("status_changed"), F.lit(2), F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0), "alert_cooldown_seconds", change))
+        rows.append(row("trading_status_changed", F.col("status_changed"), F.lit(2), F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0), "alert_cooldown_seconds", {"previous_status": F.col("status_before"), "current_status": F.trim("trading_status")}, change))
     if combo:
         fresh = F.col("us") - F.col("combo_freshness_seconds").cast("bigint") * S.SECOND
         d = d.withColumns({f"{k}_on": F.coalesce(W.as_of(F.col("us"), fired[k]) >= fresh, F.lit(False)) for k in ("spread_widening", "trade_rate_spike", "orderbook_imbalance")})
@@ -187,9 +196,13 @@ def candidates(events: DataFrame, default: Settings, overrides: Mapping[str, Set
             note = F.format_string(
                 f" combo-{side} score=%d (spread=%s, imbalance=%s tick_rate=%s, delta=%.2f).", score_, shown("spread_widening_on"), F.when(F.col("share").isNull(), "n/a").otherwise(F.format_string("%.2f", "share")), shown("trade_rate_spike_on"), F.col("delta")
             )
+            detail = {
+                "score": score_, "min_score": F.col("combo_min_score"), "spread_active": F.col("spread_widening_on"), "tick_rate_active": F.col("trade_rate_spike_on"),
+                "imbalance_ratio": F.col("share"), "signed_delta_qty": F.col("delta"),
+            }
             high = F.when(score_ >= F.col("combo_min_score") + 2, 3).otherwise(2)
             if kind in only:
-                rows.append(row(kind, F.col("g_combo") & (score_ >= F.col("combo_min_score")), high, score_, F.col("combo_min_score"), F.lit(0.0), F.col("combo_freshness_seconds"), "combo_alert_cooldown_seconds", note))
+                rows.append(row(kind, F.col("g_combo") & (score_ >= F.col("combo_min_score")), high, score_, F.col("combo_min_score"), F.lit(0.0), F.col("combo_freshness_seconds"), "combo_alert_cooldown_seconds", detail, note))
     listed = d.select("instrument_id", "us", "seq", F.col("event_type").alias("source_event_type"), F.explode(F.array_compact(F.array(*rows))).alias("s"))
     return listed.select("instrument_id", "us", "seq", "source_event_type", "s.*")
 
@@ -202,11 +215,19 @@ def detect(events: DataFrame, default: Settings = Settings(), overrides: Mapping
     return ready.filter("ready").drop("candidate", "ready", "cooldown_us")
 
 
-def signals(found: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def signals(found: DataFrame, names: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
     """``detect`` output as rows of ``schemas.SIGNAL``; ``names(instrument_id, ticker,
-    class_code, alias)`` is optional. The id is a hash, so redelivery makes no duplicates."""
+    class_code, alias)`` is optional. The id is a hash, so redelivery makes no duplicates.
+    The payload says what the signal was measured by and, given the tape's ``events``,
+    holds the event itself as ``event_payload``."""
     d = found if names is None else found.join(names, "instrument_id", "left")
     d = d.withColumns({c: F.lit(None).cast("string") for c in ("ticker", "class_code", "alias") if names is None})
+    payload = F.col("detail")
+    if events is not None:
+        own = F.to_json(F.struct("quantity", "price", "direction", "bids", "asks", "trading_status")).alias("__event")
+        d = d.join(events.select("instrument_id", "us", "seq", own), ["instrument_id", "us", "seq"], "left")
+        within = F.concat(F.expr("left(detail, length(detail) - 1)"), F.lit(',"event_payload":'), F.col("__event"), F.lit("}"))
+        payload = F.when(F.col("signal_type").startswith("microstructure") | F.col("__event").isNull(), payload).otherwise(within)
     ticker = F.coalesce("ticker", "instrument_id")
     text = F.coalesce(F.concat(ticker, F.col("note")), S.summary_text(F.col("signal_type"), ticker, F.col("metric_value"), F.col("baseline_value"), F.col("z_score"), F.col("window_seconds")))
     return d.select(
@@ -214,5 +235,5 @@ def signals(found: DataFrame, names: DataFrame | None = None) -> DataFrame:
         F.timestamp_micros("us").alias("detected_at"),
         "instrument_id", "ticker", "class_code", "alias", "source_event_type", "signal_type", "severity", "metric_value", "baseline_value", "z_score", "window_seconds",
         text.alias("summary"),
-        F.to_json(F.struct("seq", "metric_value", "baseline_value")).alias("payload"),
+        payload.alias("payload"),
     )

@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -45,17 +45,18 @@ def greedy_gate(df: DataFrame, keys: Sequence[str], order: Sequence[str], gates:
     intervals are bigint columns, constant within a key. Null eligibility is false."""
     keys, order, gates = list(keys), list(order), tuple(gates)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         last: dict[str, int | None] = {}
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            rows = list(zip(*(b[k].tolist() for k in keys)))
+            # only keys, times and flags are looked at; other columns pass through as they are
+            rows = list(zip(*(b.column(k).to_pylist() for k in keys)))
             cuts = [0, *(i for i in range(1, len(rows)) if rows[i] != rows[i - 1]), len(rows)]
-            time = b[order[0]].to_numpy("int64")
-            out = {g.name: np.zeros(len(b), bool) for g in gates}
-            columns = {c: b[c].fillna(False).to_numpy(bool) for g in gates for c in (g.eligible, g.enabled) if isinstance(c, str)}
+            time = b.column(order[0]).to_numpy(zero_copy_only=False)
+            out = {g.name: np.zeros(len(rows), bool) for g in gates}
+            columns = {c: b.column(c).fill_null(False).to_numpy(zero_copy_only=False) for g in gates for c in (g.eligible, g.enabled) if isinstance(c, str)}
             for s, e in zip(cuts, cuts[1:]):
                 if rows[s] != held:
                     held, last = rows[s], {}
@@ -65,9 +66,9 @@ def greedy_gate(df: DataFrame, keys: Sequence[str], order: Sequence[str], gates:
                         ok = ok & columns[g.enabled][s:e]
                     at = np.flatnonzero(ok)
                     if len(at):
-                        accepted, last[g.name] = _accept(time[s:e][at], int(b[g.interval].iloc[s]), last.get(g.name))
+                        accepted, last[g.name] = _accept(time[s:e][at], b.column(g.interval)[s].as_py(), last.get(g.name))
                         out[g.name][s + at[accepted]] = True
-            yield b.assign(**out)
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, out.values())], [*b.schema.names, *out])
 
     schema = StructType([*df.schema.fields, *(StructField(g.name, BooleanType()) for g in gates)])
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -17,12 +17,15 @@ def last_by(df: DataFrame, key: str, order: str) -> DataFrame:
 def enrich_events(events: DataFrame, instruments: DataFrame, order: str = "load_order") -> DataFrame:
     """Event names from ``instruments`` by instrument_id, else figi, else uid; the last
     duplicate wins. A miss falls back to the first non-empty of the three, or 'unknown',
-    and a lower-case alias. ``events`` has instrument_id, figi, uid; other columns stay."""
-    out = events
+    and a lower-case alias. ``events`` has instrument_id, figi, uid; other columns stay.
+    Most ids of a row are null: rows without a key are dealt by the row instead, so they
+    don't meet in one task."""
+    out = events.withColumn("__row", F.pmod(F.xxhash64(*events.columns), F.lit(1 << 20)).cast("int"))
     for key in ("instrument_id", "figi", "uid"):
         side = last_by(instruments, key, order)
-        side = side.select("__k", F.struct(*DIMENSION).alias(f"__by_{key}"))
-        out = out.join(side, F.col(key) == F.col("__k"), "left").drop("__k")
+        side = side.select("__k", F.lit(-1).alias("__n"), F.struct(*DIMENSION).alias(f"__by_{key}"))
+        dealt = F.when(F.col(key).isNull(), F.col("__row")).otherwise(F.lit(-1))
+        out = out.join(side, (F.col(key) == F.col("__k")) & (dealt == F.col("__n")), "left").drop("__k", "__n")
     hit = F.coalesce("__by_instrument_id", "__by_figi", "__by_uid")
     full = lambda c: F.when(F.length(c) > 0, F.col(c))
     own = F.coalesce(full("instrument_id"), full("figi"), full("uid"), F.lit("unknown"))

@@ -11,7 +11,7 @@ from tapewright.operators import windows as W
 from tapewright.operators.gates import Gate, greedy_gate
 from tapewright.plans import tape
 from tapewright.schemas import SIGNAL_TYPES
-from tapewright.streaming.detect import stream_detect
+from tapewright.streaming.detect import OUT, stream_detect
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -152,6 +152,38 @@ def stream_detect_replay(spark, sf_dir):
     return shown(stream_detect(tape.events(spark, sf_dir).withColumn("seq", F.col("us")), tape.SETTINGS))
 
 
+def _streamed(spark, sf_dir, *in_force):
+    """Both halves of the tape, by time, arrive one after the other at one stream, whose
+    state outlives the first run; ``in_force`` are the settings of each."""
+    from tapewright.plans.table_queries import _scratch
+
+    ev = tape.events(spark, sf_dir).withColumn("seq", F.col("us"))
+    ends = ev.agg(F.min("us").alias("a"), F.max("us").alias("b")).first()  # one row
+    cut = ((ends.a or 0) + (ends.b or 0)) // 2
+    source, out, state = (_scratch(spark, x) for x in ("arrived", "signals", "state"))
+    for part, settings in zip((ev.filter(F.col("us") <= cut), ev.filter(F.col("us") > cut)), in_force):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(part.schema).parquet(source)
+        found = stream_detect(stream, refresh=lambda s=settings: (s, {}))
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return shown(spark.read.schema(OUT).parquet(out))
+
+
+@query(FOUND_SQL + SIGNALS_SELECT)
+def stream_detect_live(spark, sf_dir):
+    """The stateful stream over files that arrive in two micro-batches."""
+    return _streamed(spark, sf_dir, tape.SETTINGS, tape.SETTINGS)
+
+
+STRICT = tape.SETTINGS.with_(dict.fromkeys(("volume_zscore_threshold", "trade_count_zscore_threshold", "price_return_zscore_threshold", "spread_zscore_threshold"), 1.913))
+
+
+@query(FOUND_SQL.replace("where z >= 1.513", "where z >= case when us <= (select (min(us) + max(us)) // 2 from tape) then 1.513 else 1.913 end") + SIGNALS_SELECT)
+def refresh_settings(spark, sf_dir):
+    """Thresholds change between two micro-batches; windows, samples and cooldowns stay."""
+    return _streamed(spark, sf_dir, tape.SETTINGS, STRICT)
+
+
 def _found(spark, sf_dir):
     return D.signals(D.detect(tape.events(spark, sf_dir), tape.SETTINGS))
 

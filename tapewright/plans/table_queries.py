@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -167,8 +168,10 @@ def _scratch(spark, name: str) -> str:
     if not base:
         import tempfile
 
-        # a running session refuses to change the setting itself
+        # a running session refuses to change the setting itself; only a local one gets a folder of its own
         if not context.getCheckpointDir():
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tapewright-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/tapewright/{name}-{uuid.uuid4().hex}"
@@ -281,29 +284,33 @@ def subscription_filter(spark, sf_dir):
     return J.subscription_filter(ev, subs).select("instrument_id", "us", "event_type")
 
 
-def _instrument_rows(spark, sf_dir):
-    s = tape.instruments(spark, sf_dir)
-    return s.select(F.concat(F.lit(" "), F.lower("ticker")).alias("ticker"), F.lower("class_code").alias("class_code"), F.when(F.col("load_order") % 2 == 0, F.upper("alias")).alias("alias"), F.lit(None).cast("boolean").alias("trades"), F.lit(False).alias("last_price"), F.lit(None).cast("boolean").alias("info"), F.lit(None).cast("int").alias("order_book_depth"), F.lit(True).alias("candles"))
-
-
-@query("select upper(s_name) || '_' || upper(n_name) as instrument_id, lower(s_name) as alias, true as trades, false as last_price, false as info, 0 as order_book_depth, true as candles from supplier join nation on s_nationkey = n_nationkey")
+@query("select upper(s_name) || '_' || upper(n_name) as instrument_id, lower(s_name) as alias, true as trades, false as last_price, s_suppkey % 3 > 0 as info, case when s_suppkey % 2 = 0 then (s_suppkey % 50)::int end as order_book_depth, s_suppkey % 5 = 0 as candles, case when s_suppkey % 5 = 0 then '5m' else '1m' end as candle_interval from supplier join nation on s_nationkey = n_nationkey")
 def read_instruments(spark, sf_dir):
-    """The normalisation that instrument files go through."""
-    return R.normalize_instruments(_instrument_rows(spark, sf_dir)).drop("ticker", "class_code")
+    """All suppliers as files of 500 instruments each (JSON, which is YAML), read back."""
+    path, k = _scratch(spark, "instruments"), F.col("load_order")
+    info, five = F.when(k % 3 == 0, False), F.when(k % 5 == 0, True)
+    subscriptions = F.struct(F.lit(False).alias("last_price"), info.alias("info"), F.when(k % 2 == 0, (k % 50).cast("int")).alias("order_book_depth"), five.alias("candles"), F.when(five, "5m").alias("candle_interval"))
+    item = F.struct(F.concat(F.lit(" "), F.lower("ticker")).alias("ticker"), F.lower("class_code").alias("class_code"), F.when(k % 2 == 0, F.upper("alias")).alias("alias"), subscriptions.alias("subscriptions"))
+    files = tape.instruments(spark, sf_dir).groupBy(F.floor(k / 500).alias("file")).agg(F.collect_list(item).alias("instruments"))
+    files.select("file", F.to_json(F.struct("instruments")).alias("value")).write.partitionBy("file").text(path)
+    return R.read_instruments(spark, path).drop("ticker", "class_code")
 
 
 @query("select c_custkey, case when c_custkey % 7 = 0 then 99.0 when c_custkey % 10 = 0 then 5.0 else 3.0 end::double as volume_zscore_threshold, case when c_custkey % 7 = 0 then 60 when c_custkey % 10 = 0 then 30 else 60 end as trade_window_seconds from customer")
 def read_detector_settings(spark, sf_dir):
-    """Defaults, blocks and override blocks resolved per instrument; an override block
-    replaces the whole block of the main file."""
-    top = tape.table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] or 0
-    main = {"detector": {"volume_zscore_threshold": 3.0}, "per_instrument": {str(i): {"volume_zscore_threshold": 5.0, "trade_window_seconds": 30} for i in range(0, top + 1, 10)}}
-    own = {"per_instrument": {str(i): {"volume_zscore_threshold": 99.0} for i in range(0, top + 1, 7)}}
-    default, blocks = R.resolve_settings(main, own)
+    """Defaults from a settings file, and tables of blocks for the customers: an override
+    block replaces the whole block of the main table."""
     from tapewright.operators.detectors import join_settings
 
-    d = tape.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("instrument_id"))
-    return join_settings(d, default, blocks).select("c_custkey", "volume_zscore_threshold", "trade_window_seconds")
+    main, blocks, own = (_scratch(spark, x) for x in ("settings", "blocks", "overrides"))
+    text = json.dumps({"detector": {"volume_zscore_threshold": 3.0, "of_no_use": 1}, "per_instrument": {" none ": {"volume_zscore_threshold": 1}}})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(main)
+    c = tape.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("instrument_id"))
+    c.filter("c_custkey % 10 = 0").select("instrument_id", F.lit(5.0).alias("volume_zscore_threshold"), F.lit(30).alias("trade_window_seconds")).write.json(blocks)
+    c.filter("c_custkey % 7 = 0").select("instrument_id", F.lit(99.0).alias("volume_zscore_threshold")).write.json(own)
+    default, _ = R.read_detector_settings(spark, main)
+    table = R.resolve_blocks(default, R.read_setting_blocks(spark, blocks), R.read_setting_blocks(spark, own))
+    return join_settings(c, default, table).select("c_custkey", "volume_zscore_threshold", "trade_window_seconds")
 
 
 CANDLE_SQL = """t as (select l_suppkey::varchar as id, epoch_us(l_shipdate) as at_, l_extendedprice / l_quantity as price, l_quantity as volume, (epoch_us(l_shipdate), l_orderkey, l_linenumber, l_partkey, l_extendedprice) as o from lineitem),
@@ -339,24 +346,31 @@ def candle_events(spark, sf_dir):
     return _read(C.candle_rows(_stored(spark, sf_dir)))
 
 
-@query(WIRE_SQL + " where us >= epoch_us(timestamp '1995-01-01') and us <= epoch_us(timestamp '1996-12-31')")
-def read_candles(spark, sf_dir):
-    """Written by interval and date, read back with a range."""
+@query(WIRE_SQL)
+def write_candles(spark, sf_dir):
+    """All candles, by interval and month, and all of them back."""
     path = _scratch(spark, "candles")
-    K.write_candles(C.candle_rows(_stored(spark, sf_dir)).repartition("interval", F.to_date("time")).filter(F.year("time").between(1995, 1996)), path)
+    K.write_candles(C.candle_rows(_stored(spark, sf_dir)), path)
+    return _read(R.read_candles(spark, path))
+
+
+@query(WIRE_SQL + " where us >= epoch_us(timestamp '1995-01-15') and us <= epoch_us(timestamp '1996-12-10')")
+def read_candles(spark, sf_dir):
+    """All candles are stored; the reader cuts a range out of them."""
     import datetime as dt
 
-    return _read(R.read_candles(spark, path, "DAY", dt.datetime(1995, 1, 1), dt.datetime(1996, 12, 31)))
+    path = _scratch(spark, "candles")
+    K.write_candles(C.candle_rows(_stored(spark, sf_dir)), path)
+    return _read(R.read_candles(spark, path, "DAY", dt.datetime(1995, 1, 15), dt.datetime(1996, 12, 10)))
 
 
-@query(WIRE_SQL + " where id in ('1', '2', '3')")
+@query(WIRE_SQL)
 def read_candle_csv(spark, sf_dir):
     path = _scratch(spark, "csv")
     cell = lambda c: F.format_string("{'units': %d, 'nano': %d}", F.col(c)["units"], F.col(c)["nano"])
     rows = _stored(spark, sf_dir).select("instrument_id", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("time"), *(cell(c).alias(c) for c in N6), "volume", "is_complete")
     rows.repartition("instrument_id").write.partitionBy("instrument_id").option("header", True).csv(path)
-    # all instruments are stored; the SQL asks for three of them
-    return _read(R.read_candle_csv(spark, path, partition="instrument_id")).filter(F.col("instrument_id").isin("1", "2", "3"))
+    return _read(R.read_candle_csv(spark, path, partition="instrument_id"))
 
 
 @query("with " + CANDLE_SQL + " select id as instrument_id, us from c where volume >= 50")
@@ -551,13 +565,34 @@ def _orders(spark, sf_dir):
     return M.ma_order_signals(_features(spark, sf_dir).withColumn("balance", F.lit(100_000.0)))
 
 
-@query()
+# the fold candle by candle: which sides are open, and the lots of the last opening
+ORDERS_SQL = "with recursive " + FEATURE_SQL + """, r as (
+  select id, us, row_number() over (partition by id order by us) as k, case when p > 0 then floor(100000.0 / p)::bigint else 0 end as lots,
+    coalesce(s > l and l > o and abs((p - l) / l) < d, false) as may_long, coalesce(s < l and l < o and abs((p - l) / l) < d, false) as may_short,
+    p > l + 10.0 * d or p < l - 3.0 * d as end_long, p < l - 10.0 * d or p > l + 3.0 * d as end_short from f
+), w(id, k, us, is_long, is_short, held, lots, open_long, open_short, close_long, close_short, before) as (
+  select distinct id, 0::bigint, 0::bigint, false, false, 0::bigint, 0::bigint, false, false, false, false, 0::bigint from r
+  union all
+  select id, k, us, (is_long and not close_long) or open_long, (is_short and not close_short) or open_short,
+    case when open_long or open_short then lots when close_long or close_short then 0 else held end, lots, open_long, open_short, close_long, close_short, held
+  from (
+    select *, is_long and (end_long or open_short) as close_long, is_short and (end_short or open_long) as close_short from (
+      select r.id, r.k, r.us, w.is_long, w.is_short, w.held, r.lots, r.end_long, r.end_short,
+        not w.is_long and r.may_long and r.lots > 0 as open_long, not w.is_short and r.may_short and r.lots > 0 as open_short
+      from w join r on w.id = r.id and r.k = w.k + 1)))
+select id as instrument_id, us, 'open' as action, 'long' as direction, lots from w where open_long
+union all select id, us, 'open', 'short', lots from w where open_short
+union all select id, us, 'close', 'long', before from w where close_long
+union all select id, us, 'close', 'short', before from w where close_short"""
+
+
+@query(ORDERS_SQL)
 def ma_order_signals(spark, sf_dir):
-    """A fold over each instrument; compared with a plain loop in the tests."""
+    """A fold over each instrument."""
     return _orders(spark, sf_dir)
 
 
-@query()
+@query(f"select * from ({ORDERS_SQL}) order by us, action <> 'close', instrument_id, direction")
 def closing_before_opening(spark, sf_dir):
     return M.closing_before_opening(_orders(spark, sf_dir))
 

@@ -6,6 +6,7 @@ from dataclasses import asdict, dataclass, fields, replace
 
 QUOTATION = "struct<units: bigint, nano: int>"
 LEVEL = f"struct<price: {QUOTATION}, quantity: double>"
+# fixed values: names of the columns of events and signals, and the types of signals
 ENVELOPE = (
     "event_id string, event_type string, instrument_id string, ticker string, class_code string, alias string, "
     "figi string, uid string, source_time timestamp, received_at timestamp, payload string"
@@ -82,5 +83,9 @@ class Settings:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
         return replace(self, **{k: kinds[k](v) for k, v in changes.items()})
 
+    def laid_over(self, block: dict) -> Settings:
+        """With the values of a configuration block; keys that aren't settings are ignored."""
+        return self.with_({k: v for k, v in block.items() if k in self.as_dict()})
+
     def as_dict(self) -> dict:
         return asdict(self)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,14 +80,17 @@ def normalize_events(messages: DataFrame, received_at=None) -> DataFrame:
 
 
 def read_candles(spark: SparkSession, path: str, interval: str | None = None, start=None, end=None) -> DataFrame:
-    """Parquet candles, pruned to an interval and to [start, end]."""
-    d = spark.read.schema(CANDLE + ", date date").parquet(path)
-    for condition in (interval and F.col("interval") == interval, start is not None and F.col("time") >= start, end is not None and F.col("time") <= end):
-        if condition is not None and condition is not False:
-            d = d.filter(condition)
+    """Parquet candles as ``write_candles`` lays them out, pruned to an interval and to the
+    months of [start, end], and cut to that range."""
+    d = spark.read.schema(CANDLE + ", month date").parquet(path)
+    if interval:
+        d = d.filter(F.col("interval") == interval)
+    month = lambda x: F.trunc(F.lit(x).cast("date"), "month")
     if start is not None:
-        d = d.filter(F.col("date") >= F.to_date(F.lit(start)))
-    return d.drop("date")
+        d = d.filter((F.col("time") >= start) & (F.col("month") >= month(start)))
+    if end is not None:
+        d = d.filter((F.col("time") <= end) & (F.col("month") <= month(end)))
+    return d.drop("month")
 
 
 def quotation_cell(c):
@@ -106,39 +111,90 @@ def read_candle_csv(spark: SparkSession, path: str, start=None, end=None, partit
     return d if end is None else d.filter(F.col("time") <= end)
 
 
-def _yaml(spark: SparkSession, path: str) -> dict:
-    """A configuration file, read by Spark so that any store works."""
-    import yaml
+def _parse(text: str) -> dict:
+    """A YAML document; without a YAML parser, which not every installation has, JSON."""
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text) or {}
+    return yaml.safe_load(text) or {}
 
-    got = spark.read.text(path, wholetext=True).first()
-    return yaml.safe_load(got[0]) or {} if got else {}
+
+def _mapping(x, what: str) -> Mapping:
+    if x is None:
+        return {}
+    if not isinstance(x, Mapping):
+        raise ValueError(f"{what} is a mapping, not {x!r}")
+    return x
+
+
+INSTRUMENT = (
+    "ticker string, class_code string, alias string, trades boolean, last_price boolean, info boolean, "
+    "order_book_depth int, candles boolean, candle_interval string"
+)
 
 
 def normalize_instruments(raw: DataFrame) -> DataFrame:
     """Upper-case ticker and class, lower-case alias (by default the ticker), flags with
-    defaults, instrument_id from both names."""
+    defaults, instrument_id from both names. No depth: no book is subscribed to."""
     ticker, code = F.upper(F.trim("ticker")), F.upper(F.trim("class_code"))
     flag = lambda c, default: F.coalesce(F.col(c), F.lit(default)).alias(c)
     return raw.select(
         S.instrument_key(ticker, code).alias("instrument_id"), ticker.alias("ticker"), code.alias("class_code"), F.lower(F.trim(F.coalesce("alias", "ticker"))).alias("alias"),
-        flag("trades", True), flag("last_price", True), flag("info", False), flag("order_book_depth", 0), flag("candles", False),
+        flag("trades", True), flag("last_price", True), flag("info", True), "order_book_depth", flag("candles", False), flag("candle_interval", "1m"),
     )
 
 
 def read_instruments(spark: SparkSession, path: str) -> DataFrame:
-    rows = [{k: v for k, v in x.items()} for x in _yaml(spark, path).get("instruments", [])]
-    schema = "ticker string, class_code string, alias string, trades boolean, last_price boolean, info boolean, order_book_depth int, candles boolean"
-    names = [c.split()[0] for c in schema.split(", ")]
-    return normalize_instruments(spark.createDataFrame([tuple(x.get(n) for n in names) for x in rows], schema))
+    """Instruments of a configuration file, or of a folder of them, each parsed in a task:
+    a list ``instruments`` of names with a mapping ``subscriptions`` of flags."""
+    flags = [c.split()[0] for c in INSTRUMENT.split(", ")][3:]
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
+        schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in INSTRUMENT.split(", "))])
+        for b in batches:
+            rows = []
+            for text in b.column("value").to_pylist():
+                listed = _mapping(_parse(text), "an instrument file").get("instruments") or []
+                if not isinstance(listed, list):
+                    raise ValueError("'instruments' is a list")
+                for x in listed:
+                    subs = _mapping(_mapping(x, "an instrument").get("subscriptions"), "'subscriptions'")
+                    names = {k: None if x.get(k) is None else str(x[k]) for k in ("ticker", "class_code", "alias")}
+                    rows.append(names | {k: subs.get(k) for k in flags})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return normalize_instruments(spark.read.text(path, wholetext=True).mapInArrow(items, INSTRUMENT))
 
 
 def resolve_settings(main: Mapping, overrides: Mapping | None = None) -> tuple[Settings, dict[str, Settings]]:
     """The ``detector`` block over the defaults; per instrument, the override file's block
-    replaces the main file's whole block, and is laid over the ``detector`` block."""
-    default = Settings().with_(dict(main.get("detector") or {}))
-    blocks = dict(main.get("per_instrument") or {}) | dict((overrides or {}).get("per_instrument") or {})
-    return default, {k: default.with_(dict(v or {})) for k, v in blocks.items()}
+    replaces the main file's whole block, and is laid over the ``detector`` block. Keys
+    that aren't settings are ignored, names of instruments are trimmed, empty ones go."""
+    default = Settings().laid_over(_mapping(main.get("detector"), "'detector'"))
+    blocks = {**_mapping(main.get("per_instrument"), "'per_instrument'"), **_mapping((overrides or {}).get("per_instrument"), "'per_instrument'")}
+    named = {str(k).strip(): _mapping(v, f"the block of {k!r}") for k, v in blocks.items()}
+    return default, {k: default.laid_over(v) for k, v in named.items() if k}
 
 
 def read_detector_settings(spark: SparkSession, path: str, overrides_path: str | None = None) -> tuple[Settings, dict[str, Settings]]:
-    return resolve_settings(_yaml(spark, path), _yaml(spark, overrides_path) if overrides_path else None)
+    """Settings files, read by Spark so that any store works."""
+    files = [spark.read.text(p, wholetext=True).first() for p in (path, overrides_path) if p]
+    return resolve_settings(*(_mapping(_parse(f[0]), "a settings file") if f else {} for f in files))
+
+
+def read_setting_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of many instruments as JSON lines: instrument_id and any settings, null where
+    the block doesn't have them."""
+    kinds = {int: "int", float: "double", bool: "boolean"}
+    names = ", ".join(f"{k} {kinds[type(v)]}" for k, v in Settings().as_dict().items())
+    return spark.read.schema(f"instrument_id string, {names}").json(path)
+
+
+def resolve_blocks(default: Settings, main: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``resolve_settings`` for tables of blocks: a row per instrument, as ``join_settings``
+    takes them. Nothing comes to the driver."""
+    rest = main.join(overrides.select("instrument_id"), "instrument_id", "left_anti")
+    both = overrides.unionByName(rest).withColumn("s_instrument", F.trim("instrument_id")).filter("s_instrument <> ''")
+    return both.select("s_instrument", *(F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in default.as_dict().items()))

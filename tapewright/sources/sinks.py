@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.schemas import SIGNAL
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
 
 def write_signals(signals: DataFrame, path: str) -> None:
     """Append to a Parquet table partitioned by day. The deterministic signal_id makes
     redelivered rows recognisable: rows of this batch that the days it touches already
-    hold are left out."""
+    hold are left out; other days aren't read."""
     spark = signals.sparkSession
-    dated = signals.dropDuplicates(["signal_id"]).withColumn("date", F.to_date("detected_at"))
+    dated = signals.dropDuplicates(["signal_id"]).withColumn("date", F.to_date("detected_at")).persist()
     try:
-        known = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        known = None
-    if known is not None:
-        dated = dated.join(known.select("signal_id", "date"), ["signal_id", "date"], "left_anti").select(*dated.columns)
-    dated.write.mode("append").partitionBy("date").parquet(path)
+        fresh = dated
+        if _exists(spark, path):
+            days = [r.date for r in dated.select("date").distinct().collect()]  # a row a day
+            known = spark.read.schema(f"{SIGNAL}, date date").parquet(path).filter(F.col("date").isin(days))
+            fresh = dated.join(known.select("signal_id", "date"), ["signal_id", "date"], "left_anti").select(*dated.columns)
+        fresh.write.mode("append").partitionBy("date").parquet(path)
+    finally:
+        dated.unpersist()
 
 
 def write_signals_jdbc(signals: DataFrame, url: str, table: str = "market_signals", **options: str) -> None:
@@ -74,6 +81,7 @@ def write_threshold_overrides(thresholds: DataFrame, path: str, generated_at, lo
 
 
 def write_candles(candles: DataFrame, path: str, fmt: str = "parquet") -> None:
-    dated = candles.withColumn("date", F.to_date("time"))
-    writer = dated.write.mode("append").partitionBy("interval", "date")
+    """Append by interval and month; rows of a month are written together."""
+    dated = candles.withColumn("month", F.trunc(F.col("time").cast("date"), "month")).repartition("interval", "month")
+    writer = dated.write.mode("append").partitionBy("interval", "month")
     writer.parquet(path) if fmt == "parquet" else writer.option("header", True).csv(path)

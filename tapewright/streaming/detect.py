@@ -18,16 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapewright.functions import scalars as S
-from tapewright.operators.detectors import route
+from tapewright.operators.detectors import BASELINES, route
 from tapewright.schemas import Settings
 
 OUT = (
     "instrument_id string, us bigint, seq bigint, source_event_type string, signal_type string, severity int, metric_value double, "
-    "baseline_value double, z_score double, window_seconds int, note string"
+    "baseline_value double, z_score double, window_seconds int, note string, detail string"
 )
 SEC = S.SECOND
 
 
+def _json(**values) -> str:
+    return json.dumps({k: v for k, v in values.items() if v is not None}, separators=(",", ":"), ensure_ascii=False)
+
+
 class Fold:
     """State of one instrument: points of the windows, samples, and times of gates."""
 
@@ -59,7 +63,7 @@ class Fold:
         self.s["active"][kind] = us
         if self._gate("alerted", kind, us, c.alert_cooldown_seconds):
             self.s["alerted"][kind] = us
-            out.append((kind, 3 if z >= 6 else 2 if z >= 4 else 1, value, mean, z, window, None))
+            out.append((kind, 3 if z >= 6 else 2 if z >= 4 else 1, value, mean, z, window, None, _json(baseline_label=BASELINES[kind])))
 
     def _combo(self, us: int, c: Settings, out: list) -> None:
         if not c.combo_enabled or not self._gate("sampled", "combo", us, c.sample_every_seconds):
@@ -79,7 +83,8 @@ class Fold:
                 self.s["alerted"][kind] = us
                 shown = "n/a" if share is None else f"{share:.2f}"
                 note = f" combo-{side} score={score} (spread={on['spread_widening']}, imbalance={shown} tick_rate={on['trade_rate_spike']}, delta={delta:.2f})."
-                out.append((kind, 3 if score >= c.combo_min_score + 2 else 2, float(score), float(c.combo_min_score), 0.0, c.combo_freshness_seconds, note))
+                detail = _json(score=score, min_score=c.combo_min_score, spread_active=on["spread_widening"], tick_rate_active=on["trade_rate_spike"], imbalance_ratio=share, signed_delta_qty=delta)
+                out.append((kind, 3 if score >= c.combo_min_score + 2 else 2, float(score), float(c.combo_min_score), 0.0, c.combo_freshness_seconds, note, detail))
 
     def event(self, e, c: Settings) -> list:
         """Signals of one event (a row with the tape's columns, flat)."""
@@ -125,7 +130,7 @@ class Fold:
             s["status"] = now
             if before is not None and now != before and self._gate("alerted", "trading_status_changed", us, c.alert_cooldown_seconds):
                 s["alerted"]["trading_status_changed"] = us
-                out.append(("trading_status_changed", 2, 1.0, 0.0, 0.0, 0, f" trading status changed from {before} to {now}."))
+                out.append(("trading_status_changed", 2, 1.0, 0.0, 0.0, 0, f" trading status changed from {before} to {now}.", _json(previous_status=before, current_status=now)))
         return out
 
 

@@ -58,13 +58,15 @@ def test_orders_against_a_loop(spark, data):
             long_open, short_open = (long_open and not end_long) or go_long, (short_open and not end_short) or go_short
             if go_long or go_short:
                 position = lots
+    first = catalog.QUERIES["closing_before_opening"](spark, data).collect()
+    assert [(r.us, r.action != "close") for r in first] == sorted((r.us, r.action != "close") for r in first)
     assert expected and sorted(map(tuple, catalog.QUERIES["ma_order_signals"](spark, data).collect())) == sorted(expected)
 
 
 def test_empty_tables(spark, data, tmp_path):
     for t in ("events", "lineitem", "orders", "supplier", "nation", "customer"):
         tape.table(spark, data, t).limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
-    for name in ("detect_all", "stream_detect_replay", "signal_summary", "candle_build", "hourly_thresholds", "coverage_gaps", "merge_candles", "ma_order_signals", "enrich_events", "mav_rows", "stitched_candles", "write_signals"):
+    for name in ("detect_all", "stream_detect_replay", "signal_summary", "candle_build", "hourly_thresholds", "coverage_gaps", "merge_candles", "ma_order_signals", "enrich_events", "mav_rows", "stitched_candles", "write_signals", "write_candles", "read_candles", "read_instruments", "read_detector_settings", "stream_detect_live", "refresh_settings", "closing_before_opening"):
         assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0
 
 

@@ -1,5 +1,7 @@
 """The detectors on batch and stream: worked cases, and batch against stream."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,24 @@ def test_tape_counts_and_stream(spark, data):
     full = signals(found)
     assert full.schema.simpleString() == spark.createDataFrame([], SIGNAL).schema.simpleString()
     assert full.filter("summary is null or signal_id is null").count() == 0
+    # what a signal was measured by is the same text from stream and batch, but for digits of doubles
+    told = lambda d: sorted((r.instrument_id, r.us, r.signal_type, r.detail) for r in d.filter("signal_type not like 'micro%'").collect())
+    assert told(found) == told(stream_detect(ev.withColumn("seq", F.col("us")), tape.SETTINGS).withColumn("x", F.lit(1)))
+    whole = {r.signal_type: json.loads(r.payload) for r in signals(found, events=ev).collect()}
+    assert whole["volume_spike"]["baseline_label"] == "rolling volume" and whole["volume_spike"]["event_payload"]["quantity"] > 0
+    assert whole["trading_status_changed"]["previous_status"] != whole["trading_status_changed"]["current_status"]
+    assert whole["microstructure_combo_long"]["score"] >= 4 and "event_payload" not in whole["microstructure_combo_long"]
+
+
+def test_a_hot_instrument_and_gates_over_batches(spark):
+    """One instrument holds nine tenths of a long tape; batch and stream agree on it."""
+    events = [trade(t * 0.7, 1 + (t * 7) % 11, 50.0 + (t * 5) % 13, "SELL" if t % 3 else "BUY", who="AAA" if t % 10 else f"B{t % 7}") for t in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        found = both(spark, events, BASE.with_({"volume_zscore_threshold": 1.313, "trade_count_zscore_threshold": 1.313, "price_return_zscore_threshold": 0.513, "alert_cooldown_seconds": 7}))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) > 50
 
 
 def test_stream_keeps_state_between_batches(spark, data, tmp_path):
