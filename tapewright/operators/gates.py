@@ -5,20 +5,31 @@ This is no window frame: whether a row passes depends on which earlier ones did.
 Rows are dealt by key, sorted, and streamed in Arrow batches; the gate jumps from
 one accepted row to the next by binary search and carries one time per gate over
 batch borders, so memory is a batch, not a key. Several gates share one pass, and
-a gate may be opened by the outcome of earlier gates. All rows of a key pass one
-task in order; callers who may reset state per session add the session to the key.
+a gate may be opened by the outcome of earlier gates.
+
+A key need not stay in one task there: after a pause of all intervals between
+eligible rows every gate accepts whatever came before, so state may start anew. Keys of
+many rows are cut at such pauses into blocks of about ``BLOCK_ROWS`` rows, and blocks are
+dealt. The pauses themselves come from windows by key, which stay in the JVM and share
+the sort of windows that the caller has by the same keys and order. A key without pauses
+is one block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+#: Rows after which a key's next pause starts a new block.
+BLOCK_ROWS = 250_000
+
 
 @dataclass(frozen=True)
 class Gate:
@@ -40,10 +51,25 @@ def _accept(times: np.ndarray, interval: int, last: int | None) -> tuple[np.ndar
     return out, last
 
 
+def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], gates: Sequence[Gate]) -> DataFrame:
+    """``df`` with ``__block``, which changes only at rows that open every gate they are
+    eligible for, whatever came before."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    opens = reduce(lambda a, b: a | b, (F.coalesce(F.col(g.eligible), F.lit(False)) for g in gates if isinstance(g.eligible, str)))
+    before = F.last(F.when(opens, F.col(order[0])), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = df.withColumns({"__k": F.row_number().over(w), "__before": before})
+    paused = reduce(lambda a, b: a & b, (F.col(order[0]) - F.col("__before") >= F.col(i) for i in dict.fromkeys(g.interval for g in gates)))
+    start = F.last(F.when(opens & paused, F.col("__k")), ignorenulls=True).over(so_far)
+    return d.withColumn("__block", F.coalesce((start / BLOCK_ROWS).cast("int"), F.lit(0))).drop("__k", "__before")
+
+
 def greedy_gate(df: DataFrame, keys: Sequence[str], order: Sequence[str], gates: Sequence[Gate]) -> DataFrame:
     """``df`` with a boolean column per gate. ``order`` starts with the time, a bigint;
     intervals are bigint columns, constant within a key. Null eligibility is false."""
-    keys, order, gates = list(keys), list(order), tuple(gates)
+    order, gates = list(order), tuple(gates)
+    df = _blocks(df, keys, order, gates)
+    keys = [*keys, "__block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -71,4 +97,4 @@ def greedy_gate(df: DataFrame, keys: Sequence[str], order: Sequence[str], gates:
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, out.values())], [*b.schema.names, *out])
 
     schema = StructType([*df.schema.fields, *(StructField(g.name, BooleanType()) for g in gates)])
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema).drop("__block")

@@ -117,6 +117,39 @@ def test_a_hot_instrument_and_gates_over_batches(spark):
     assert len(found) > 50
 
 
+def test_gates_cut_hot_keys_at_pauses(spark, monkeypatch):
+    """Blocks of a key change no outcome, against a loop; ties, nulls, dependent gates and
+    intervals of their own included."""
+    import random
+
+    from tapewright.operators import gates as G
+
+    r = random.Random(3)
+    data, at = [], {}
+    for n in range(1500):
+        who = "hot" if n % 10 else f"k{n % 40}"
+        at[who] = at.get(who, 0) + r.choice((0, 1, 1, 2, 3, 9))
+        data.append((who, at[who], n, r.choice((True, True, False, None)), r.choice((True, False)), r.random() < 0.8, 4, 7))
+    df = spark.createDataFrame(data, "who string, us bigint, seq bigint, a boolean, b boolean, c boolean, short bigint, long bigint")
+    listed = (G.Gate("g_a", "short", "a"), G.Gate("g_b", "long", "b"), G.Gate("g_c", "short", ("g_a", "g_b"), "c"))
+    expected, last = [], {}
+    for who, us, seq, a, b, c, short, long in data:
+        ok = {}
+        for name, interval, on in (("g_a", short, lambda: a), ("g_b", long, lambda: b), ("g_c", short, lambda: c and (ok["g_a"] or ok["g_b"]))):
+            before = last.get((who, name))
+            ok[name] = bool(on()) and (before is None or us - before >= interval)
+            if ok[name]:
+                last[who, name] = us
+        expected.append((seq, *ok.values()))
+    for rows_a_block in (1, 20, 250_000):
+        monkeypatch.setattr(G, "BLOCK_ROWS", rows_a_block)
+        out = G.greedy_gate(df, ["who"], ["us", "seq"], listed)
+        assert out.columns == [*df.columns, "g_a", "g_b", "g_c"]
+        assert sorted((x.seq, x.g_a, x.g_b, x.g_c) for x in out.collect()) == expected
+        blocks = G._blocks(df, ["who"], ["us", "seq"], listed).filter("who = 'hot'").select("__block").distinct().count()
+        assert blocks > 10 if rows_a_block < 250_000 else blocks == 1
+
+
 def test_stream_keeps_state_between_batches(spark, data, tmp_path):
     ev = tape.events(spark, data).withColumn("seq", F.col("us"))
     expected = stream_detect(ev, tape.SETTINGS).count()
