@@ -29,11 +29,12 @@ are the operator's own.
 
 With a ``similarity`` texts are compared themselves. Nodes are sets of shingles (copies
 are one node); ``tables`` fingerprints of a node come from as many hash functions. Here a
-posting holds three bytes, at 20 of the 56 sets of three positions: each four positions
-hold one of these, so four equal bytes, which four differing bits leave at least, are
-sure to meet, and three equal ones often do. Candidates meet in one table, differ there in
-at most ``max_bits``, and are verified by exact Jaccard similarity: no false link is made,
-and links are missed where texts just over 0.8 share too few bytes (the README has figures).
+posting holds three bytes, at 8 of the 56 sets of three positions: no two positions lie in
+two of these, so that sets seldom fail together, and each five positions hold one, so that
+five equal bytes, which three differing bits leave at least, are sure to meet, and fewer often
+do. Candidates meet in one table, differ there in at most ``max_bits``, and are verified by
+exact Jaccard similarity: no false link is made, and links are missed where texts just over
+0.8 share too few bytes in every table (the README has figures).
 """
 
 from __future__ import annotations
@@ -54,10 +55,12 @@ SEED = 42
 MAX_POSTING = 48
 #: Four of the eight byte positions, so that each three positions lie in one set.
 QUADS = tuple(q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0)
-#: Three of the eight byte positions, so that each four positions hold one such set: positions
-#: lie in a ring of groups, and a set is of one group, or two of a group and one of the next.
-_GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
-TRIPLES = tuple(t for t in combinations(range(8), 3) if any(sum(x in g for x in t) == 3 or sum(x in g for x in t) == 2 and sum(x in h for x in t) == 1 for g, h in zip(_GROUPS, (*_GROUPS[1:], _GROUPS[0]))))
+#: Three of the eight byte positions: these are the points of a plane of three by three but
+#: for its origin, and the sets are the lines of that plane that miss the origin.
+_POINTS = tuple(divmod(n, 3) for n in range(1, 9))
+TRIPLES = tuple(t for t in combinations(range(8), 3) if all(sum(_POINTS[i][axis] for i in t) % 3 == 0 for axis in (0, 1)))
+#: Fingerprints of a node where texts are compared.
+TABLES = 14
 
 
 def least_tally(max_bits: int) -> int:
@@ -132,6 +135,15 @@ def _remixed(h: np.ndarray, table: int) -> np.ndarray:
     return h
 
 
+def _majorities(h: np.ndarray, tables: int) -> list[int]:
+    """A document's fingerprint in each table."""
+    ones = np.zeros((tables, 64), np.int64)
+    for k in range(0, len(h), 1024):
+        part = np.stack([_remixed(h[k : k + 1024], t) for t in range(tables)])
+        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(tables, -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
 def _sketches(docs: DataFrame, shingle: int, tables: int, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` columns, ``sk``, a hash of the set of shingles, and ``fp0`` and on, a
     fingerprint for each table; narrow."""
@@ -144,8 +156,8 @@ def _sketches(docs: DataFrame, shingle: int, tables: int, keep: tuple[str, ...])
         for b in batches:
             hashes = [shingle_hashes(t, shingle) for t in b.column("text").to_pylist()]
             sk = np.array([xxhash.xxh64_intdigest(np.unique(h).astype("<u8").tobytes(), SEED) for h in hashes], np.uint64).view(np.int64)
-            fps = [np.array([_majority(_remixed(h, k)) for h in hashes], np.uint64).view(np.int64) for k in range(tables)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sk), *map(pa.array, fps)], [*keep, "sk", *prints])
+            fps = np.array([_majorities(h, tables) for h in hashes], np.uint64).reshape(-1, tables).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sk), *(pa.array(fps[:, k]) for k in range(tables))], [*keep, "sk", *prints])
 
     schema = StructType([*(docs.schema[c] for c in keep), *(StructField(c, LongType()) for c in ("sk", *prints))])
     return docs.select(*keep, "text").mapInArrow(run, schema)
@@ -187,13 +199,15 @@ def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     ``MAX_POSTING`` each member is first verified against one of them; then only pairs
     that are not yet in one group are compared, and all of these."""
 
-    def posting(table: int, nth: int) -> Column:
-        fp, key = F.col(f"fp{table}"), _long(table * len(TRIPLES) + nth)
+    def posting(nth: int) -> Column:
+        key = F.col("table") * len(TRIPLES) + nth
         for i in TRIPLES[nth]:
-            key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(fp, 8 * i).bitwiseAND(_long(0xFF)))
-        return F.struct(key.alias("key"), fp.alias("fp"))
+            key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * i).bitwiseAND(_long(0xFF)))
+        return key
 
-    every = nodes.select("sk", F.explode(F.array(*(posting(t, m) for t in range(tables) for m in range(len(TRIPLES))))).alias("m")).select("sk", "m.*")
+    prints = F.array(*(F.struct(_long(t).alias("table"), F.col(f"fp{t}").alias("fp")) for t in range(tables)))
+    each = nodes.select("sk", F.explode(prints).alias("p")).select("sk", "p.*")
+    every = each.select("sk", "fp", F.explode(F.array(*(posting(m) for m in range(len(TRIPLES))))).alias("key"))
     sizes = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     # a merge join at every size; lists that own many rows are split by adaptive execution
     posted = materialize(every.join(sizes.hint("merge"), "key"))
@@ -358,7 +372,7 @@ def _roots(keyed: DataFrame, text_key: str, shingle: int, max_bits: int, similar
     return nodes.join(member.withColumnRenamed("node", "sk"), "sk", "left").select("doc_id", text_key, F.coalesce("root", "sk").alias("root"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, similarity: float | None = None, tables: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, similarity: float | None = None, tables: int = TABLES) -> DataFrame:
     """Rows of ``docs`` that stay: of each group the one with the smallest doc_id
     (null ids last, then by the text's hash; of rows with that id and text, one). All columns of ``docs`` come back unchanged.
     With a ``similarity``, texts are linked if they meet in the postings of one of ``tables``

@@ -163,7 +163,7 @@ def stage_groups(lines):
     words = [brute.SPACE.findall((x or "").translate(brute.UP)) for x in lines]
     sets = [frozenset(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for w in words]
     hashes = [simhash.shingle_hashes(x, 5) for x in lines]
-    prints = [[simhash._majority(simhash._remixed(h, k)) for h in hashes] for k in range(3)]
+    prints = [[simhash._majority(simhash._remixed(h, k)) for h in hashes] for k in range(14)]
     meet = lambda x: any(all(x >> 8 * i & 0xFF == 0 for i in t) for t in simhash.TRIPLES)
 
     def groups(by_bytes):
@@ -210,7 +210,7 @@ def test_near_copies_against_brute_force_jaccard(spark, monkeypatch, listed):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     expected, whole = stage_groups(lines)
     assert kept == expected and whole <= kept
-    assert len(texts) - len(kept) > 0.9 * (len(texts) - len(whole))
+    assert len(texts) - len(kept) > 0.97 * (len(texts) - len(whole))
 
 
 def test_tally_tells_six_equal_bytes():
@@ -220,8 +220,8 @@ def test_tally_tells_six_equal_bytes():
     for n in range(9):
         for equal in combinations(range(8), n):
             assert (sum(set(q) <= set(equal) for q in simhash.QUADS) >= 3) == (n >= 6)
-            assert n < 4 or any(set(t) <= set(equal) for t in simhash.TRIPLES)
-    assert len(simhash.TRIPLES) == 20
+            assert n < 5 or any(set(t) <= set(equal) for t in simhash.TRIPLES)
+    assert len(simhash.TRIPLES) == 8 and all(len(set(s) & set(t)) < 2 for s, t in combinations(simhash.TRIPLES, 2))
 
 
 @pytest.mark.parametrize("listed", [48, 4, 1])
@@ -521,4 +521,4 @@ def test_pipeline_against_brute_force(spark, data):
     expected, whole = stage_groups([t for _, t in rows])
     stay = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()}
     assert stay == {rows[k][0] for k in expected}
-    assert {rows[k][0] for k in whole} <= stay and len(stay) - len(whole) <= 0.1 * (len(rows) - len(whole))
+    assert {rows[k][0] for k in whole} <= stay and len(stay) - len(whole) <= 0.05 * (len(rows) - len(whole))
