@@ -366,7 +366,8 @@ def _roots(keyed: DataFrame, text_key: str, shingle: int, max_bits: int, similar
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         chosen = materialize(_plain(nodes.join(wanted, "sk")).select("sk", *keys))
-        return _plain(keyed.select("doc_id", text_key, "text")).join(chosen, keys).dropDuplicates(keys).select("sk", "text")
+        # a merge join at every size: texts are shuffled once here, by the keys that de-duplication needs
+        return _plain(keyed.select("doc_id", text_key, "text")).join(chosen.hint("merge"), keys).dropDuplicates(keys).select("sk", "text")
 
     member = similar_groups(nodes.select("sk", *fps), texts_of, shingle, tables, max_bits, similarity)
     return nodes.join(member.withColumnRenamed("node", "sk"), "sk", "left").select("doc_id", text_key, F.coalesce("root", "sk").alias("root"))
