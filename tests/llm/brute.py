@@ -1,6 +1,7 @@
 """Brute-force versions of the operators' contracts, in plain Python."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -147,3 +148,65 @@ def op10(rows):
         learned = "".join(t for _, r, t in x if r == "assistant")
         out[c] = (len(x), sha("".join(f"{r}\n{t}\n" for _, r, t in x)), len(learned), sha(learned))
     return out
+
+
+def op11(rows, positives=5, negatives=10, low=30, high=90):
+    """rows of (vec_id, vector, label), with labels moved already; ids are unique"""
+    ok = [(i, [math.floor(256 * x) for x in v], n) for i, v, n in rows if i is not None and n is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, x, label in ok:
+        if a % 100:
+            continue
+        scored = sorted((-sum(p * q for p, q in zip(x, y)), i, n) for i, y, n in ok if i != a and len(x) == len(y))
+        for s, p, _ in [r for r in scored if r[2] == label][:positives]:
+            fit = [(i, -t) for t, i, n in scored if n != label and 30 * -s <= 100 * -t <= 90 * -s][:negatives]
+            out += [(a, p, k + 1, i, -s, t) for k, (i, t) in enumerate(fit)]
+    return sorted(out)
+
+
+def op12(rows, window=35):
+    split = [(i, [w.decode() for w in (t or "").encode().split()]) for i, t in rows]
+    seen = Counter(tuple(w[k : k + window]) for _, w in split for k in range(len(w) - window + 1))
+    out = []
+    for i, w in split:
+        gone = {j for k in range(len(w) - window + 1) if seen[tuple(w[k : k + window])] > 1 for j in range(k, k + window)}
+        out.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return sorted(out, key=str)
+
+
+def op13(rows, a_path, b_path):
+    import json
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    t, sp = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+    t.encode_special_tokens = True
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    of = {chr(x): x for x in shown} | {chr(256 + n): x for n, x in enumerate(x for x in range(256) if x not in shown)}
+    entry = {i: bytes(of.get(c, 0) for c in p) for p, i in json.load(open(a_path))["model"]["vocab"].items()}
+    aligned, held = [], Counter()
+    for i, text in rows:
+        whole = (" " + text).encode() if text else b""
+        a = t.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = sp.encode(text) if text else []
+        x = [entry[k] for k in a]
+        y = [bytes([int(sp.id_to_piece(k)[3:-1], 16)]) if sp.is_byte(k) else sp.id_to_piece(k).replace("▁", " ").encode() for k in b]
+        groups = []
+        if text and b"".join(x) == whole == b"".join(y):
+            ends = [{sum(map(len, z[: k + 1])): k for k in range(len(z))} if len(z) < 400 else dict(zip(np.cumsum(list(map(len, z))).tolist(), range(len(z)))) for z in (x, y)]
+            s = e = 0
+            for end in sorted(ends[0].keys() & ends[1].keys()):
+                groups.append((a[s : ends[0][end] + 1], b[e : ends[1][end] + 1]))
+                s, e = ends[0][end] + 1, ends[1][end] + 1
+        links = [(p, q) for g, h in groups for p in g for q in h]
+        held.update(set(links))
+        aligned.append((i, a if groups else [], b if groups else [], groups, links))
+    top = {}
+    for (p, _), n in held.items():
+        top[p] = max(top.get(p, 0), n)
+    out = []
+    for i, a, b, groups, links in aligned:
+        text = ";".join(f"{','.join(map(str, g))}|{','.join(map(str, h))}" for g, h in groups)
+        out.append((i, len(a), len(b), len(groups), len(links), sum(held[x] == top[x[0]] for x in links), sum(held[x] for x in links), sha(text) if groups else ""))
+    return sorted(out, key=str)
