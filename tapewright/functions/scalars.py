@@ -20,7 +20,15 @@ MAX_SPAN_SECONDS = {
     "HOUR": 604800, "2_HOUR": 604800, "4_HOUR": 604800, "DAY": 31536000, "WEEK": 31536000, "MONTH": 94608000,
 }
 ALIASES = {"1m": "ONE_MINUTE", "5m": "FIVE_MINUTES", "15m": "FIFTEEN_MINUTES", "1h": "ONE_HOUR", "1d": "ONE_DAY"}
-TRADING_STATUS = {"UNSPECIFIED": 0, "NOT_AVAILABLE_FOR_TRADING": 1, "OPENING_PERIOD": 2, "CLOSING_PERIOD": 3, "BREAK_IN_TRADING": 4, "NORMAL_TRADING": 5}
+# fixed values: codes of trading statuses, candle intervals and trade directions
+TRADING_STATUS = {
+    "UNSPECIFIED": 0, "NOT_AVAILABLE_FOR_TRADING": 1, "OPENING_PERIOD": 2, "CLOSING_PERIOD": 3, "BREAK_IN_TRADING": 4, "NORMAL_TRADING": 5,
+    "CLOSING_AUCTION": 6, "DARK_POOL_AUCTION": 7, "DISCRETE_AUCTION": 8, "OPENING_AUCTION_PERIOD": 9, "TRADING_AT_CLOSING_AUCTION_PRICE": 10,
+    "SESSION_ASSIGNED": 11, "SESSION_CLOSE": 12, "SESSION_OPEN": 13, "DEALER_NORMAL_TRADING": 14, "DEALER_BREAK_IN_TRADING": 15, "DEALER_NOT_AVAILABLE_FOR_TRADING": 16,
+}
+CANDLE_INTERVAL = {
+    "UNSPECIFIED": 0, "1_MIN": 1, "5_MIN": 2, "15_MIN": 3, "HOUR": 4, "DAY": 5, "2_MIN": 6, "3_MIN": 7, "10_MIN": 8, "30_MIN": 9, "2_HOUR": 10, "4_HOUR": 11, "WEEK": 12, "MONTH": 13,
+}
 TRADE_DIRECTION = {"UNSPECIFIED": 0, "BUY": 1, "SELL": 2}
 
 
@@ -30,6 +38,16 @@ def lookup(table: dict, key: Column, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def enum_code(table: dict, name: Column, prefix: str = "") -> Column:
+    """Code of a name, with or without the enumeration's prefix; null for what it doesn't have."""
+    return lookup(table, F.regexp_replace(F.upper(F.trim(name)), f"^{prefix}", "") if prefix else F.upper(F.trim(name)))
+
+
+def enum_name(table: dict, code: Column) -> Column:
+    """Name of a code, without a prefix."""
+    return lookup({v: k for k, v in table.items()}, code.cast("int"))
+
+
 def quotation_to_double(q: Column) -> Column:
     return q["units"] + q["nano"] / NANO
 

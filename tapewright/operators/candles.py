@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,27 +83,45 @@ def trading_density(candles: DataFrame, interval_seconds: int) -> DataFrame:
     return candles.groupBy(KEY).agg(F.when(span > 0, F.count("*") / (span / F.lit(interval_seconds * SECOND))).alias("density"))
 
 
-def coverage_coalesce(ranges: DataFrame) -> DataFrame:
-    """Ranges ``(instrument_id, start, end)`` that overlap or touch become one."""
-    w = Window.partitionBy(KEY).orderBy("start", "end")
+def coalesced(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ranges ``(keys.., start, end)`` that overlap or touch become one."""
+    w = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = ranges.withColumn("__new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
     islands = marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(KEY, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
+    return islands.groupBy(*keys, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
+
+
+def coverage_coalesce(ranges: DataFrame) -> DataFrame:
+    """Ranges ``(instrument_id, start, end)`` that overlap or touch become one."""
+    return coalesced(ranges, [KEY])
 
 
 def coverage_gaps(requests: DataFrame, stored: DataFrame, interval_seconds: int) -> DataFrame:
-    """What of ``requests`` (one range a key) isn't in ``stored``: the holes before and
-    between stored ranges, and the tail if a whole interval fits."""
-    inside = stored.join(requests.select(KEY, F.col("start").alias("rs"), F.col("end").alias("re")), KEY).filter("start <= re and rs <= end")
-    cut = inside.select(KEY, F.greatest("start", "rs").alias("start"), F.least("end", "re").alias("end"))
-    ends = requests.select(KEY, F.col("start").alias("first"), F.col("end").alias("last"))
-    w = Window.partitionBy(KEY).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    before = cut.join(ends, KEY).withColumn("reach", F.coalesce(F.max("end").over(w), F.col("first")))
-    holes = before.filter("start > reach").select(KEY, F.col("reach").alias("start"), F.col("start").alias("end"))
-    reached = ends.join(cut.groupBy(KEY).agg(F.max("end").alias("reach")), KEY, "left").withColumn("reach", F.coalesce("reach", "first"))
-    tail = reached.filter(F.col("reach") + interval_seconds * SECOND <= F.col("last")).select(KEY, F.col("reach").alias("start"), F.col("last").alias("end"))
-    return holes.unionByName(tail)
+    """What of ``requests`` isn't in ``stored`` (both instrument_id, start, end; any number of ranges a
+    key, in any order, overlapping or not): ``(instrument_id, start, end)`` of the holes before and between
+    stored ranges, and of a tail up to where requests end if a whole interval fits. Requests that
+    overlap or touch are one. Ranges with a null or an end before their start are left out.
+
+    A sweep: each start and end is a point, points carry how many requests and stored ranges
+    begin less how many end there, and running totals tell where something is wanted and
+    nothing stored. No range meets another in a join."""
+
+    def points(ranges: DataFrame, wanted: int) -> DataFrame:
+        ok = ranges.filter("start <= end")
+        step = lambda at, by: F.struct(F.col(at).cast("bigint").alias("at"), F.lit(by * wanted).alias("wanted"), F.lit(by * (1 - wanted)).alias("stored"), F.lit(by > 0 and not wanted).alias("begins"))
+        return ok.select(KEY, F.explode(F.array(step("start", 1), step("end", -1))).alias("p")).select(KEY, "p.*")
+
+    both = points(requests, 1).unionByName(points(stored, 0))
+    at = both.groupBy(KEY, "at").agg(F.sum("wanted").alias("wanted"), F.sum("stored").alias("stored"), F.bool_or("begins").alias("begins"))
+    w = Window.partitionBy(KEY).orderBy("at")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = at.withColumns({"asked": F.sum("wanted").over(so_far) > 0, "open": (F.sum("wanted").over(so_far) > 0) & (F.sum("stored").over(so_far) == 0)})
+    # points at which a hole begins or ends; a stored range without length ends one and begins the next
+    moved = d.withColumn("was", F.coalesce(F.lag("open").over(w), F.lit(False))).filter("open <> was or (open and begins)")
+    ended = moved.withColumns({"end": F.lead("at").over(w), "stored_there": F.lead("begins").over(w)})
+    long_enough = F.col("stored_there") | (F.col("at") + interval_seconds * SECOND <= F.col("end"))
+    return ended.filter(F.col("open") & long_enough).select(KEY, F.col("at").alias("start"), "end")
 
 
 def rounded_coverage(ranges: DataFrame, interval_seconds: int) -> DataFrame:
@@ -109,17 +129,22 @@ def rounded_coverage(ranges: DataFrame, interval_seconds: int) -> DataFrame:
     return ranges.withColumn("end", floor_us(F.col("end"), interval_seconds * SECOND))
 
 
+def within(candles: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``candles`` that lie in one of ``ranges (instrument_id, start, end)``, once each. Ranges are
+    cut into chunks of time, so a candle meets the ranges of its chunk only."""
+    cut = ranges.filter("start <= end").select(KEY, F.col("start").alias("__s"), F.col("end").alias("__e"))
+    cut = cut.withColumn("__c", F.explode(F.sequence(F.floor(F.col("__s") / CHUNK), F.floor(F.col("__e") / CHUNK))))
+    placed = candles.withColumn("__c", F.floor(F.col("us") / CHUNK))
+    on = (placed[KEY] == cut[KEY]) & (placed["__c"] == cut["__c"]) & placed["us"].between(cut["__s"], cut["__e"])
+    return placed.join(cut, on, "left_semi").drop("__c")
+
+
 def stitched_candles(stored: DataFrame, coverage: DataFrame, loaded: DataFrame, requests: DataFrame, interval_seconds: int) -> DataFrame:
-    """Candles of ``requests``: stored ones within the coverage, and loaded ones that are
-    complete and lie in a gap; then one per time. Where both touch, stored ones win. Gaps
-    are cut into chunks of time, so a candle meets the gaps of its chunk only."""
-    gaps = coverage_gaps(requests, coverage, interval_seconds).withColumnsRenamed({"start": "gs", "end": "ge"})
-    gaps = gaps.filter("gs <= ge").withColumn("__c", F.explode(F.sequence(F.floor(F.col("gs") / CHUNK), F.floor(F.col("ge") / CHUNK))))
-    new = complete_candles(loaded).withColumn("__c", F.floor(F.col("us") / CHUNK)).join(gaps, [KEY, "__c"])
-    new = new.filter(F.col("us").between(F.col("gs"), F.col("ge"))).select(*loaded.columns).dropDuplicates([KEY, "us"])
-    wanted = requests.select(KEY, F.col("start").alias("rs"), F.col("end").alias("re"))
-    old = stored.join(wanted, KEY).filter(F.col("us").between(F.col("rs"), F.col("re"))).select(*stored.columns)
-    return merge_candles(old, new)
+    """Candles of ``requests`` (any number a key): stored ones, and loaded ones that are
+    complete and lie in a gap; then one per time. Where both touch, stored ones win."""
+    gaps = coverage_gaps(requests, coverage, interval_seconds)
+    new = within(complete_candles(loaded), gaps).dropDuplicates([KEY, "us"])
+    return merge_candles(within(stored, requests), new)
 
 
 def candle_rows(quoted: DataFrame) -> DataFrame:

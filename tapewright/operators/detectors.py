@@ -1,12 +1,14 @@
-"""The eight detectors as one acyclic batch plan.
+"""The detectors as one acyclic batch plan, made from the table of rules (``rules.py``).
 
-    events -> window columns -> gates (trade, price, book, and combo on top of
-    them, in one pass) -> baselines over samples -> z-scores -> as-of columns for
-    the combo -> candidate signals -> cooldown gates -> signals
+    events -> window columns -> gates, one per slot -> samples -> gate of the combo ->
+    baselines over samples -> z-scores -> as-of columns for the combo -> candidate
+    signals -> cooldown gates -> signals
 
-Shuffles: by instrument for the windows, again for the baselines (the gate hides
-the partitioning, but only samples are left), and by (instrument, signal type) for
-the cooldown of candidates. Events are taken in order of (us, seq).
+Events are taken in order of (us, seq). Up to the samples no step needs all events of an
+instrument in one task: windows work by instrument and bucket of time with a halo, gates by
+blocks of time that are composed. Samples and candidates are bounded by time (one
+in ``sample_every_seconds`` a slot, and a row a bucket) however many events there are, so what follows
+works by instrument. Status changes are a plan of their own over status events.
 """
 
 from __future__ import annotations
@@ -17,17 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions import scalars as S
+from tapewright.operators import rules as R
 from tapewright.operators import windows as W
 from tapewright.operators.gates import Gate, greedy_gate
 from tapewright.schemas import SIGNAL_TYPES, Settings
 
 TRADE, PRICE, BOOK, STATUS = ("trade",), ("trade", "last_price"), ("orderbook",), ("trading_status",)
-
-# fixed values: what the payload of a signal calls its baseline
-BASELINES = {
-    "volume_spike": "rolling volume", "trade_rate_spike": "trade count", "price_jump": "price move", "spread_widening": "spread",
-    "orderbook_imbalance": "imbalance",
-}
+#: Length of a gate's block in sampling intervals: how many samples a block yields at most.
+SAMPLES_A_BLOCK = 512
+CHANGED, COMBO = "trading_status_changed", "microstructure_combo_"
+#: Signals that the combined score looks at.
+PARTS = ("spread_widening", "trade_rate_spike", "orderbook_imbalance")
 
 
 def settings_frame(spark, default: Settings, overrides: Mapping[str, Settings]) -> DataFrame:
@@ -59,52 +61,45 @@ def route(events: DataFrame, kinds: Sequence[str] = (*PRICE, *BOOK, *STATUS)) ->
     return events.filter(F.col("event_type").isin(*kinds))
 
 
-def valid_trade() -> Column:
-    return (F.col("event_type") == "trade") & F.col("price").isNotNull() & (F.coalesce("quantity", F.lit(0.0)) > 0)
-
-
-def valid_last_price() -> Column:
-    return (F.col("event_type") == "last_price") & (F.col("price") > 0)
+valid_trade, valid_last_price = R.is_trade, R.is_last_price
 
 
 def valid_status() -> Column:
     return (F.col("event_type") == "trading_status") & (F.trim("trading_status") != "")
 
 
-def _measure(events: DataFrame, trade_window: int, price_window: int) -> DataFrame:
-    """Window columns of one group of instruments that share the frames' lengths."""
-    trade, price = valid_trade(), valid_trade() | valid_last_price()
-    qty, at = F.when(trade, F.col("quantity")), F.when(price, F.col("price"))
-    signed = F.when(trade, S.signed_quantity(F.col("direction"), F.col("quantity")))
-    d = events.withColumns({
-        "is_trade": F.coalesce(trade, F.lit(False)),
-        "is_price": F.coalesce(price, F.lit(False)),
-        "is_status": F.coalesce(valid_status(), F.lit(False)),
-        "book": F.when(F.col("event_type") == "orderbook", S.book_metrics(F.col("bids"), F.col("asks"))),
-    })
-    d = d.withColumns({
-        "volume": W.rolling_volume(qty, trade_window),
-        "rate": W.rolling_trade_count(qty, trade_window).cast("double"),
-        "delta_here": W.arrived(F.sum, signed, trade_window * S.SECOND),
-        "origin": W.rolling_first_price(at, price_window),
-        "status_before": W.status_lag(F.when(F.col("is_status"), F.col("trading_status"))),
-    })
-    move = F.when(F.col("is_price") & (F.col("origin.n") >= 2), S.move_bps(F.col("price"), F.col("origin.price")))
-    floor = F.col("price_move_absolute_threshold_bps")
-    d = d.withColumns({
-        "move": F.when((floor <= 0) | (move >= floor), move),
+def _measure(events: DataFrame, rules: Sequence[R.ZRule], combo: bool, lengths: Mapping[str, int]) -> DataFrame:
+    """Metrics of one group of instruments that share the frames' lengths."""
+    seconds = lambda x: lengths.get(x, x)
+    d = events.withColumns({f"in_{r.metric}": r.input() for r in rules})
+    rolled = R.windows(rules, seconds)
+    if combo:
+        trade = F.coalesce(valid_trade(), F.lit(False))
+        d = d.withColumns({"is_trade": trade, "in_delta": F.when(trade, S.signed_quantity(F.col("direction"), F.col("quantity"))), "bid_share": R.book("bid_share")})
         # signed volume as of the latest trade, also when it is read at a book
-        "delta": F.coalesce(W.as_of(F.col("delta_here"), F.col("is_trade")), F.lit(0.0)),
-        "spread": F.col("book.spread_bps"),
-        "imbalance": F.col("book.imbalance_abs"),
-        "bid_share": F.col("book.bid_share"),
-        "status_changed": F.col("is_status") & F.col("status_before").isNotNull() & (F.trim("trading_status") != F.col("status_before")),
-    })
-    return d.withColumns({"is_move": F.col("move").isNotNull(), "is_book": F.col("book").isNotNull(), "gate_us": F.col("sample_every_seconds").cast("bigint") * S.SECOND})
-
-
-def _by_frames(events: DataFrame, default: Settings, overrides: Mapping[str, Settings], names: Sequence[str], work) -> DataFrame:
+        rolled["delta_here"] = W.Rolling("sum", F.col("in_delta"), seconds("trade_window_seconds"))
+    taking = F.col("is_trade") if combo else F.lit(False)
+    for r in rules:
+        taking = taking | F.col(f"in_{r.metric}").isNotNull()
+    d = d.filter(taking)
+    if combo:
+        d = W.rolling(d, rolled, {"delta": F.when(F.col("is_trade"), F.col("delta_here"))})
+    elif rolled:
+        d = W.rolling(d, rolled)
+    d = d.withColumns({r.metric: R.measured(r) for r in rules})
+    on = {}
+    for slot, members in R.slots(rules).items():
+        some = F.lit(False)
+        for r in members:
+            some = some | F.col(r.metric).isNotNull()
+        on[f"on_{slot}"] = some
+    return d.withColumns({**on, "gate_us": F.col("sample_every_seconds").cast("bigint") * S.SECOND})
+
+
+def _by_frames(events: DataFrame, default: Settings, overrides: Mapping[str, Settings] | DataFrame, names: Sequence[str], work) -> DataFrame:
     """Frame bounds are literals: instruments that share them are worked on together."""
+    if isinstance(overrides, DataFrame):  # whose bounds are the default's, ``_framed`` sees to it
+        return work(events, *(getattr(default, n) for n in names))
     groups: dict[tuple, list[str]] = {}
     for k, s in overrides.items():
         groups.setdefault(tuple(getattr(s, n) for n in names), []).append(k)
@@ -123,98 +118,148 @@ def _by_frames(events: DataFrame, default: Settings, overrides: Mapping[str, Set
     return out
 
 
-def candidates(events: DataFrame, default: Settings, overrides: Mapping[str, Settings] | None = None, only: Sequence[str] = SIGNAL_TYPES) -> DataFrame:
+def _framed(overrides: DataFrame, default: Settings, names: Sequence[str]) -> DataFrame:
+    """A table of overrides, which fails where it changes the length of a window or baseline: these
+    are literals of the plan."""
+    same = {n: F.when(F.col(n) == getattr(default, n), F.col(n)).otherwise(F.raise_error(F.lit(f"a table of overrides can't change {n}"))) for n in names}
+    return overrides.withColumns(same)
+
+
+def _row(kind: str, on: Column, severity: Column, metric: Column, base: Column, z: Column, window: Column, cooldown: Column, detail: Mapping[str, Column], note: Column | None = None) -> Column:
+    return F.when(on, F.struct(
+        F.lit(kind).alias("signal_type"), severity.cast("int").alias("severity"), metric.cast("double").alias("metric_value"), base.cast("double").alias("baseline_value"),
+        z.cast("double").alias("z_score"), window.cast("int").alias("window_seconds"), (cooldown.cast("bigint") * S.SECOND).alias("cooldown_us"),
+        (F.lit(None) if note is None else note).cast("string").alias("note"), F.to_json(F.struct(*(c.alias(k) for k, c in detail.items()))).alias("detail"),
+    ))
+
+
+def _listed(d: DataFrame, rows: Sequence[Column]) -> DataFrame:
+    listed = d.select("instrument_id", "us", "seq", F.col("event_type").alias("source_event_type"), F.explode(F.array_compact(F.array(*rows))).alias("s"))
+    return listed.select("instrument_id", "us", "seq", "source_event_type", "s.*")
+
+
+def status_changes(events: DataFrame, default: Settings, overrides: Mapping[str, Settings] | DataFrame) -> DataFrame:
+    """Candidates of status events whose status isn't the one before."""
+    valid = events.filter(valid_status()).withColumn("now", F.trim("trading_status"))
+    d = W.as_of(valid, {"before": F.col("now")}, earlier=True).filter("before is not null and now <> before")
+    d = join_settings(d, default, overrides)
+    note = F.concat(F.lit(" trading status changed from "), F.col("before"), F.lit(" to "), F.col("now"), F.lit("."))
+    detail = {"previous_status": F.col("before"), "current_status": F.col("now")}
+    zero = F.lit(0.0)
+    return _listed(d, [_row(CHANGED, F.lit(True), F.lit(2), F.lit(1.0), zero, zero, F.lit(0), F.col("alert_cooldown_seconds"), detail, note)])
+
+
+def _combos(d: DataFrame, fired: Mapping[str, Column], only: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """Samples with what the combined score reads as of them, and its rows."""
+    fresh = F.col("us") - F.col("combo_freshness_seconds").cast("bigint") * S.SECOND
+    d = d.withColumns({f"{k}_on": F.coalesce(W.latest(F.col("us"), fired[k]) >= fresh, F.lit(False)) for k in PARTS})
+    d = d.withColumns({"share": W.latest(F.col("bid_share"), F.col("g_book")), "delta": F.coalesce(W.latest(F.col("delta")), F.lit(0.0))})
+    points = lambda on, c: F.when(on, F.col(c)).otherwise(0)
+    both = points(F.col("spread_widening_on"), "combo_spread_points") + points(F.col("trade_rate_spike_on"), "combo_tick_rate_points")
+    least, lean = F.col("combo_delta_min_abs_qty"), F.col("orderbook_imbalance_on")
+    scores = {
+        "long": both + points(lean & (F.col("share") >= F.col("combo_imbalance_long_threshold")), "combo_imbalance_points") + points(F.col("delta") >= least, "combo_delta_points"),
+        "short": both + points(lean & (F.col("share") <= F.col("combo_imbalance_short_threshold")), "combo_imbalance_points") + points(F.col("delta") <= -least, "combo_delta_points"),
+    }
+    shown = lambda c: F.when(F.col(c), "True").otherwise("False")
+    rows = []
+    for side, score in scores.items():
+        share = F.when(F.col("share").isNull(), "n/a").otherwise(F.format_string("%.2f", "share"))
+        note = F.format_string(f" combo-{side} score=%d (spread=%s, imbalance=%s tick_rate=%s, delta=%.2f).", score, shown("spread_widening_on"), share, shown("trade_rate_spike_on"), F.col("delta"))
+        detail = {
+            "score": score, "min_score": F.col("combo_min_score"), "spread_active": F.col("spread_widening_on"), "tick_rate_active": F.col("trade_rate_spike_on"),
+            "imbalance_ratio": F.col("share"), "signed_delta_qty": F.col("delta"),
+        }
+        high = F.when(score >= F.col("combo_min_score") + 2, 3).otherwise(2)
+        if COMBO + side in only:
+            on = F.col("g_combo") & (score >= F.col("combo_min_score"))
+            rows.append(_row(COMBO + side, on, high, score, F.col("combo_min_score"), F.lit(0.0), F.col("combo_freshness_seconds"), F.col("combo_alert_cooldown_seconds"), detail, note))
+    return d, rows
+
+
+def candidates(events: DataFrame, default: Settings, overrides: Mapping[str, Settings] | DataFrame | None = None, only: Sequence[str] | None = None, rules: Sequence[R.ZRule] | None = None, hot: bool = True) -> DataFrame:
     """Signals before their cooldown: instrument_id, us, seq, source_event_type,
     signal_type, severity, metric_value, baseline_value, z_score, window_seconds,
-    cooldown_us, and what the summary of status and combo signals needs."""
-    overrides = dict(overrides or {})
-    combo = any(x.startswith("microstructure") for x in only)
-    needed = set(only) | ({"spread_widening", "trade_rate_spike", "orderbook_imbalance"} if combo else set())
-    kinds = [k for k, types in {"trade": {"volume_spike", "trade_rate_spike", "price_jump"}, "last_price": {"price_jump"}, "orderbook": {"spread_widening", "orderbook_imbalance"}, "trading_status": {"trading_status_changed"}}.items() if types & needed]
-    set_ = join_settings(route(events, kinds), default, overrides)
-    measured = _by_frames(set_, default, overrides, ("trade_window_seconds", "price_window_seconds"), _measure)
-    kept = [
-        "instrument_id", "us", "seq", "event_type", "is_trade", "is_move", "is_book", "status_changed", "status_before", "trading_status",
-        "volume", "rate", "move", "spread", "imbalance", "bid_share", "delta", "gate_us", *(default.as_dict() if overrides else ["combo_enabled"]),
-    ]
-    measured = measured.select(*kept).filter("is_trade or is_move or is_book or status_changed")
-    gates = [Gate("g_trade", "gate_us", "is_trade"), Gate("g_price", "gate_us", "is_move"), Gate("g_book", "gate_us", "is_book")]
-    if combo:
-        gates.append(Gate("g_combo", "gate_us", ("g_trade", "g_book"), "combo_enabled"))
-    sampled = greedy_gate(measured, ["instrument_id"], ["us", "seq"], gates).filter("g_trade or g_price or g_book or status_changed")
-
-    if not overrides:  # settings are literals, which needn't go through the gates
-        sampled = sampled.withColumns({k: F.lit(v) for k, v in default.as_dict().items()})
+    cooldown_us, note and detail, which texts and payloads are made of. ``rules`` are the market's
+    and any others; ``only`` picks types of signals. ``overrides`` are settings by instrument, or a table
+    of them (``resolve_blocks``). ``hot``: instruments may hold more events
+    than fit a task, so gates are cut into blocks."""
+    table = isinstance(overrides, DataFrame)
+    overrides, rules = overrides if table else dict(overrides or {}), R.market_rules() if rules is None else tuple(rules)
+    only = [*(r.signal_type for r in rules), *SIGNAL_TYPES[5:]] if only is None else list(only)
+    unknown = {*only} - {r.signal_type for r in rules} - {*SIGNAL_TYPES[5:]}
+    if unknown:
+        raise ValueError(f"no rule makes {sorted(unknown)}")
+    combo = any(x.startswith(COMBO) for x in only)
+    needed = {*only, *(PARTS if combo else ())}
+    rules = [r for r in rules if r.signal_type in needed]
+    if combo and {*PARTS} - {r.signal_type for r in rules}:
+        raise ValueError(f"the combined score needs rules for {PARTS}")
+    changes = [status_changes(events, default, overrides)] if CHANGED in only else []
+    if not rules:
+        return changes[0]
+
+    names = tuple(dict.fromkeys([*R.frames(rules), *(["trade_window_seconds"] if combo else [])]))
+    if table:
+        overrides = _framed(overrides, default, [*names, "baseline_points"])
+    set_ = join_settings(events, default, overrides)
+    d = _by_frames(set_, default, overrides, names, lambda part, *key: _measure(part, rules, combo, dict(zip(names, key))))
+    slots, metrics = R.slots(rules), dict.fromkeys(r.metric for r in rules)
+    extra = ["bid_share", "delta", "__closing"] if combo else []
+    own = table or bool(overrides)
+    settings = list(default.as_dict()) if own else ["combo_enabled"] if combo else []
+    any_on = " or ".join(f"on_{s}" for s in slots)
+    d = d.select("instrument_id", "us", "seq", "event_type", *metrics, *(f"on_{s}" for s in slots), "gate_us", *extra, *settings)
+    d = d.filter(f"{any_on} or (__closing and delta is not null)" if combo else any_on)
+    block_us = max(1, default.sample_every_seconds) * SAMPLES_A_BLOCK * S.SECOND if hot else None
+    d = greedy_gate(d, ["instrument_id"], ["us", "seq"], [Gate(f"g_{s}", "gate_us", f"on_{s}") for s in slots], block_us)
+    sampled = " or ".join(f"g_{s}" for s in slots)
+    d = d.filter(f"{sampled} or __closing" if combo else sampled)
+    if combo:  # samples are few: a key is one task
+        d = greedy_gate(d.withColumn("opens", (F.col("g_trade") | F.col("g_book")) & F.col("combo_enabled")), ["instrument_id"], ["us", "seq"], [Gate("g_combo", "gate_us", "opens")])
+    if not own:  # settings are literals, which needn't go through the gates
+        d = d.withColumns({k: F.lit(v) for k, v in default.as_dict().items()})
 
     def score(d: DataFrame, points: int) -> DataFrame:
-        for name, gate, wanted in (
-            ("volume", "g_trade", "volume_spike"), ("rate", "g_trade", "trade_rate_spike"), ("move", "g_price", "price_jump"),
-            ("spread", "g_book", "spread_widening"), ("imbalance", "g_book", "orderbook_imbalance"),
-        ):
-            if wanted in needed:
-                d = d.withColumn(f"{name}_b", W.baseline(F.col(name), points, "instrument_id", gate))
-                d = d.withColumn(f"{name}_z", F.when(F.col(gate) & (F.col(f"{name}_b.n") >= F.col("min_baseline_points")), S.z_score(F.col(name), F.col(f"{name}_b.mean"), F.col(f"{name}_b.std"))))
+        for r in rules:
+            sample = F.col(f"g_{r.slot}") & F.col(r.metric).isNotNull()
+            d = d.withColumn(f"{r.metric}_b", W.baseline(F.col(r.metric), points, "instrument_id", sample))
+            d = d.withColumn(f"{r.metric}_z", F.when(sample & (F.col(f"{r.metric}_b.n") >= F.col("min_baseline_points")), S.z_score(F.col(r.metric), F.col(f"{r.metric}_b.mean"), F.col(f"{r.metric}_b.std"))))
         return d
 
-    d = _by_frames(sampled, default, overrides, ("baseline_points",), score)
-    fires = {
-        "volume_spike": ("volume", "volume_zscore_threshold", "trade_window_seconds", F.lit(True)),
-        "trade_rate_spike": ("rate", "trade_count_zscore_threshold", "trade_window_seconds", F.lit(True)),
-        "price_jump": ("move", "price_return_zscore_threshold", "price_window_seconds", F.lit(True)),
-        "spread_widening": ("spread", "spread_zscore_threshold", "orderbook_window_seconds", F.lit(True)),
-        "orderbook_imbalance": ("imbalance", "imbalance_zscore_threshold", "orderbook_window_seconds", F.col("imbalance") >= F.col("imbalance_absolute_threshold")),
-    }
-    fired = {k: F.coalesce((F.col(f"{n}_z") >= F.col(t)) & also, F.lit(False)) for k, (n, t, _, also) in fires.items() if k in needed}
-    none = F.lit(None)
-
-    def row(kind, on, severity, metric, base, z, window, cooldown, detail, note=none):
-        return F.when(on, F.struct(
-            F.lit(kind).alias("signal_type"), severity.cast("int").alias("severity"), metric.cast("double").alias("metric_value"), base.cast("double").alias("baseline_value"),
-            z.cast("double").alias("z_score"), window.cast("int").alias("window_seconds"), (F.col(cooldown).cast("bigint") * S.SECOND).alias("cooldown_us"), note.cast("string").alias("note"), F.to_json(F.struct(*(c.alias(k) for k, c in detail.items()))).alias("detail"),
-        ))
-
-    rows = [
-        row(k, fired[k], S.severity(F.col(f"{n}_z")), F.col(n), F.col(f"{n}_b.mean"), F.col(f"{n}_z"), F.col(w), "alert_cooldown_seconds", {"baseline_label": F.lit(BASELINES[k])})
-        for k, (n, _, w, _) in fires.items()
-        if k in only
-    ]
-    if "trading_status_changed" in only:
-        change = F.concat(F.lit(" trading status changed from "), F.col("status_before"), F.lit(" to "), F.trim("trading_status"), F.lit("."))
-        rows.append(row("trading_status_changed", F.col("status_changed"), F.lit(2), F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0), "alert_cooldown_seconds", {"previous_status": F.col("status_before"), "current_status": F.trim("trading_status")}, change))
+    d = _by_frames(d, default, overrides, ("baseline_points",), score)
+    fired, rows = {}, []
+    for r in rules:
+        z, also = F.col(f"{r.metric}_z"), F.lit(True) if r.least is None else F.col(r.metric) >= R.setting(r.least)
+        fired[r.signal_type] = F.coalesce((z >= R.setting(r.threshold)) & also, F.lit(False))
+        if r.signal_type in only:
+            detail = {"baseline_label": F.lit(r.label)}
+            rows.append(_row(r.signal_type, fired[r.signal_type], S.severity(z), F.col(r.metric), F.col(f"{r.metric}_b.mean"), z, R.setting(r.window), F.col("alert_cooldown_seconds"), detail))
     if combo:
-        fresh = F.col("us") - F.col("combo_freshness_seconds").cast("bigint") * S.SECOND
-        d = d.withColumns({f"{k}_on": F.coalesce(W.as_of(F.col("us"), fired[k]) >= fresh, F.lit(False)) for k in ("spread_widening", "trade_rate_spike", "orderbook_imbalance")})
-        d = d.withColumn("share", W.as_of(F.col("bid_share"), F.col("g_book")))
-        points = lambda on, c: F.when(on, F.col(c)).otherwise(0)
-        both = points(F.col("spread_widening_on"), "combo_spread_points") + points(F.col("trade_rate_spike_on"), "combo_tick_rate_points")
-        least = F.col("combo_delta_min_abs_qty")
-        long_ = both + points(F.col("orderbook_imbalance_on") & (F.col("share") >= F.col("combo_imbalance_long_threshold")), "combo_imbalance_points") + points(F.col("delta") >= least, "combo_delta_points")
-        short = both + points(F.col("orderbook_imbalance_on") & (F.col("share") <= F.col("combo_imbalance_short_threshold")), "combo_imbalance_points") + points(F.col("delta") <= -least, "combo_delta_points")
-        shown = lambda c: F.when(F.col(c), "True").otherwise("False")
-        for side, score_ in (("long", long_), ("short", short)):
-            kind = f"microstructure_combo_{side}"
-            note = F.format_string(
-                f" combo-{side} score=%d (spread=%s, imbalance=%s tick_rate=%s, delta=%.2f).", score_, shown("spread_widening_on"), F.when(F.col("share").isNull(), "n/a").otherwise(F.format_string("%.2f", "share")), shown("trade_rate_spike_on"), F.col("delta")
-            )
-            detail = {
-                "score": score_, "min_score": F.col("combo_min_score"), "spread_active": F.col("spread_widening_on"), "tick_rate_active": F.col("trade_rate_spike_on"),
-                "imbalance_ratio": F.col("share"), "signed_delta_qty": F.col("delta"),
-            }
-            high = F.when(score_ >= F.col("combo_min_score") + 2, 3).otherwise(2)
-            if kind in only:
-                rows.append(row(kind, F.col("g_combo") & (score_ >= F.col("combo_min_score")), high, score_, F.col("combo_min_score"), F.lit(0.0), F.col("combo_freshness_seconds"), "combo_alert_cooldown_seconds", detail, note))
-    listed = d.select("instrument_id", "us", "seq", F.col("event_type").alias("source_event_type"), F.explode(F.array_compact(F.array(*rows))).alias("s"))
-    return listed.select("instrument_id", "us", "seq", "source_event_type", "s.*")
+        d, more = _combos(d, fired, only)
+        rows += more
+    out = _listed(d, rows)
+    return out.unionByName(changes[0]) if changes else out
 
 
-def detect(events: DataFrame, default: Settings = Settings(), overrides: Mapping[str, Settings] | None = None, only: Sequence[str] = SIGNAL_TYPES) -> DataFrame:
+def detect(events: DataFrame, default: Settings = Settings(), overrides: Mapping[str, Settings] | DataFrame | None = None, only: Sequence[str] | None = None, rules: Sequence[R.ZRule] | None = None, hot: bool = True) -> DataFrame:
     """Signals of an event table with the columns of ``schemas.TAPE``: candidates that
     pass their cooldown. Rows with null instrument or time are left out."""
-    found = candidates(events.filter("instrument_id is not null and us is not null"), default, overrides, only)
+    found = candidates(events.filter("instrument_id is not null and us is not null"), default, overrides, only, rules, hot)
     ready = greedy_gate(found.withColumn("candidate", F.lit(True)), ["instrument_id", "signal_type"], ["us", "seq"], [Gate("ready", "cooldown_us", "candidate")])
     return ready.filter("ready").drop("candidate", "ready", "cooldown_us")
 
 
+def zscore_detector(
+    events: DataFrame, metric: Column, threshold: str | float, gate_key: str, default: Settings = Settings(), overrides: Mapping[str, Settings] | DataFrame | None = None, *,
+    signal_type: str = "zscore", how: str = "value", window: str | int = 0, label: str = "metric", least: str | float | None = None, floor: str | float | None = None,
+) -> DataFrame:
+    """Signals of a metric of one's own: ``metric`` is any column over an event, null where the event
+    takes no part; ``gate_key`` names its sampling slot. The other arguments are those of a rule."""
+    rule = R.ZRule(signal_type, "metric", metric, how, window, gate_key, threshold, label, floor, least)
+    return detect(events, default, overrides, rules=[rule], only=[signal_type])
+
+
 def signals(found: DataFrame, names: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
     """``detect`` output as rows of ``schemas.SIGNAL``; ``names(instrument_id, ticker,
     class_code, alias)`` is optional. The id is a hash, so redelivery makes no duplicates.

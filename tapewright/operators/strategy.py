@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from tapewright.functions.scalars import DAY
 from tapewright.operators import windows as W
 
-ORDERS = "instrument_id string, us bigint, action string, direction string, lots bigint"
-
 
 def ma_features(candles: DataFrame, short_seconds: int, long_seconds: int, std_seconds: int) -> DataFrame:
     """price, ma_short, ma_long, std, ma_long_start per candle (the row's time is now)."""
@@ -40,39 +41,132 @@ def ma_close_signals(features: DataFrame, far: float = 10.0, against: float = 3.
     })
 
 
-def ma_order_signals(features: DataFrame, balance: str = "balance") -> DataFrame:
-    """Orders in time order, every one taken as executed: at each candle an opening comes
-    if the side is closed and money buys a lot, a closing if the side is open. The
-    position is the lots of the last opening. Rows of an instrument pass one task in
-    order; state is three values."""
-    d = ma_close_signals(ma_open_signals(features)).select("instrument_id", "us", "price", balance, "may_long", "may_short", "end_long", "end_short")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, is_open, position = None, {"long": False, "short": False}, 0
+def _transitions() -> np.ndarray:
+    """For each of 16 inputs (may open long, short; ends long, short as bits) what becomes of
+    each of the four states (long open, short open as bits)."""
+    out = np.zeros((16, 4), np.int8)
+    for code in range(16):
+        for state in range(4):
+            (go_long, go_short, end_long, end_short), (long, short) = ([bool(x >> k & 1) for k in range(n)] for x, n in ((code, 4), (state, 2)))
+            open_long, open_short = not long and go_long, not short and go_short
+            stays_long, stays_short = long and not (end_long or open_short), short and not (end_short or open_long)
+            out[code, state] = (stays_long or open_long) | (stays_short or open_short) << 1
+    return out
+
+
+TRANSITIONS = _transitions()
+
+
+def composed(maps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of rows of maps from four states to four, each row's composition with all before it back
+    to the last row that is ``first``, by doubling."""
+    out, k = maps.copy(), 1
+    start = np.maximum.accumulate(np.where(first, np.arange(len(maps)), 0))
+    while k < len(maps):
+        reach = np.flatnonzero(np.arange(len(maps)) - k >= start)
+        if not len(reach):
+            break
+        out[reach] = np.take_along_axis(out[reach], out[reach - k].astype(np.intp), axis=1)
+        k *= 2
+    return out
+
+
+def open_sides(rows: DataFrame, block_us: int) -> DataFrame:
+    """``rows (instrument_id, us, code, ..)`` with ``state``: which sides are open before each
+    row (bit 0 long, bit 1 short), where ``code`` has the four inputs of a row as bits.
+
+    What a candle does to the two open flags is a map from four states to four. Rows are dealt by instrument
+    and block of time; a block's composed map is one row, composing the blocks gives each one's state at
+    entry, and a second pass composes rows from there. No step is row by row and an
+    instrument's rows need not share a task."""
+    d = rows.withColumn("__block", F.floor(F.col("us") / F.lit(block_us)).cast("bigint"))
+    keys = ["instrument_id", "__block"]
+
+    def runs(b: pa.RecordBatch) -> np.ndarray:
+        who, block = b.column("instrument_id").dictionary_encode().indices.to_numpy(), b.column("__block").to_numpy()
+        return np.append(True, (np.diff(who) != 0) | (np.diff(block) != 0))[: b.num_rows]
+
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, carried = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            first = runs(b)
+            maps = TRANSITIONS[b.column("code").to_numpy()]
+            if held == (b.column("instrument_id")[0].as_py(), b.column("__block")[0].as_py()):
+                maps[0] = maps[0][carried]
+            all_ = composed(maps, first)
+            ends = np.flatnonzero(np.append(first[1:], True))
+            names = [(b.column("instrument_id")[int(e)].as_py(), b.column("__block")[int(e)].as_py(), all_[e].tolist()) for e in ends]
+            if held is not None and held != names[0][:2]:
+                names.insert(0, (*held, carried.tolist()))
+            held, carried = names[-1][:2], all_[-1].astype(np.intp)
+            done = names[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in done], pa.string()), pa.array([n[1] for n in done], pa.int64()), pa.array([n[2] for n in done], pa.list_(pa.int32()))], [*keys, "map"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.string()), pa.array([held[1]], pa.int64()), pa.array([carried.tolist()], pa.list_(pa.int32()))], [*keys, "map"])
+
+    def entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = None, 0
         for b in batches:
             out = []
-            for r in b.itertuples(index=False):
-                if r.instrument_id != held:
-                    held, is_open, position = r.instrument_id, {"long": False, "short": False}, 0
-                lots = int(r[3] // r.price) if r.price and r.price > 0 else 0
-                opened = {s: not is_open[s] and ok and lots > 0 for s, ok in (("long", r.may_long), ("short", r.may_short))}
-                for side in ("long", "short"):
-                    if opened[side]:
-                        out.append((held, r.us, "open", side, lots))
-                # what is open is judged before this candle's orders; closings are executed first
-                closed = [s for s, other, ends in (("long", "short", r.end_long), ("short", "long", r.end_short)) if is_open[s] and (ends or opened[other])]
-                for side in closed:
-                    out.append((held, r.us, "close", side, position))
-                if closed:
-                    position = 0
-                for side in closed:
-                    is_open[side] = False
-                for side in ("long", "short"):
-                    if opened[side]:
-                        is_open[side], position = True, lots
-            yield pd.DataFrame(out, columns=["instrument_id", "us", "action", "direction", "lots"])
-
-    return d.repartition("instrument_id").sortWithinPartitions("instrument_id", "us").mapInPandas(run, ORDERS)
+            for who, m in zip(b.column("instrument_id").to_pylist(), b.column("map").to_pylist()):
+                if who != held:
+                    held, state = who, 0
+                out.append(state)
+                state = m[state]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(out, pa.int32())], [*keys, "state"])
+
+    maps = d.select(*keys, "us", "code").repartition(*keys).sortWithinPartitions(*keys, "us").mapInArrow(summary, "instrument_id string, __block bigint, map array<int>")
+    entries = maps.repartition("instrument_id").sortWithinPartitions(*keys).mapInArrow(entry, "instrument_id string, __block bigint, state int")  # a row a block
+    both = d.withColumn("__kind", F.lit(1)).unionByName(entries.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kind, entered = b.column("__kind").to_numpy(), b.column("state").fill_null(0).to_numpy()
+            # a block's first row is its entry state, a map that forgets what came before; so is a batch's first row
+            maps = np.where((kind == 0)[:, None], entered[:, None], TRANSITIONS[b.column("code").fill_null(0).to_numpy()]).astype(np.int8)
+            if kind[0] == 1:
+                maps[0] = maps[0, state]
+            after = composed(maps, (kind == 0) | (np.arange(len(kind)) == 0))[:, 0]
+            before = np.append(state, after[:-1])
+            state = int(after[-1])
+            at = pa.array(kind == 1)
+            names = [c for c in b.schema.names if c not in ("state", "__kind", "__block")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).filter(at) for c in names), pa.array(before.astype(np.int32)).filter(at)], [*names, "state"])
+
+    schema = StructType([*rows.schema.fields, StructField("state", IntegerType())])
+    return both.repartition(*keys).sortWithinPartitions(*keys, "__kind", "us").mapInArrow(replay, schema)
+
+
+def ma_order_signals(features: DataFrame, balance: str = "balance", block_us: int = 64 * DAY) -> DataFrame:
+    """Orders in time order, every one taken as executed: at each candle an opening comes
+    if the side is closed and money buys a lot, a closing if the side is open and its rule or an opening of the
+    other side says so. The position is the lots of the last opening. Which sides are open comes from
+    ``open_sides``; orders of a candle are columns of it, and the position at a closing is an as-of
+    value over the candles that moved it. ``block_us`` is the length of time a task takes of an
+    instrument. Candles with a null instrument or time are left out."""
+    d = ma_close_signals(ma_open_signals(features)).filter("instrument_id is not null and us is not null")
+    lots = F.coalesce(F.when(F.col("price") > 0, F.floor(F.col(balance) / F.col("price"))), F.lit(0)).cast("bigint")
+    d = d.select("instrument_id", "us", lots.alias("lots"), "may_long", "may_short", "end_long", "end_short")
+    yes = lambda c, n: F.when(c, 1 << n).otherwise(0)
+    code = yes(F.col("may_long") & (F.col("lots") > 0), 0) + yes(F.col("may_short") & (F.col("lots") > 0), 1) + yes(F.col("end_long"), 2) + yes(F.col("end_short"), 3)
+    d = open_sides(d.select("instrument_id", "us", "lots", code.cast("int").alias("code")), block_us)
+    bit = lambda c, n: F.col(c).bitwiseAND(F.lit(1 << n)) != 0
+    d = d.withColumns({"open_long": ~bit("state", 0) & bit("code", 0), "open_short": ~bit("state", 1) & bit("code", 1)})
+    d = d.withColumns({"close_long": bit("state", 0) & (bit("code", 2) | F.col("open_short")), "close_short": bit("state", 1) & (bit("code", 3) | F.col("open_long"))})
+    moved = d.filter("open_long or open_short or close_long or close_short").withColumn("seq", F.lit(0))
+    held = W.as_of(moved, {"position": F.when(F.col("open_long") | F.col("open_short"), F.col("lots")).otherwise(0)}, earlier=True, bucket_us=block_us)
+    order = lambda on, action, side, lots: F.when(F.col(on), F.struct(F.lit(action).alias("action"), F.lit(side).alias("direction"), lots.alias("lots")))
+    position = F.coalesce("position", F.lit(0)).cast("bigint")
+    orders = F.array_compact(F.array(
+        order("open_long", "open", "long", F.col("lots")), order("open_short", "open", "short", F.col("lots")),
+        order("close_long", "close", "long", position), order("close_short", "close", "short", position),
+    ))
+    return held.select("instrument_id", "us", F.explode(orders).alias("o")).select("instrument_id", "us", "o.action", "o.direction", "o.lots")
 
 
 def closing_before_opening(orders: DataFrame) -> DataFrame:

@@ -1,55 +1,128 @@
-"""Rolling windows over events and candles. Times are bigint microseconds."""
+"""Rolling windows and as-of values over events and candles. Times are bigint microseconds.
+
+Events of one instrument may be most of a table. Windows over them are split by time:
+rows are dealt by instrument and bucket, a bucket being a few window lengths, and the
+rows of one window before a bucket come to it a second time as its halo. What looks
+further back than a window (the latest value ever) enters a bucket from a summary of the buckets before it,
+one row each.
+
+Sums and counts slide at a cost that doesn't depend on a window's rows: two running totals,
+up to the row and up to the window's start, are subtracted. Totals of doubles are exact decimals of
+``PLACES`` places, so nothing is left over by subtracting.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.scalars import SECOND
+from tapewright.functions.scalars import DAY, SECOND
 
 KEY = "instrument_id"
+#: Length of a bucket in windows: a halo adds at most one row in so many.
+WINDOWS_A_BUCKET = 4
+PLACES = 12
+_BUCKET, _HALO = "__bucket", "__halo"
 
 
-def ranged(period_us: int, key: str = KEY, time: str = "us"):
-    """Frame [t - period, t], both ends in."""
-    return Window.partitionBy(key).orderBy(time).rangeBetween(-period_us, 0)
-
-
-def arrived(aggregate, value: Column, period_us: int, key: str = KEY, time: str = "us", seq: str = "seq") -> Column:
-    """Sum or count over [t - period, t] up to this row's arrival: rows of the same time
-    that come later are taken out again."""
-    later = Window.partitionBy(key, time).orderBy(seq).rowsBetween(1, Window.unboundedFollowing)
-    return F.coalesce(aggregate(value).over(ranged(period_us, key, time)), F.lit(0)) - F.coalesce(aggregate(value).over(later), F.lit(0))
-
-
-def rolling_volume(quantity: Column, seconds: int) -> Column:
-    return arrived(F.sum, quantity, seconds * SECOND)
-
+@dataclass(frozen=True)
+class Rolling:
+    """What a window [t - seconds, t] holds at a row's arrival (rows of its time that came
+    later aren't in): ``sum`` (0 of none), ``count``, or ``first`` (earliest value) of the non-null ``of``."""
 
-def rolling_trade_count(quantity: Column, seconds: int) -> Column:
-    return arrived(F.count, quantity, seconds * SECOND)
+    how: str
+    of: Column
+    seconds: int
 
 
-def rolling_first_price(price: Column, seconds: int) -> Column:
-    """struct<price, n>: earliest price in the window and the number of prices."""
-    first = F.first(price, ignorenulls=True).over(ranged(seconds * SECOND))
-    return F.struct(first.alias("price"), arrived(F.count, price, seconds * SECOND).alias("n"))
+def ranged(period_us: int, key: str = KEY, time: str = "us"):
+    """Frame [t - period, t], both ends in."""
+    return Window.partitionBy(key).orderBy(time).rangeBetween(-period_us, 0)
 
 
-def baseline(value: Column, points: int, *partition: str) -> Column:
+def bucketed(rows: DataFrame, period_us: int, time: str = "us") -> DataFrame:
+    """``rows`` with ``__bucket`` and ``__halo``: each row in its own bucket, and in the next one's
+    halo if a window that starts there may hold it."""
+    width = F.lit(max(1, WINDOWS_A_BUCKET * period_us))
+    own = F.floor(F.col(time) / width).cast("bigint")
+    places = F.array(F.struct(own.alias("b"), F.lit(False).alias("h")))
+    near = F.col(time) >= (own + 1) * width - period_us
+    both = F.array(F.struct(own.alias("b"), F.lit(False).alias("h")), F.struct((own + 1).alias("b"), F.lit(True).alias("h")))
+    placed = rows.withColumn("__place", F.explode(F.when(near, both).otherwise(places)))
+    return placed.withColumns({_BUCKET: F.col("__place.b"), _HALO: F.col("__place.h")}).drop("__place")
+
+
+def rolling(rows: DataFrame, wanted: Mapping[str, Rolling], latest: Mapping[str, Column] | None = None, seq: str = "seq") -> DataFrame:
+    """``rows`` (instrument_id, us, ``seq``, ..) with the columns ``wanted``. ``latest`` adds, per name, the
+    last non-null value of a column over these in the row's bucket and halo up to the row (null: none
+    there), and ``__closing``, which marks the last row of a bucket: together they carry
+    as-of values to a later, smaller step. Rows with a null key or time are left out."""
+    longest = max(r.seconds for r in wanted.values()) * SECOND
+    d = bucketed(rows.filter(F.col(KEY).isNotNull() & F.col("us").isNotNull()), longest)
+    inputs = {f"__in_{n}": r.of.cast(f"decimal(38,{PLACES})") if r.how == "sum" else r.of for n, r in wanted.items()}
+    d = d.withColumns(inputs)
+    here = Window.partitionBy(KEY, _BUCKET)
+    arrivals = here.orderBy("us", seq)
+    so_far = arrivals.rowsBetween(Window.unboundedPreceding, 0)
+    out = {}
+    for name, r in wanted.items():
+        value, period = F.col(f"__in_{name}"), r.seconds * SECOND
+        if r.how == "first":
+            out[name] = F.first(value, ignorenulls=True).over(here.orderBy("us").rangeBetween(-period, 0))
+            continue
+        total = {"sum": F.sum, "count": F.count}[r.how](value)
+        gone = total.over(here.orderBy("us").rangeBetween(Window.unboundedPreceding, -period - 1))
+        zero = F.lit(0)
+        left = F.coalesce(total.over(so_far), zero) - F.coalesce(gone, zero)
+        out[name] = left.cast("double") if r.how == "sum" else left
+    d = d.withColumns(out)
+    if latest is not None:
+        d = d.withColumns({n: F.last(c, ignorenulls=True).over(so_far) for n, c in latest.items()})
+        d = d.withColumn("__closing", F.lead("us").over(arrivals).isNull())
+    return d.filter(~F.col(_HALO)).drop(_HALO, _BUCKET, *inputs)
+
+
+def as_of(rows: DataFrame, values: Mapping[str, Column], earlier: bool = False, seq: str = "seq", bucket_us: int = DAY) -> DataFrame:
+    """``rows`` with the columns ``values``: each one's latest non-null value up to the row, or
+    ``earlier`` than it, however long ago. A bucket's rows are worked on together; what lies before
+    comes from a row for each earlier bucket. Rows with a null key or time are left out."""
+    d = rows.filter(F.col(KEY).isNotNull() & F.col("us").isNotNull())
+    d = d.withColumns({_BUCKET: F.floor(F.col("us") / F.lit(bucket_us)), **{f"__v_{n}": c for n, c in values.items()}})
+    order = F.struct("us", seq)
+    last = d.groupBy(KEY, _BUCKET).agg(*(F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), order)).alias(f"__l_{n}") for n in values))
+    before = Window.partitionBy(KEY).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    carried = last.select(KEY, _BUCKET, *(F.last(f"__l_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in values))
+    w = Window.partitionBy(KEY, _BUCKET).orderBy("us", seq).rowsBetween(Window.unboundedPreceding, -1 if earlier else 0)
+    joined = d.join(carried, [KEY, _BUCKET])
+    found = {n: F.coalesce(F.last(f"__v_{n}", ignorenulls=True).over(w), F.col(f"__c_{n}")) for n in values}
+    return joined.withColumns(found).drop(_BUCKET, *(f"__{x}_{n}" for n in values for x in "vc"))
+
+
+def as_of_window(rows: DataFrame, value: Column, seconds: int, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over the window [t - seconds, t] at each row's
+    own time, whatever kind of row it is. A window's sum is thus never older than the row that reads
+    it, which an as-of value of the last sum may be."""
+    return rolling(rows, {name: Rolling("sum", value, seconds)})
+
+
+def baseline(value: Column, points: int, *partition: str | Column) -> Column:
     """struct<mean, std, n> of up to ``points`` earlier samples, this one excluded."""
     w = Window.partitionBy(*partition).orderBy("us", "seq").rowsBetween(-points, -1)
     return F.struct(F.avg(value).over(w).alias("mean"), F.stddev_pop(value).over(w).alias("std"), F.count(value).over(w).alias("n"))
 
 
 def status_lag(status: Column) -> Column:
-    """Previous status that wasn't null or blank."""
+    """Previous status that wasn't null or blank, over rows that fit one task an instrument."""
     w = Window.partitionBy(KEY).orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return F.last(F.when(F.trim(status) != "", F.trim(status)), ignorenulls=True).over(w)
 
 
-def as_of(value: Column, when: Column | None = None) -> Column:
-    """Latest non-null value up to and including this row, of rows where ``when`` holds."""
+def latest(value: Column, when: Column | None = None) -> Column:
+    """Latest non-null value up to and including this row, of rows where ``when`` holds; for
+    samples, of which time bounds how many an instrument has. ``as_of`` is for events."""
     w = Window.partitionBy(KEY).orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0)
     return F.last(value if when is None else F.when(when, value), ignorenulls=True).over(w)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import scalars as S
 from tapewright.operators import detectors as D
+from tapewright.operators import rules as R
 from tapewright.operators import signals as Q
 from tapewright.operators import windows as W
 from tapewright.operators.gates import Gate, greedy_gate
@@ -296,44 +297,46 @@ def _trades(spark, sf_dir):
 
 @query("with " + MEASURED_SQL + " select id as instrument_id, us, round(volume, 4) as volume from measured where is_trade")
 def rolling_volume(spark, sf_dir):
-    return _trades(spark, sf_dir).select("instrument_id", "us", F.round(W.rolling_volume(F.col("quantity"), 48 * 3600), 4).alias("volume"))
+    d = W.rolling(_trades(spark, sf_dir), {"volume": W.Rolling("sum", F.col("quantity"), 48 * 3600)})
+    return d.select("instrument_id", "us", F.round("volume", 4).alias("volume"))
 
 
 @query("with " + MEASURED_SQL + " select id as instrument_id, us, rate as trades from measured where is_trade")
 def rolling_trade_count(spark, sf_dir):
-    return _trades(spark, sf_dir).select("instrument_id", "us", W.rolling_trade_count(F.col("quantity"), 48 * 3600).alias("trades"))
+    return W.rolling(_trades(spark, sf_dir), {"trades": W.Rolling("count", F.col("quantity"), 48 * 3600)}).select("instrument_id", "us", "trades")
 
 
 @query("with " + MEASURED_SQL + " select id as instrument_id, us, round(delta_here, 4) as delta from measured where is_trade")
 def rolling_signed_delta(spark, sf_dir):
     signed = S.signed_quantity(F.col("direction"), F.col("quantity"))
-    return _trades(spark, sf_dir).select("instrument_id", "us", F.round(W.arrived(F.sum, signed, 48 * H), 4).alias("delta"))
+    return W.rolling(_trades(spark, sf_dir), {"delta": W.Rolling("sum", signed, 48 * 3600)}).select("instrument_id", "us", F.round("delta", 4).alias("delta"))
 
 
 @query("with " + MEASURED_SQL + " select id as instrument_id, us, p0 as first_price, np as n from measured where is_price")
 def rolling_first_price(spark, sf_dir):
     d = tape.events(spark, sf_dir).filter(D.valid_trade() | D.valid_last_price())
-    d = d.withColumn("o", W.rolling_first_price(F.col("price"), 72 * 3600))
-    return d.select("instrument_id", "us", F.col("o.price").alias("first_price"), F.col("o.n").alias("n"))
+    d = W.rolling(d, {"first_price": W.Rolling("first", F.col("price"), 72 * 3600), "n": W.Rolling("count", F.col("price"), 72 * 3600)})
+    return d.select("instrument_id", "us", "first_price", "n")
 
 
 @query("with " + MEASURED_SQL + " select id as instrument_id, us, round(move, 6) as move_bps from measured where move is not null")
 def move_bps(spark, sf_dir):
-    d = tape.events(spark, sf_dir).filter(D.valid_trade() | D.valid_last_price()).withColumn("o", W.rolling_first_price(F.col("price"), 72 * 3600))
-    d = d.filter("o.n >= 2").withColumn("m", S.move_bps(F.col("price"), F.col("o.price"))).filter("m is not null")
+    d = tape.events(spark, sf_dir).filter(D.valid_trade() | D.valid_last_price())
+    d = W.rolling(d, {"p": W.Rolling("first", F.col("price"), 72 * 3600), "n": W.Rolling("count", F.col("price"), 72 * 3600)})
+    d = d.filter("n >= 2").withColumn("m", S.move_bps(F.col("price"), F.col("p"))).filter("m is not null")
     return d.select("instrument_id", "us", F.round("m", 6).alias("move_bps"))
 
 
 @query("with " + MEASURED_SQL + " select id as instrument_id, us, status_before from measured where kind = 'trading_status'")
 def status_lag(spark, sf_dir):
     d = tape.events(spark, sf_dir).filter(D.valid_status())
-    return d.select("instrument_id", "us", W.status_lag(F.col("trading_status")).alias("status_before"))
+    return W.as_of(d, {"status_before": F.trim("trading_status")}, earlier=True).select("instrument_id", "us", "status_before")
 
 
 @query("with recursive " + MEASURED_SQL + ", e_trade as (select * from measured where is_trade)" + gate_sql("g_trade", "e_trade", "id", 6 * H) + " select id as instrument_id, us, seq from g_trade")
 def sample_gate(spark, sf_dir):
     d = _trades(spark, sf_dir).select("instrument_id", "us", "seq", F.lit(6 * H).cast("bigint").alias("interval"), F.lit(True).alias("ok"))
-    return greedy_gate(d, ["instrument_id"], ["us", "seq"], [Gate("sampled", "interval", "ok")]).filter("sampled").select("instrument_id", "us", "seq")
+    return greedy_gate(d, ["instrument_id"], ["us", "seq"], [Gate("sampled", "interval", "ok")], block_us=32 * 6 * H).filter("sampled").select("instrument_id", "us", "seq")
 
 
 @query(SCORED_SQL + gate_sql("ready", "candidates", "id, kind", 24 * H) + " select id as instrument_id, kind as signal_type, us from ready")
@@ -344,12 +347,50 @@ def cooldown_gate(spark, sf_dir):
 
 @query(SCORED_SQL + " select id as instrument_id, us, round(v, 4) as volume, round(b, 7) as mean, n, round(z, 7) as z from z_volume")
 def zscore_baseline(spark, sf_dir):
-    d = _trades(spark, sf_dir).select("instrument_id", "us", "seq", W.rolling_volume(F.col("quantity"), 48 * 3600).alias("v"), F.lit(6 * H).cast("bigint").alias("i"), F.lit(True).alias("ok"))
+    d = W.rolling(_trades(spark, sf_dir), {"v": W.Rolling("sum", F.col("quantity"), 48 * 3600)})
+    d = d.select("instrument_id", "us", "seq", "v", F.lit(6 * H).cast("bigint").alias("i"), F.lit(True).alias("ok"))
     s = greedy_gate(d, ["instrument_id"], ["us", "seq"], [Gate("g", "i", "ok")]).filter("g").withColumn("b", W.baseline(F.col("v"), 20, "instrument_id"))
     z = F.when(F.col("b.n") >= 5, S.z_score(F.col("v"), F.col("b.mean"), F.col("b.std")))
     return s.select("instrument_id", "us", F.round("v", 4).alias("volume"), F.round("b.mean", 7).alias("mean"), F.col("b.n").alias("n"), F.round(z, 7).alias("z"))
 
 
+#: A sixth detector: the money a trade moves, in a slot of its own.
+MONEY = dict(signal_type="notional_spike", label="notional", window="trade_window_seconds")
+MONEY_SQL = (
+    "with recursive "
+    + MEASURED_SQL
+    + ", e_money as (select *, price * qty as money from measured where is_trade)"
+    + gate_sql("g_money", "e_money", "id", 6 * H)
+    + ", z_money as "
+    + z_sql("money", "g_money")
+    + ", candidates as (select id, us, seq, v, b, z from z_money where z >= 1.713)"
+    + gate_sql("ready", "candidates", "id", 24 * H)
+    + " select id as instrument_id, us, 'notional_spike' as signal_type, case when z >= 6 then 3 when z >= 4 then 2 else 1 end::int as severity, round(v, 6) as metric_value, round(b, 6) as baseline_value, round(z, 6) as z_score from ready"
+)
+
+
+def _money():
+    return F.when(D.valid_trade(), F.col("price") * F.col("quantity"))
+
+
+def _shown_money(d):
+    return d.select("instrument_id", "us", "signal_type", "severity", *(F.round(c, 6).alias(c) for c in ("metric_value", "baseline_value", "z_score")))
+
+
+@query(MONEY_SQL)
+def zscore_detector(spark, sf_dir):
+    """A detector made of a column, a threshold and the name of its slot."""
+    return _shown_money(D.zscore_detector(tape.events(spark, sf_dir), _money(), 1.713, "money", tape.SETTINGS, **MONEY))
+
+
+@query(MONEY_SQL)
+def zscore_detector_stream(spark, sf_dir):
+    """The same rule folded by the stream's code, beside the market's own rules."""
+    rules = [*R.market_rules(), R.ZRule(metric="money", of=_money, how="value", slot="money", threshold=1.713, **MONEY)]
+    found = stream_detect(tape.events(spark, sf_dir).withColumn("seq", F.col("us")), tape.SETTINGS, rules=rules)
+    return _shown_money(found.filter("signal_type = 'notional_spike'"))
+
+
 @query("with " + TAPE_SQL + " select id as instrument_id, round(avg(qty), 6) as mean, round(stddev_pop(qty), 6) as std, count(qty) as n from tape where kind = 'trade' group by 1")
 def baseline_stats(spark, sf_dir):
     q = F.col("quantity")
@@ -374,22 +415,31 @@ ASOF_SQL = "select id, us, seq, last_value({c} ignore nulls) over (partition by
 @query("with " + MEASURED_SQL + " select id as instrument_id, us, round(v, 6) as bid_share from (" + ASOF_SQL.format(c="bid_share") + ") where v is not null")
 def asof_book_ratio(spark, sf_dir):
     d = tape.events(spark, sf_dir).withColumn("b", S.book_metrics(F.col("bids"), F.col("asks"))["bid_share"])
-    return d.select("instrument_id", "us", F.round(W.as_of(F.col("b")), 6).alias("bid_share")).filter("bid_share is not null")
+    return W.as_of(d, {"share": F.col("b")}).select("instrument_id", "us", F.round("share", 6).alias("bid_share")).filter("bid_share is not null")
 
 
 @query("with " + MEASURED_SQL + " select id as instrument_id, us, round(delta, 4) as delta from measured where kind = 'orderbook'")
 def asof_signed_delta(spark, sf_dir):
     trade = D.valid_trade()
     signed = F.when(trade, S.signed_quantity(F.col("direction"), F.col("quantity")))
-    d = tape.events(spark, sf_dir).withColumn("here", W.arrived(F.sum, signed, 48 * H)).withColumn("delta", F.coalesce(W.as_of(F.col("here"), trade), F.lit(0.0)))
-    return d.filter("event_type = 'orderbook'").select("instrument_id", "us", F.round("delta", 4).alias("delta"))
+    d = W.rolling(tape.events(spark, sf_dir), {"here": W.Rolling("sum", signed, 48 * 3600)})
+    d = W.as_of(d, {"delta": F.when(trade, F.col("here"))}).filter("event_type = 'orderbook'")
+    return d.select("instrument_id", "us", F.round(F.coalesce("delta", F.lit(0.0)), 4).alias("delta"))
+
+
+@query("with " + MEASURED_SQL + " select id as instrument_id, us, round(delta_here, 4) as delta from measured where kind = 'orderbook'")
+def asof_signed_delta_strict(spark, sf_dir):
+    """Signed volume of the window that ends at each book, not at the trade before it."""
+    signed = F.when(D.valid_trade(), S.signed_quantity(F.col("direction"), F.col("quantity")))
+    d = W.as_of_window(tape.events(spark, sf_dir), signed, 48 * 3600, "delta").filter("event_type = 'orderbook'")
+    return d.select("instrument_id", "us", F.round("delta", 4).alias("delta"))
 
 
 @query(f"with {MEASURED_SQL}, a as (select id, us, kind, max(case when spread > 150 then us end) over (partition by id order by us, seq) as seen from measured) select id as instrument_id, us, coalesce(seen >= us - {48 * H}, false) as active from a where kind = 'trade'")
 def asof_active(spark, sf_dir):
     """Was a wide spread seen in the 48 hours up to each trade?"""
     wide = S.book_metrics(F.col("bids"), F.col("asks"))["spread_bps"] > 150
-    d = tape.events(spark, sf_dir).withColumn("at", W.as_of(F.col("us"), wide)).filter("event_type = 'trade'")
+    d = W.as_of(tape.events(spark, sf_dir), {"at": F.when(wide, F.col("us"))}).filter("event_type = 'trade'")
     return d.select("instrument_id", "us", F.coalesce(F.col("at") >= F.col("us") - 48 * H, F.lit(False)).alias("active"))
 
 

@@ -15,6 +15,7 @@ from tapewright.operators import windows as W
 from tapewright.plans import tape
 from tapewright.sources import readers as R
 from tapewright.sources import sinks as K
+from tapewright.sources.store import write_candle_csv
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -155,11 +156,25 @@ def interval_aliases(spark, sf_dir):
     return d.withColumn("subscription", S.lookup(S.ALIASES, F.col("a"), "ONE_MINUTE")).groupBy("a", "subscription").agg(F.count("*").alias("n"))
 
 
-@query("select event_id, (case when event_type = 'click' then 1 when event_type = 'purchase' then 2 else 0 end)::int as direction, (case when event_type = 'error' then 5 else 1 end)::int as status from events")
+def _codes_sql() -> str:
+    values = lambda t: "[" + ", ".join(f"'{k}'" for k, _ in sorted(t.items(), key=lambda x: x[1])) + "]"
+    status, interval, side = (f"({values(t)})[(event_id % {len(t)})::int + 1]" for t in (S.TRADING_STATUS, S.CANDLE_INTERVAL, S.TRADE_DIRECTION))
+    return (
+        f"select event_id, (event_id % {len(S.TRADING_STATUS)})::int as status, {status} as status_name, (event_id % {len(S.CANDLE_INTERVAL)})::int as interval_code, {interval} as interval_name, "
+        f"(event_id % {len(S.TRADE_DIRECTION)})::int as direction, {side} as direction_name from events"
+    )
+
+
+@query(_codes_sql())
 def enum_codes(spark, sf_dir):
-    side = F.when(F.col("event_type") == "click", "BUY").when(F.col("event_type") == "purchase", "SELL").otherwise("UNSPECIFIED")
-    state = F.when(F.col("event_type") == "error", "NORMAL_TRADING").otherwise("NOT_AVAILABLE_FOR_TRADING")
-    return tape.table(spark, sf_dir, "events").select("event_id", S.lookup(S.TRADE_DIRECTION, side).alias("direction"), S.lookup(S.TRADING_STATUS, state).alias("status"))
+    """Every code to its name and back, the prefix of the wire included."""
+    d = tape.table(spark, sf_dir, "events").select("event_id")
+    out = ["event_id"]
+    for table, code, name, prefix in ((S.TRADING_STATUS, "status", "status_name", "SECURITY_TRADING_STATUS_"), (S.CANDLE_INTERVAL, "interval_code", "interval_name", "CANDLE_INTERVAL_"), (S.TRADE_DIRECTION, "direction", "direction_name", "TRADE_DIRECTION_")):
+        d = d.withColumn(name, S.enum_name(table, F.col("event_id") % len(table)))
+        d = d.withColumn(code, S.enum_code(table, F.concat(F.lit(prefix), name), prefix))
+        out += [code, name]
+    return d.select(*out)
 
 
 def _scratch(spark, name: str) -> str:
@@ -348,9 +363,10 @@ def candle_events(spark, sf_dir):
 
 @query(WIRE_SQL)
 def write_candles(spark, sf_dir):
-    """All candles, by interval and month, and all of them back."""
-    path = _scratch(spark, "candles")
-    K.write_candles(C.candle_rows(_stored(spark, sf_dir)), path)
+    """All candles, the first half twice, by interval and month; and all of them back, once."""
+    path, rows = _scratch(spark, "candles"), C.candle_rows(_stored(spark, sf_dir))
+    K.write_candles(rows.filter(F.col("time") < "1995-06-17"), path)
+    K.write_candles(rows, path)
     return _read(R.read_candles(spark, path))
 
 
@@ -367,9 +383,7 @@ def read_candles(spark, sf_dir):
 @query(WIRE_SQL)
 def read_candle_csv(spark, sf_dir):
     path = _scratch(spark, "csv")
-    cell = lambda c: F.format_string("{'units': %d, 'nano': %d}", F.col(c)["units"], F.col(c)["nano"])
-    rows = _stored(spark, sf_dir).select("instrument_id", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("time"), *(cell(c).alias(c) for c in N6), "volume", "is_complete")
-    rows.repartition("instrument_id").write.partitionBy("instrument_id").option("header", True).csv(path)
+    write_candle_csv(C.candle_rows(_stored(spark, sf_dir)), path)
     return _read(R.read_candle_csv(spark, path, partition="instrument_id"))
 
 
@@ -420,6 +434,39 @@ def write_threshold_overrides(spark, sf_dir):
     return spark.read.parquet(path).select("instrument_id", "price_move_absolute_threshold_bps", "lookback_days")
 
 
+def _thresholds_sql() -> str:
+    from tapewright.plans.detector_queries import MEASURED_SQL, SIGNALS_SELECT, gate_sql, z_sql
+
+    sql = "with recursive " + MEASURED_SQL
+    sql += ", own as (select id, avg(abs((close - open) / open) * 10000) as bps, count(*) as n from " + TICK_CANDLES + " group by 1 having count(*) >= 5)"
+    sql += ", e_price as (select m.* from measured m left join own using (id) where move is not null and (bps is null or move >= round(bps * 0.05, 4)))"
+    sql += gate_sql("g_price", "e_price", "id", 6 * 3_600_000_000) + ", z_move as " + z_sql("move", "g_price")
+    sql += ", candidates as (select id, 'price_jump' as kind, us, seq, v, b, z, case when z >= 6 then 3 when z >= 4 then 2 else 1 end as severity from z_move where z >= 1.513)"
+    return sql + gate_sql("found", "candidates", "id, kind", 24 * 3_600_000_000) + SIGNALS_SELECT
+
+
+#: Daily candles of the market tape's own trades.
+TICK_CANDLES = "(select id, us // 86400000000 as day, arg_min(price, (us, seq)) as open, arg_max(price, (us, seq)) as close from tape where kind = 'trade' group by 1, 2)"
+
+
+@query(_thresholds_sql())
+def threshold_overrides_in_force(spark, sf_dir):
+    """Candles to thresholds, thresholds to a table, the table to settings, settings to ``detect_price_jump``."""
+    import datetime as dt
+
+    from tapewright.operators import detectors as D
+    from tapewright.plans.detector_queries import shown
+
+    ev, path = tape.events(spark, sf_dir), _scratch(spark, "thresholds")
+    order = F.struct("us", "seq")
+    days = ev.filter("event_type = 'trade'").groupBy("instrument_id", F.floor(F.col("us") / DAY).alias("day")).agg(F.min_by("price", order).alias("open"), F.max_by("price", order).alias("close"))
+    candles = days.select("instrument_id", (F.col("day") * DAY).alias("us"), "open", "close", F.lit(True).alias("is_complete"))
+    K.write_threshold_overrides(C.hourly_thresholds(candles, 1 << 60, 1 << 24, 0.05, at_least=5), path, dt.datetime(2024, 1, 1), 1 << 24, 0.05)
+    blocks = R.threshold_blocks(spark, path)
+    own = R.resolve_blocks(tape.SETTINGS, blocks.limit(0), blocks)
+    return shown(D.detect(ev, tape.SETTINGS, own, only=("price_jump",)))
+
+
 def _live(spark, sf_dir):
     """Ticks as live candles: arrival order is the tick order."""
     t = tape.ticks(spark, sf_dir)
@@ -502,6 +549,52 @@ def coverage_gaps(spark, sf_dir):
     return C.coverage_gaps(_requests(spark, sf_dir), _ranges(spark, sf_dir), DAY_S).withColumnsRenamed({"start": "gap_start", "end": "gap_end"})
 
 
+MANY_SQL = """r as (select o_custkey::varchar as id, epoch_us(o_orderdate) - 864000000000 as s, epoch_us(o_orderdate) + 4320000000000 as e from orders),
+c as (select o_custkey::varchar as id, epoch_us(o_orderdate) as s, epoch_us(o_orderdate) + 1728000000000 as e from orders where o_orderkey % 3 > 0),
+rm as (select *, case when s > max(e) over (partition by id order by s, e rows between unbounded preceding and 1 preceding) then 1 else 0 end as n from r),
+ri as (select id, min(s) as s, max(e) as e from (select *, sum(n) over (partition by id order by s, e rows unbounded preceding) as g from rm) group by id, g),
+cm as (select *, case when s > max(e) over (partition by id order by s, e rows between unbounded preceding and 1 preceding) then 1 else 0 end as n from c),
+ci as (select id, min(s) as s, max(e) as e from (select *, sum(n) over (partition by id order by s, e rows unbounded preceding) as g from cm) group by id, g),
+i as (select ri.id, ri.s as rs, ri.e as re, greatest(ci.s, ri.s) as s, least(ci.e, ri.e) as e from ri join ci on ri.id = ci.id and ci.s <= ri.e and ci.e >= ri.s),
+p as (select *, coalesce(lag(e) over (partition by id, rs order by s), rs) as before from i)
+select id as instrument_id, before as gap_start, s as gap_end from p where s > before
+union all select ri.id, coalesce(z.e, ri.s), ri.e from ri left join (select id, rs, max(e) as e from i group by 1, 2) z on ri.id = z.id and ri.s = z.rs where coalesce(z.e, ri.s) + 86400000000 <= ri.e"""
+
+
+@query("with " + MANY_SQL)
+def coverage_gaps_many(spark, sf_dir):
+    """Many requests a key that overlap: each order asks for ten days before and fifty after it, two
+    orders of three cover twenty."""
+    o = tape.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("instrument_id"), tape.us("o_orderdate").alias("at"), "o_orderkey")
+    asked = o.select("instrument_id", (F.col("at") - 10 * DAY).alias("start"), (F.col("at") + 50 * DAY).alias("end"))
+    stored = o.filter("o_orderkey % 3 > 0").select("instrument_id", F.col("at").alias("start"), (F.col("at") + 20 * DAY).alias("end"))
+    return C.coverage_gaps(asked, stored, DAY_S).withColumnsRenamed({"start": "gap_start", "end": "gap_end"})
+
+
+@query(
+    "with t as (select l_suppkey::varchar as id, epoch_us(l_shipdate) as u, l_orderkey * 10 + l_linenumber as s, l_partkey, l_extendedprice, l_extendedprice / l_quantity as p from lineitem), "
+    "k as (select *, row_number() over (partition by id order by s, l_partkey, l_extendedprice, u) as k, u - (u + 62135596800000000) % 604800000000 as b from t), "
+    "m as (select *, max(b) over (partition by id order by k rows between unbounded preceding and 1 preceding) as top, max(b) over (partition by id) as last from k), "
+    "f as (select * from m where top is null or b >= top) "
+    "select id as instrument_id, b as bucket_us, round(arg_max(p, k), 6) as close, false as late, count(*) as n from f where b < last group by 1, 2 "
+    "union all select id, b, round(p, 6), true, 1 from m where b < top"
+)
+def live_candles(spark, sf_dir):
+    """A stream of live candles in two micro-batches: what their intervals came to, and late ones aside."""
+    from tapewright.streaming.candles import live_candles as live
+
+    t = tape.ticks(spark, sf_dir).withColumn("s", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    d = tape.numbered(t, "instrument_id", "s", "l_partkey", "l_extendedprice", "at").select("instrument_id", F.col("at").alias("us"), F.col("k").cast("bigint").alias("seq"), F.col("price").alias("close"))
+    source, out, state = (_scratch(spark, x) for x in ("live", "candles", "state"))
+    half = F.col("seq") <= 300
+    for part in (d.filter(half), d.filter(~half)):
+        part.write.mode("append").parquet(source)
+        found = live(spark.readStream.schema(d.schema).parquet(source), 7 * DAY_S)
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    schema = "instrument_id string, bucket_us bigint, us bigint, seq bigint, close double, n bigint, late boolean"
+    return spark.read.schema(schema).parquet(out).select("instrument_id", "bucket_us", F.round("close", 6).alias("close"), "late", "n")
+
+
 @query(f"with {RANGE_SQL} select id as instrument_id, s as stored_start, greatest(s, {A95}) as overlap_start, least(e, {A96}) as overlap_end from r where s <= {A96} and e >= {A95}")
 def range_overlap(spark, sf_dir):
     d = J.range_overlap(_requests(spark, sf_dir), _ranges(spark, sf_dir))

@@ -10,7 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.functions import scalars as S
-from tapewright.schemas import CANDLE, ENVELOPE, PAYLOAD, QUOTATION, SIGNAL, Settings
+from tapewright.schemas import ENVELOPE, PAYLOAD, QUOTATION, SIGNAL, Settings
+from tapewright.sources.store import read_candles
+
+__all__ = [
+    "decode_events", "normalize_events", "normalize_instruments", "quotation_cell", "read_candle_csv", "read_candles", "read_detector_settings", "read_events", "read_instruments",
+    "read_raw_messages", "read_setting_blocks", "read_signals", "resolve_blocks", "resolve_settings", "tape", "threshold_blocks", "with_payload",
+]
 
 # fixed values: kinds of feed messages; payload kinds in the order in which they are tried
 CONTROL = ("subscribe_candles_response", "subscribe_order_book_response", "subscribe_trades_response", "subscribe_info_response", "subscribe_last_price_response", "ping")
@@ -79,32 +85,24 @@ def normalize_events(messages: DataFrame, received_at=None) -> DataFrame:
     )
 
 
-def read_candles(spark: SparkSession, path: str, interval: str | None = None, start=None, end=None) -> DataFrame:
-    """Parquet candles as ``write_candles`` lays them out, pruned to an interval and to the
-    months of [start, end], and cut to that range."""
-    d = spark.read.schema(CANDLE + ", month date").parquet(path)
-    if interval:
-        d = d.filter(F.col("interval") == interval)
-    month = lambda x: F.trunc(F.lit(x).cast("date"), "month")
-    if start is not None:
-        d = d.filter((F.col("time") >= start) & (F.col("month") >= month(start)))
-    if end is not None:
-        d = d.filter((F.col("time") <= end) & (F.col("month") <= month(end)))
-    return d.drop("month")
-
-
 def quotation_cell(c):
     """Text like {'units': 1, 'nano': 500000000} to a quotation."""
     return F.from_json(F.translate(c, "'", '"'), QUOTATION)
 
 
 def read_candle_csv(spark: SparkSession, path: str, start=None, end=None, partition: str | None = None) -> DataFrame:
-    """CSV with header time,open,high,low,close,volume,is_complete and quotation cells;
-    ``partition`` names the column that the folders under ``path`` stand for, if any."""
-    cells = "time string, open string, high string, low string, close string, volume bigint, is_complete boolean"
-    if partition:
-        cells += f", {partition} string"
-    d = spark.read.schema(cells).option("escape", '"').csv(path, header=True)
+    """CSV with a header of time, open, high, low, close, volume and is_complete, in any order and with any others
+    beside them, and quotation cells; ``partition`` names the column that the folders under
+    ``path`` stand for, if any. A missing column is an error, and so is a file whose header isn't the first one's."""
+    wanted = ("time", "open", "high", "low", "close", "volume", "is_complete")
+    header = [c for c in spark.read.option("header", True).option("escape", '"').csv(path).columns if c != partition]
+    missing = [c for c in wanted if c not in header]
+    if header and missing:
+        raise ValueError(f"the header of {path} lacks {missing}")
+    kinds = {"volume": "bigint", "is_complete": "boolean"}
+    schema = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in header or wanted) + (f", {partition} string" if partition else "")
+    d = spark.read.schema(schema).option("escape", '"').option("enforceSchema", False).csv(path, header=True)
+    d = d.select(*([partition] if partition else []), *wanted)
     d = d.withColumn("time", S.parse_timestamp(F.col("time"))).withColumns({c: S.quotation_to_decimal(quotation_cell(F.col(c))) for c in ("open", "high", "low", "close")})
     if start is not None:
         d = d.filter(F.col("time") >= start)
@@ -198,3 +196,12 @@ def resolve_blocks(default: Settings, main: DataFrame, overrides: DataFrame) ->
     rest = main.join(overrides.select("instrument_id"), "instrument_id", "left_anti")
     both = overrides.unionByName(rest).withColumn("s_instrument", F.trim("instrument_id")).filter("s_instrument <> ''")
     return both.select("s_instrument", *(F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in default.as_dict().items()))
+
+
+def threshold_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``write_threshold_overrides`` wrote, as blocks that ``resolve_blocks`` lays over
+    the settings: one setting each, null for all others."""
+    own = spark.read.parquet(path).select("instrument_id", F.col("price_move_absolute_threshold_bps").cast("double"))
+    kinds = {int: "int", float: "double", bool: "boolean"}
+    rest = [F.lit(None).cast(kinds[type(v)]).alias(k) for k, v in Settings().as_dict().items() if k != "price_move_absolute_threshold_bps"]
+    return own.select("*", *rest)

@@ -1,13 +1,17 @@
-"""Sinks: signal tables, topics, threshold tables, candles, fan-out."""
+"""Sinks: signal tables, topics, threshold tables, fan-out. Candles have a store of their own (``store.py``)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.schemas import SIGNAL
+from tapewright.sources.store import write_candles
+
+__all__ = ["signal_fanout", "topic_rows", "write_candles", "write_signals", "write_signals_jdbc", "write_threshold_overrides", "write_topic"]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -15,25 +19,41 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
 
 
-def write_signals(signals: DataFrame, path: str) -> None:
-    """Append to a Parquet table partitioned by day. The deterministic signal_id makes
-    redelivered rows recognisable: rows of this batch that the days it touches already
+def write_signals(signals: DataFrame, path: str, batch_id: int | str | None = None) -> None:
+    """Add to a Parquet table partitioned by day and batch. With a ``batch_id`` (that of a micro-batch) a
+    redelivery replaces what the same batch wrote before, whole or half, and nothing is
+    read. Without one, rows whose deterministic signal_id the days it touches already
     hold are left out; other days aren't read."""
     spark = signals.sparkSession
-    dated = signals.dropDuplicates(["signal_id"]).withColumn("date", F.to_date("detected_at")).persist()
+    dated = signals.dropDuplicates(["signal_id"]).withColumns({"date": F.to_date("detected_at"), "batch": F.lit("rows" if batch_id is None else str(batch_id))})
+    if batch_id is not None:
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path)
+        return
+    dated = dated.persist()
     try:
         fresh = dated
         if _exists(spark, path):
             days = [r.date for r in dated.select("date").distinct().collect()]  # a row a day
-            known = spark.read.schema(f"{SIGNAL}, date date").parquet(path).filter(F.col("date").isin(days))
+            known = spark.read.schema(f"{SIGNAL}, date date, batch string").parquet(path).filter(F.col("date").isin(days))
             fresh = dated.join(known.select("signal_id", "date"), ["signal_id", "date"], "left_anti").select(*dated.columns)
-        fresh.write.mode("append").partitionBy("date").parquet(path)
+        fresh.write.mode("append").partitionBy("date", "batch").parquet(path)
     finally:
         dated.unpersist()
 
 
 def write_signals_jdbc(signals: DataFrame, url: str, table: str = "market_signals", **options: str) -> None:
-    signals.write.mode("append").options(**options).jdbc(url, table)
+    """Append to a table (whose key is signal_id). Rows whose id the table already holds at the
+    batch's times are left out, so a redelivery after a half-written attempt adds the rest only."""
+    once = signals.dropDuplicates(["signal_id"]).persist()
+    try:
+        span = once.agg(F.min("detected_at").alias("a"), F.max("detected_at").alias("b")).first()  # one row
+        if span.a is None:
+            return
+        reader = once.sparkSession.read.options(**options)
+        known = reader.jdbc(url, table).select("signal_id", "detected_at").filter(F.col("detected_at").between(span.a, span.b))
+        once.join(known.select("signal_id"), "signal_id", "left_anti").select(*signals.columns).write.mode("append").options(**options).jdbc(url, table)
+    finally:
+        once.unpersist()
 
 
 def topic_rows(rows: DataFrame, key: str = "instrument_id") -> DataFrame:
@@ -49,15 +69,17 @@ def write_topic(rows: DataFrame, options: dict[str, str], stream: bool = False):
     out.write.format("kafka").options(**options).save()
 
 
-def signal_fanout(table: Callable[[DataFrame], None], topic: Callable[[DataFrame], None] | None = None, alerts: Sequence[Callable[[DataFrame], None]] = ()):
-    """A foreachBatch function: the batch goes to the table, then the topic, then to alert
+def signal_fanout(table: Callable[..., None], topic: Callable[[DataFrame], None] | None = None, alerts: Sequence[Callable[[DataFrame], None]] = ()):
+    """A foreachBatch function: the batch goes to the table (called with its id, if it takes two
+    arguments), then the topic, then to alert
     sinks; a failing alert is told and never stops the others. Table and topic failures
     fail the batch as a whole, which is then redelivered."""
+    with_id = len([p for p in signature(table).parameters.values() if p.default is p.empty]) > 1
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            table(batch)
+            table(batch, batch_id) if with_id else table(batch)
             if topic:
                 topic(batch)
             for alert in alerts:
@@ -71,17 +93,10 @@ def signal_fanout(table: Callable[[DataFrame], None], topic: Callable[[DataFrame
     return run
 
 
-def write_threshold_overrides(thresholds: DataFrame, path: str, generated_at, lookback_days: int, multiplier: float, metric: str = "hourly_abs_return_bps") -> None:
+def write_threshold_overrides(thresholds: DataFrame, path: str, generated_at, lookback_days: int, multiplier: float, metric: str = "hourly_abs_return_bps_mean") -> None:
     """Replaces the set as a whole: instruments that didn't pass drop out."""
     named = thresholds.select(
         "instrument_id", F.col("threshold_bps").alias("price_move_absolute_threshold_bps"), F.lit(generated_at).alias("generated_at"),
         F.lit(lookback_days).alias("lookback_days"), F.lit(metric).alias("metric"), F.lit(multiplier).alias("multiplier"),
     )
     named.write.mode("overwrite").parquet(path)
-
-
-def write_candles(candles: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append by interval and month; rows of a month are written together."""
-    dated = candles.withColumn("month", F.trunc(F.col("time").cast("date"), "month")).repartition("interval", "month")
-    writer = dated.write.mode("append").partitionBy("interval", "month")
-    writer.parquet(path) if fmt == "parquet" else writer.option("header", True).csv(path)

@@ -1,24 +1,35 @@
-"""The detectors on a stream: one state per instrument, events in arrival order.
+"""The detectors on a stream: typed state per instrument, events in arrival order.
 
-Each micro-batch is grouped by instrument and folded event by event over a state
-that is bounded by the windows and the baseline length. On time-ordered input the
-signals equal the batch plan's. State lives in the checkpoint and survives restarts
-and settings changes; settings may be read anew for every micro-batch.
+The fold is made from the same table of rules as the batch plan: what a rule measures per
+event comes as a column from the JVM, windows, samples, scores and gates are folded event by event. On
+time-ordered input the signals equal the batch plan's.
+
+State of an instrument, kept by ``transformWithState`` in a RocksDB store:
+
+* ``head``: running totals of windows, times of gates and alerts, last status and share;
+* ``history``: a metric to its last samples (``baseline_points`` at most);
+* ``points``: a metric and a slice of time to the window's points in it. A micro-batch writes the
+  slices that got points and removes those that are over; it reads the oldest one only
+  when points fall out. Bytes written follow the new events, not the window.
+
+Totals are integers in units of 1e-12, so sums slide without being added up anew and
+nothing is left over. State survives restarts and settings changes; settings may be read anew for every micro-batch.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tapewright.functions import scalars as S
-from tapewright.operators.detectors import BASELINES, route
+from tapewright.operators import rules as R
+from tapewright.operators.detectors import CHANGED, COMBO, PARTS
 from tapewright.schemas import Settings
 
 OUT = (
@@ -26,51 +37,133 @@ OUT = (
     "baseline_value double, z_score double, window_seconds int, note string, detail string"
 )
 SEC = S.SECOND
+#: Slices of a window that points are kept by.
+SLICES = 8
+_UNITS = 10**12
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_HEAD = "totals map<string,struct<total:string,n:bigint,oldest:bigint,newest:bigint>>, times map<string,bigint>, status string, share double"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """``transformWithState`` wants this state store; one that was chosen already stays."""
+    if "HDFSBackedStateStoreProvider" in spark.conf.get(_PROVIDER):
+        spark.conf.set(_PROVIDER, _ROCKSDB)
 
 
 def _json(**values) -> str:
     return json.dumps({k: v for k, v in values.items() if v is not None}, separators=(",", ":"), ensure_ascii=False)
 
 
-class Fold:
-    """State of one instrument: points of the windows, samples, and times of gates."""
+class Points(dict):
+    """Points ``[us, value]`` by (metric, slice), in memory."""
+
+    def read(self, metric: str, part: int) -> list:
+        return self.setdefault((metric, part), [])
+
+    def write(self, metric: str, part: int) -> None:
+        pass
+
+    def forget(self, metric: str, part: int) -> None:
+        self.pop((metric, part), None)
+
 
-    def __init__(self, state: str | None = None):
-        fresh = {"trades": [], "prices": [], "history": {}, "sampled": {}, "active": {}, "alerted": {}, "status": None, "share": None}
-        self.s = json.loads(state) if state else fresh
+class Total:
+    """Sum, number and first value of the points of the last ``length`` microseconds."""
 
-    def dump(self) -> str:
-        return json.dumps(self.s)
+    def __init__(self, metric: str, points: Points, kept: tuple | None = None):
+        self.metric, self.points = metric, points
+        self.total, self.n, self.oldest, self.newest = kept or (0, 0, 0, -1)
 
-    def _gate(self, kind: str, name: str, us: int, seconds: float) -> bool:
-        last = self.s[kind].get(name)
+    def add(self, us: int, value: float, length: int) -> None:
+        part = us // max(1, length // SLICES)
+        if self.n and part < self.newest:
+            part = self.newest  # late in time, not in arrival
+        if not self.n:
+            self.oldest = part
+        self.newest = part
+        self.points.read(self.metric, part).append([us, value])
+        self.points.write(self.metric, part)
+        self.total, self.n = self.total + round(value * _UNITS), self.n + 1
+        self.prune(us - length)
+
+    def prune(self, before: int) -> None:
+        while self.n:
+            first = self.points.read(self.metric, self.oldest)
+            while first and first[0][0] < before:
+                self.total, self.n = self.total - round(first.pop(0)[1] * _UNITS), self.n - 1
+                self.points.write(self.metric, self.oldest)
+            if first or self.oldest >= self.newest:
+                return
+            self.points.forget(self.metric, self.oldest)
+            self.oldest += 1
+
+    @property
+    def first(self) -> float:
+        return self.points.read(self.metric, self.oldest)[0][1]
+
+    @property
+    def sum(self) -> float:
+        return self.total / _UNITS
+
+
+class Fold:
+    """An instrument's state and the rules that move it."""
+
+    def __init__(self, rules: Sequence[R.ZRule], points: Points, combo: bool = True, status: bool = True):
+        self.slots, self.combo, self.changes = R.slots(rules), combo, status
+        self.points, self.totals, self.history, self.times = points, {}, {}, {}
+        self.status = self.share = None
+        self.touched: set[str] = set()
+
+    def _ready(self, name: str, us: int, seconds: float) -> bool:
+        last = self.times.get(name)
         return last is None or us - last >= seconds * SEC
 
-    def _history(self, name: str, value: float, c: Settings) -> None:
-        h = self.s["history"].setdefault(name, [])
-        h.append(value)
-        del h[: -c.baseline_points]
+    def _total(self, metric: str) -> Total:
+        if metric not in self.totals:
+            self.totals[metric] = Total(metric, self.points)
+        return self.totals[metric]
 
-    def _test(self, kind: str, name: str, value: float, limit: float, window: int, us: int, c: Settings, out: list) -> None:
-        h = self.s["history"].get(name, [])
-        if len(h) < c.min_baseline_points:
+    def _measure(self, r: R.ZRule, e: dict, us: int, c: Settings) -> float | None:
+        value = e[f"in_{r.metric}"]
+        if value is None or value != value:
+            return None
+        if r.how != "value":
+            window = self._total(r.metric)
+            window.add(us, value, R.value_of(r.window, c) * SEC)
+            if r.how == "move":
+                if window.n < 2 or window.first <= 0:
+                    return None
+                value = abs((value - window.first) / window.first) * 10_000
+            else:
+                value = window.sum if r.how == "sum" else float(window.n)
+        floor = R.value_of(r.floor, c)
+        return value if floor is None or floor <= 0 or value >= floor else None
+
+    def _test(self, r: R.ZRule, value: float, us: int, c: Settings, out: list) -> None:
+        h, least = self.history.get(r.metric, ()), R.value_of(r.least, c)
+        if len(h) < c.min_baseline_points or least is not None and value < least:
             return
         mean = math.fsum(h) / len(h)
         std = math.sqrt(math.fsum((x - mean) ** 2 for x in h) / len(h))
         z = (999.0 if value > mean else 0.0) if std <= 1e-12 else (value - mean) / std
-        if z < limit:
+        if z < R.value_of(r.threshold, c):
             return
-        self.s["active"][kind] = us
-        if self._gate("alerted", kind, us, c.alert_cooldown_seconds):
-            self.s["alerted"][kind] = us
-            out.append((kind, 3 if z >= 6 else 2 if z >= 4 else 1, value, mean, z, window, None, _json(baseline_label=BASELINES[kind])))
+        self.times[f"active {r.signal_type}"] = us
+        self._alert(r.signal_type, us, c.alert_cooldown_seconds, out, 3 if z >= 6 else 2 if z >= 4 else 1, value, mean, z, R.value_of(r.window, c), None, _json(baseline_label=r.label))
+
+    def _alert(self, kind: str, us: int, cooldown: float, out: list, *row) -> None:
+        if self._ready(f"alert {kind}", us, cooldown):
+            self.times[f"alert {kind}"] = us
+            out.append((kind, *row))
 
     def _combo(self, us: int, c: Settings, out: list) -> None:
-        if not c.combo_enabled or not self._gate("sampled", "combo", us, c.sample_every_seconds):
+        if not self.combo or not c.combo_enabled or not self._ready("sample combo", us, c.sample_every_seconds):
             return
-        self.s["sampled"]["combo"] = us
-        on = {k: (t := self.s["active"].get(k)) is not None and t >= us - c.combo_freshness_seconds * SEC for k in ("spread_widening", "trade_rate_spike", "orderbook_imbalance")}
-        share, delta = self.s["share"], math.fsum(p[2] for p in self.s["trades"])
+        self.times["sample combo"] = us
+        on = {k: (t := self.times.get(f"active {k}")) is not None and t >= us - c.combo_freshness_seconds * SEC for k in PARTS}
+        share, delta = self.share, self._total("delta").sum
         both = c.combo_spread_points * on["spread_widening"] + c.combo_tick_rate_points * on["trade_rate_spike"]
         lean = on["orderbook_imbalance"] and share is not None
         scores = {
@@ -78,105 +171,161 @@ class Fold:
             "short": both + c.combo_imbalance_points * (lean and share <= c.combo_imbalance_short_threshold) + c.combo_delta_points * (delta <= -c.combo_delta_min_abs_qty),
         }
         for side, score in scores.items():
-            kind = f"microstructure_combo_{side}"
-            if score >= c.combo_min_score and self._gate("alerted", kind, us, c.combo_alert_cooldown_seconds):
-                self.s["alerted"][kind] = us
+            if score >= c.combo_min_score:
                 shown = "n/a" if share is None else f"{share:.2f}"
                 note = f" combo-{side} score={score} (spread={on['spread_widening']}, imbalance={shown} tick_rate={on['trade_rate_spike']}, delta={delta:.2f})."
                 detail = _json(score=score, min_score=c.combo_min_score, spread_active=on["spread_widening"], tick_rate_active=on["trade_rate_spike"], imbalance_ratio=share, signed_delta_qty=delta)
-                out.append((kind, 3 if score >= c.combo_min_score + 2 else 2, float(score), float(c.combo_min_score), 0.0, c.combo_freshness_seconds, note, detail))
+                severity = 3 if score >= c.combo_min_score + 2 else 2
+                self._alert(COMBO + side, us, c.combo_alert_cooldown_seconds, out, severity, float(score), float(c.combo_min_score), 0.0, c.combo_freshness_seconds, note, detail)
 
-    def event(self, e, c: Settings) -> list:
-        """Signals of one event (a row with the tape's columns, flat)."""
+    def event(self, e: dict, c: Settings) -> list:
+        """Signals of one event."""
         out: list = []
-        us, kind, s = int(e.us), e.event_type, self.s
-        number = lambda x: x is not None and not math.isnan(x)
-        is_trade = kind == "trade" and number(e.price) and number(e.quantity) and e.quantity > 0
-        is_price = is_trade or (kind == "last_price" and number(e.price) and e.price > 0)
-        if is_trade:
-            s["trades"].append([us, e.quantity, e.signed])
-            while s["trades"] and s["trades"][0][0] < us - c.trade_window_seconds * SEC:
-                s["trades"].pop(0)
-            if self._gate("sampled", "trade_window", us, c.sample_every_seconds):
-                volume, rate = math.fsum(p[1] for p in s["trades"]), float(len(s["trades"]))
-                self._test("volume_spike", "volume", volume, c.volume_zscore_threshold, c.trade_window_seconds, us, c, out)
-                self._test("trade_rate_spike", "rate", rate, c.trade_count_zscore_threshold, c.trade_window_seconds, us, c, out)
-                self._history("volume", volume, c)
-                self._history("rate", rate, c)
-                s["sampled"]["trade_window"] = us
+        us = int(e["us"])
+        if self.combo and e["in_delta"] is not None and e["in_delta"] == e["in_delta"]:
+            self._total("delta").add(us, e["in_delta"], c.trade_window_seconds * SEC)
+        for slot, rules in self.slots.items():
+            values = [(r, v) for r in rules if (v := self._measure(r, e, us, c)) is not None]
+            if not values or not self._ready(f"sample {slot}", us, c.sample_every_seconds):
+                continue
+            for r, v in values:
+                self._test(r, v, us, c, out)
+            for metric, v in {r.metric: v for r, v in values}.items():
+                h = self.history.setdefault(metric, [])
+                h.append(v)
+                del h[: -c.baseline_points]
+                self.touched.add(metric)
+            self.times[f"sample {slot}"] = us
+            if slot == "book" and self.combo:
+                self.share = e["bid_share"]
+            if slot in ("trade", "book"):
                 self._combo(us, c, out)
-        if is_price:
-            s["prices"].append([us, e.price])
-            while s["prices"] and s["prices"][0][0] < us - c.price_window_seconds * SEC:
-                s["prices"].pop(0)
-            first = s["prices"][0][1]
-            if self._gate("sampled", "price_window", us, c.sample_every_seconds) and len(s["prices"]) >= 2 and first > 0:
-                move = abs((e.price - first) / first) * 10_000
-                if c.price_move_absolute_threshold_bps <= 0 or move >= c.price_move_absolute_threshold_bps:
-                    self._test("price_jump", "move", move, c.price_return_zscore_threshold, c.price_window_seconds, us, c, out)
-                    self._history("move", move, c)
-                    s["sampled"]["price_window"] = us
-        if kind == "orderbook" and number(e.spread_bps) and self._gate("sampled", "orderbook", us, c.sample_every_seconds):
-            self._test("spread_widening", "spread", e.spread_bps, c.spread_zscore_threshold, c.orderbook_window_seconds, us, c, out)
-            if e.imbalance_abs >= c.imbalance_absolute_threshold:
-                self._test("orderbook_imbalance", "imbalance", e.imbalance_abs, c.imbalance_zscore_threshold, c.orderbook_window_seconds, us, c, out)
-            self._history("spread", e.spread_bps, c)
-            self._history("imbalance", e.imbalance_abs, c)
-            s["share"] = e.bid_share
-            s["sampled"]["orderbook"] = us
-            self._combo(us, c, out)
-        if kind == "trading_status" and e.trading_status and e.trading_status.strip():
-            now, before = e.trading_status.strip(), s["status"]
-            s["status"] = now
-            if before is not None and now != before and self._gate("alerted", "trading_status_changed", us, c.alert_cooldown_seconds):
-                s["alerted"]["trading_status_changed"] = us
-                out.append(("trading_status_changed", 2, 1.0, 0.0, 0.0, 0, f" trading status changed from {before} to {now}.", _json(previous_status=before, current_status=now)))
+        if self.changes and e["event_type"] == "trading_status" and e["trading_status"] and e["trading_status"].strip():
+            now, before = e["trading_status"].strip(), self.status
+            self.status = now
+            if before is not None and now != before:
+                note = f" trading status changed from {before} to {now}."
+                self._alert(CHANGED, us, c.alert_cooldown_seconds, out, 2, 1.0, 0.0, 0.0, 0, note, _json(previous_status=before, current_status=now))
         return out
 
 
-def _flat(events: DataFrame) -> DataFrame:
-    """What the fold reads; expressions stay on the JVM."""
-    book = S.book_metrics(F.col("bids"), F.col("asks"))
-    d = route(events).filter("instrument_id is not null and us is not null").withColumn("book", book)
-    return d.select(
-        "instrument_id", "us", "seq", "event_type", "quantity", "price", S.signed_quantity(F.col("direction"), F.col("quantity")).alias("signed"), "trading_status",
-        F.col("book.spread_bps").alias("spread_bps"), F.col("book.imbalance_abs").alias("imbalance_abs"), F.col("book.bid_share").alias("bid_share"),
-    )
+class _Stored(Points):
+    """Points in a map state; what is read once is held until the micro-batch's end."""
+
+    def __init__(self, state):
+        super().__init__()
+        self.state, self.dirty = state, set()
+
+    def read(self, metric: str, part: int) -> list:
+        if (metric, part) not in self:
+            found = self.state.getValue((metric, part)) if self.state.containsKey((metric, part)) else None
+            self[metric, part] = [list(x) for x in zip(*found)] if found else []
+        return self[metric, part]
+
+    def write(self, metric: str, part: int) -> None:
+        self.dirty.add((metric, part))
+
+    def forget(self, metric: str, part: int) -> None:
+        self.pop((metric, part), None)
+        self.dirty.discard((metric, part))
+        self.state.removeKey((metric, part))
+
+    def flush(self) -> None:
+        for k in self.dirty:
+            self.state.updateValue(k, ([x[0] for x in self[k]], [x[1] for x in self[k]]))
+
+
+class Detector(StatefulProcessor):
+    """``Fold`` over typed state."""
+
+    def __init__(self, make: Callable[[Points], Fold], settings: Callable[[], tuple[Settings, Mapping[str, Settings]]]):
+        self.make, self.settings = make, settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", _HEAD)
+        self.samples = handle.getMapState("history", "metric string", "samples array<double>")
+        self.parts = handle.getMapState("points", "metric string, part bigint", "us array<bigint>, value array<double>")
+        self.in_force = None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.in_force is None:  # once a task and micro-batch
+            self.in_force = self.settings()
+        settings = self.in_force[1].get(key[0], self.in_force[0])
+        points = _Stored(self.parts)
+        fold = self.make(points)
+        if self.head.exists():
+            totals, times, fold.status, fold.share = self.head.get()
+            fold.times = dict(times)
+            fold.totals = {m: Total(m, points, (int(t[0]), t[1], t[2], t[3])) for m, t in totals.items()}
+            fold.history = {k[0]: list(v[0]) for k, v in self.samples.iterator()}
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        found = [(key[0], int(e["us"]), int(e["seq"]), e["event_type"], *x) for e in _events(batch) for x in fold.event(e, settings)]
+        points.flush()
+        for metric in fold.touched:
+            self.samples.updateValue((metric,), (fold.history[metric],))
+        self.head.update(({m: (str(t.total), t.n, t.oldest, t.newest) for m, t in fold.totals.items()}, fold.times, fold.status, fold.share))
+        yield _signals(found)
+
+    def close(self) -> None:
+        pass
+
+
+def _events(batch: pd.DataFrame) -> Iterator[dict]:
+    names = list(batch.columns)
+    return (dict(zip(names, row)) for row in zip(*(batch[c].tolist() for c in names)))
+
+
+def _signals(found: list) -> pd.DataFrame:
+    return pd.DataFrame(found, columns=[c.split()[0] for c in OUT.split(", ")])
+
+
+def _flat(events: DataFrame, rules: Sequence[R.ZRule], combo: bool, status: bool) -> DataFrame:
+    """What the fold reads of events that some rule takes; expressions stay on the JVM."""
+    trade = F.coalesce(R.is_trade(), F.lit(False))
+    columns = {f"in_{r.metric}": r.input().cast("double") for r in rules}
+    if combo:
+        columns |= {"in_delta": F.when(trade, S.signed_quantity(F.col("direction"), F.col("quantity"))), "bid_share": R.book("bid_share")}
+    d = events.filter("instrument_id is not null and us is not null").withColumns(columns)
+    taking = (F.col("event_type") == "trading_status") if status else F.lit(False)
+    for c in columns:
+        taking = taking | F.col(c).isNotNull()
+    return d.filter(taking).select("instrument_id", "us", "seq", "event_type", "trading_status", *columns)
 
 
 def stream_detect(
-    events: DataFrame, default: Settings = Settings(), overrides: Mapping[str, Settings] | None = None, refresh: Callable[[], tuple[Settings, Mapping[str, Settings]]] | None = None, watermark: str | None = None
-) -> DataFrame:
+    events: DataFrame, default: Settings = Settings(), overrides: Mapping[str, Settings] | None = None, refresh: Callable[[], tuple[Settings, Mapping[str, Settings]]] | None = None, watermark: str | None = None,
+    rules: Sequence[R.ZRule] | None = None, combo: bool = True, status: bool = True,
+) -> DataFrame:
     """Signals of a stream (or table) of tape rows, in append mode. Rows of an instrument
     within a micro-batch are taken in order of ``seq``. ``refresh`` returns the settings in
-    force and is called by each task, so changes need no restart and no state is lost.
-    ``watermark`` (say '10 minutes') drops events that come later than that."""
+    force and is called once by each task of a micro-batch, so changes need no restart and no state is lost.
+    ``watermark`` (say '10 minutes') drops events that come later than that. ``rules`` are the market's and any
+    others; the combined score and status changes can be left out. A stream wants the
+    RocksDB state store, which is set for the session unless another one was chosen."""
     fixed = (default, dict(overrides or {}))
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        base, own = refresh() if refresh else fixed
-        settings = own.get(key[0], base)
-        fold = Fold(state.get[0] if state.exists else None)
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        found = [(key[0], int(e.us), int(e.seq), e.event_type, *x) for e in rows.itertuples(index=False) for x in fold.event(e, settings)]
-        state.update((fold.dump(),))
-        yield pd.DataFrame(found, columns=[c.split()[0] for c in OUT.split(", ")])
+    in_force = refresh or (lambda: fixed)
+    rules = R.market_rules() if rules is None else tuple(rules)
+    combo = combo and {*PARTS} <= {r.signal_type for r in rules}
+    flat = _flat(events, rules, combo, status)
+    # columns can't be sent to workers, names can
+    plain = [R.ZRule(r.signal_type, r.metric, None, r.how, r.window, r.slot, r.threshold, r.label, r.floor, r.least) for r in rules]
+    make = lambda points: Fold(plain, points, combo, status)
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, fold = None, Fold()
+        held, fold, settings = None, None, None
         for b in batches:
             found = []
-            for e in b.itertuples(index=False):
-                if e.instrument_id != held:
-                    base, own = refresh() if refresh else fixed
-                    held, fold = e.instrument_id, Fold()
-                    settings = own.get(held, base)
-                found += [(held, int(e.us), int(e.seq), e.event_type, *x) for x in fold.event(e, settings)]
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    flat = _flat(events)
+            for e in _events(b):
+                settings = settings or in_force()
+                if e["instrument_id"] != held:
+                    held, fold = e["instrument_id"], make(Points())
+                c = settings[1].get(held, settings[0])
+                found += [(held, int(e["us"]), int(e["seq"]), e["event_type"], *x) for x in fold.event(e, c)]
+            yield _signals(found)
+
     if not events.isStreaming:  # a table is replayed: one fold per instrument over sorted rows
         return flat.repartition("instrument_id").sortWithinPartitions("instrument_id", "seq").mapInPandas(replay, OUT)
+    use_rocksdb(events.sparkSession)
     if watermark:
         flat = flat.withColumn("at", F.timestamp_micros("us")).withWatermark("at", watermark).dropDuplicatesWithinWatermark(["instrument_id", "seq"]).drop("at")
-    return flat.groupBy("instrument_id").applyInPandasWithState(run, OUT, "fold string", "append", GroupStateTimeout.NoTimeout)
+    return flat.groupBy("instrument_id").transformWithStateInPandas(Detector(make, in_force), OUT, "append", "none")

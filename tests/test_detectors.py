@@ -117,18 +117,18 @@ def test_a_hot_instrument_and_gates_over_batches(spark):
     assert len(found) > 50
 
 
-def test_gates_cut_hot_keys_at_pauses(spark, monkeypatch):
+def test_gates_in_blocks_without_pauses(spark):
     """Blocks of a key change no outcome, against a loop; ties, nulls, dependent gates and
-    intervals of their own included."""
+    intervals of their own included, and keys that never pause."""
     import random
 
     from tapewright.operators import gates as G
 
     r = random.Random(3)
     data, at = [], {}
-    for n in range(1500):
+    for n in range(3000):
         who = "hot" if n % 10 else f"k{n % 40}"
-        at[who] = at.get(who, 0) + r.choice((0, 1, 1, 2, 3, 9))
+        at[who] = at.get(who, 0) + r.choice((0, 1, 1, 2, 3) if who == "hot" else (0, 1, 9, 40))
         data.append((who, at[who], n, r.choice((True, True, False, None)), r.choice((True, False)), r.random() < 0.8, 4, 7))
     df = spark.createDataFrame(data, "who string, us bigint, seq bigint, a boolean, b boolean, c boolean, short bigint, long bigint")
     listed = (G.Gate("g_a", "short", "a"), G.Gate("g_b", "long", "b"), G.Gate("g_c", "short", ("g_a", "g_b"), "c"))
@@ -141,13 +141,140 @@ def test_gates_cut_hot_keys_at_pauses(spark, monkeypatch):
             if ok[name]:
                 last[who, name] = us
         expected.append((seq, *ok.values()))
-    for rows_a_block in (1, 20, 250_000):
-        monkeypatch.setattr(G, "BLOCK_ROWS", rows_a_block)
-        out = G.greedy_gate(df, ["who"], ["us", "seq"], listed)
+    for block_us in (None, 1, 30, 1000, 10**9):
+        out = G.greedy_gate(df, ["who"], ["us", "seq"], listed, block_us)
         assert out.columns == [*df.columns, "g_a", "g_b", "g_c"]
-        assert sorted((x.seq, x.g_a, x.g_b, x.g_c) for x in out.collect()) == expected
-        blocks = G._blocks(df, ["who"], ["us", "seq"], listed).filter("who = 'hot'").select("__block").distinct().count()
-        assert blocks > 10 if rows_a_block < 250_000 else blocks == 1
+        assert sorted((x.seq, x.g_a, x.g_b, x.g_c) for x in out.collect()) == expected, block_us
+
+
+def test_a_regular_tape_in_blocks(spark):
+    """A tick a second and no pause: gates of many chains that never meet."""
+    from tapewright.operators import gates as G
+
+    df = spark.range(20_000).selectExpr("'x' as who", "id as us", "cast(7 as bigint) as every", "id % 3 > 0 as ok")
+    gate = [G.Gate("g", "every", "ok")]
+    plain = G.greedy_gate(df, ["who"], ["us"], gate).filter("g").select("us").collect()
+    blocks = G.greedy_gate(df, ["who"], ["us"], gate, block_us=1000)
+    assert sorted(blocks.filter("g").select("us").collect()) == sorted(plain)
+    parts = {r.p for r in G._entries(df.withColumn("__block", F.floor(F.col("us") / 1000).cast("bigint")), ["who"], ["us"], gate).select(F.col("__block").alias("p")).collect()}
+    assert parts == set(range(20))
+
+
+def test_windows_of_a_hot_instrument(spark):
+    """Nine tenths of the rows are one instrument's; sums, counts, first and latest values against
+    loops, and its rows lie in several partitions."""
+    import random
+
+    from tapewright.operators import windows as W
+
+    r = random.Random(5)
+    data = [("hot" if r.random() < 0.9 else f"k{r.randint(0, 3)}", r.randint(0, 400) * 500_000, n, r.choice((None, 0.1, 0.7, 1e6, 3.3))) for n in range(2000)]
+    df = spark.createDataFrame(data, "instrument_id string, us bigint, seq bigint, v double")
+    v = F.col("v")
+    wanted = {"s": W.Rolling("sum", v, 9), "c": W.Rolling("count", v, 5), "f": W.Rolling("first", v, 9)}
+    d = W.rolling(df, wanted)
+    spread = d.filter("instrument_id = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(spread) > 1 and max(x["count"] for x in spread) < 0.8 * sum(x["count"] for x in spread)
+    got = {x.seq: (x.s, x.c, x.f) for x in d.collect()}
+    before = {x.seq: x.b for x in W.as_of(df, {"b": v}, earlier=True, bucket_us=7_000_000).collect()}
+    here = {x.seq: x.b for x in W.as_of(df, {"b": v}, bucket_us=7_000_000).collect()}
+    assert len(got) == len(before) == len(here) == len(data)
+    by = {}
+    for x in data:
+        by.setdefault(x[0], []).append(x)
+    for rows_ in by.values():
+        rows_.sort(key=lambda x: (x[1], x[2]))
+        for n, (_, us, seq, value) in enumerate(rows_):
+            within = lambda s, upto: [y[3] for y in upto if us - s * 1_000_000 <= y[1] and y[3] is not None]  # noqa: B023, E731
+            arrived = rows_[: n + 1]
+            same = within(9, [y for y in rows_ if y[1] <= us])
+            s, c, f = got[seq]
+            assert (round(s, 6), c, f) == (round(sum(within(9, arrived)), 6), len(within(5, arrived)), same[0] if same else None)
+            known = [y[3] for y in arrived if y[3] is not None]
+            assert here[seq] == (known[-1] if known else None)
+            known = [y[3] for y in rows_[:n] if y[3] is not None]
+            assert before[seq] == (known[-1] if known else None)
+
+
+def test_one_hot_instrument_alone(spark):
+    """Windows, gates and as-of values of one instrument in many buckets and blocks: batch and stream agree."""
+    from tapewright.operators import detectors as D
+
+    events = []
+    for t in range(4000):
+        who = "AAA" if t % 10 else "BBB"
+        kind = t % 4
+        if kind == 3:
+            events.append(("AAA", "orderbook", t * 0.5, None, None, None, [(99.0 - t % 5, float(1 + t % 9))], [(101.0 + t % 3, float(1 + t % 4))], None))
+        elif kind == 2 and t % 40 == 2:
+            events.append(status(t * 0.5, "ABC"[t % 3]))
+        else:
+            events.append(trade(t * 0.5, 1 + (t * 7) % 11, 50.0 + (t * 5) % 13, "SELL" if t % 3 else "BUY", who=who))
+    settings = COMBO.with_(dict(sample_every_seconds=3, trade_window_seconds=10, price_window_seconds=15, alert_cooldown_seconds=20, combo_min_score=3, volume_zscore_threshold=1.313, price_return_zscore_threshold=0.513))
+    old = D.SAMPLES_A_BLOCK
+    try:
+        D.SAMPLES_A_BLOCK = 5
+        found = both(spark, events, settings)
+    finally:
+        D.SAMPLES_A_BLOCK = old
+    assert {x[3] for x in found} >= {"volume_spike", "trading_status_changed", "microstructure_combo_long", "spread_widening"}
+
+
+def test_rules_of_ones_own(spark):
+    """A sixth rule, of each way to measure, beside the five: batch and stream agree on all of them."""
+    from tapewright.operators import rules as R
+
+    events = [trade(t * 1.5, 1 + (t * 7) % 23, 50.0 + (t * t) % 17, "SELL" if t % 3 else "BUY", who="AAA" if t % 5 else "B") for t in range(900)]
+    df = rows(spark, events)
+    money = lambda: F.when(R.is_trade(), F.col("price") * F.col("quantity"))
+    settings = BASE.with_({"volume_zscore_threshold": 1.313, "alert_cooldown_seconds": 9, "sample_every_seconds": 2})
+    for how in ("value", "sum", "count", "move"):
+        rule = R.ZRule("mine", "mine", money, how, 30, "mine", 1.013, "mine", floor=0.5, least=2.0)
+        rules = [*R.market_rules(), rule]
+        key = lambda d: sorted((r.instrument_id, r.us, r.seq, r.signal_type, round(r.metric_value, 6), round(r.z_score, 5), r.window_seconds) for r in d.collect())
+        batch = key(detect(df, settings, rules=rules))
+        assert batch == key(stream_detect(df, settings, rules=rules))
+        assert sum(x[3] == "mine" for x in batch) > 2, how
+    with pytest.raises(ValueError):
+        R.ZRule("x", "x", None, "median", 1, "x", 1.0, "x")
+    with pytest.raises(ValueError):
+        detect(df, settings, only=["nothing"])
+
+
+def test_state_written_follows_events_not_windows():
+    """A window of many points: an event more writes the slices it touches."""
+    from tapewright.streaming.detect import SLICES, Total, _Stored
+
+    class State(dict):
+        written = 0
+
+        def containsKey(self, k):
+            return k in self
+
+        def getValue(self, k):
+            return self[k]
+
+        def removeKey(self, k):
+            self.pop(k, None)
+
+        def updateValue(self, k, v):
+            self[k] = v
+            State.written += len(v[0])
+
+    state, kept, seen = State(), None, []
+    for batch in range(60):
+        points = _Stored(state)
+        total = Total("m", points, kept)
+        for n in range(20):
+            us = (batch * 20 + n) * 1000
+            total.add(us, 0.1 * (n + 1), 640_000)
+            seen.append((us, 0.1 * (n + 1)))
+        points.flush()
+        kept = (total.total, total.n, total.oldest, total.newest)
+        inside = [v for t, v in seen if t >= seen[-1][0] - 640_000]
+        assert total.n == len(inside) and total.first == inside[0] and abs(total.sum - sum(inside)) < 1e-9
+    assert len(state) <= SLICES + 2 and kept[1] == 641
+    assert State.written < 60 * 4 * (20 + 640 // SLICES)  # and not 60 times 641
 
 
 def test_stream_keeps_state_between_batches(spark, data, tmp_path):
