@@ -3,25 +3,25 @@
 A window is a run of ``window`` words. Windows that start twice or more in the corpus
 lose all their words. The order of work:
 
-1. Each window chooses the smallest hash of its grams of ``gram`` words, the leftmost at ties. Equal windows
+1. Each window chooses the smallest hash (its high 40 bits) of its grams of ``gram`` words, the leftmost at ties. Equal windows
    choose equal grams, so a window whose gram is chosen at one place only is unique. Spark counts
    chosen grams, (block, gram) rows, and joins the repeated ones back to blocks of documents.
 2. Windows that chose the same place of a document form a segment (its words as 64-bit
-   hashes). Only segments of repeated grams go on, once per distinct segment, keyed by
-   the gram. A key of many segments would be one task, so grams chosen at ``CROWDED`` or more places
-   split: windows are grouped by the gram's offset in them, in ranges that get
-   narrower towards both ends, and keyed by the words that all windows of a range share.
-   Equal windows still have equal keys, while unlike contexts of one passage part.
+   hashes), keyed by the gram. Segments of repeated grams are counted by name, an MD5 of
+   their words. A segment that stands twice repeats as a whole; words are shipped only for keys of several
+   segments, each segment once.
 3. Keys are dealt; a shard is a row of whole keys up to about ``SHARD_WORDS`` words. Each shard gets an
    FM-index: suffix array, Burrows-Wheeler transform, and a wavelet tree of bit-packed
    levels with rank directories, which is all that is kept. Segments are streamed
    through it: backward search from an end position goes left as long as two places
    match, which gives the matching statistic there. Matches of a window or more are the intervals
    reported; the next search starts where the first undecided window ends.
-4. Intervals go back to the documents that hold the segments.
+4. A key of more than ``CROWDED`` segments (one passage in as many contexts) would be one
+   task's work. Its segments are cut into their windows, which are counted by name instead.
+5. Intervals go back to the blocks whose documents hold the segments.
 
 Nothing is compared pair by pair, and no index, gram table or segment table is broadcast or collected.
-Words are told apart by 64-bit XXH3 hashes, rows of the input by MD5 of id and text.
+Words are told apart by 64-bit XXH3 hashes, segments by MD5 of these.
 
 Null and empty texts have no words. Texts under a window lose nothing. A text that repeats within
 itself loses that, too; so do repeated rows, which are documents of their own. Words of a window are removed
@@ -40,15 +40,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import frequent, materialize, partitions, small_batches, spread_join
+from tapewright.llm.common import frequent, materialize, partitions, release, small_batches, spread_join
 
 WINDOW, GRAM = 35, 16
 BLOCK_CHARS, SHARD_WORDS = 16 << 20, 1 << 18
-#: Places of a gram from which its segments are keyed by more than the gram. Decides how rows are dealt, never a result.
+#: Segments of a key from which they are worked on by window. Decides how rows are dealt, never a result.
 CROWDED = 256
-_CACHED_WORDS = 300_000
+#: Low bits of a gram's rank that hold its place; the high ones are its hash's.
+_PLACE = np.uint64((1 << 24) - 1)
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-_PIECES = "kind int, row binary, doc_id long, n_words long, kept_sha256 string, text string, start int, key long, segment binary, words binary, n long"
+_PIECES = "kind int, block int, doc_id long, n_words long, kept_sha256 string, text string, key long, segment binary, words binary, n long"
 
 
 def _batch(schema: str, **columns) -> pa.RecordBatch:
@@ -58,17 +59,8 @@ def _batch(schema: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], _KINDS[t]) if c in columns else pa.nulls(n, _KINDS[t]) for c, t in names], [c for c, _ in names])
 
 
-class Words(dict):
-    """Word to hash, bounded."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > _CACHED_WORDS:
-            self.clear()
-        self[w] = h = xxhash.xxh3_64_intdigest(w)
-        return h
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def split(text: str | None) -> list[bytes]:
@@ -99,43 +91,31 @@ def chosen(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarra
     """Hashes of all grams, and for each window the place of the gram it chooses."""
     if len(h) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    x = rolled(h, gram)
-    wide = np.lib.stride_tricks.sliding_window_view(x, window - gram + 1)
-    return x, np.arange(len(wide)) + wide.argmin(axis=1)
-
-
-def ranges(most: int) -> list[tuple[int, int]]:
-    """Offsets 0 to ``most`` in ranges that double in width from both ends to the middle."""
-    left, at, width = [], 0, 1
-    while at <= (most - 1) // 2:
-        end = min(at + width - 1, (most - 1) // 2)
-        left.append((at, end))
-        at, width = end + 1, width if at == 0 else 2 * width
-    right = [(most - b, most - a) for a, b in reversed(left)]
-    middle = [(m, m) for m in range((left[-1][1] if left else -1) + 1, right[0][0] if right else most + 1)]
-    return [*left, *middle, *right]
-
-
-def segments(h: np.ndarray, x: np.ndarray, place: np.ndarray, repeated: np.ndarray, crowded: np.ndarray, window: int, gram: int) -> list[tuple[int, int, int]]:
-    """``(key, start, end)`` of a document's segments whose gram is ``repeated`` (sorted
-    hashes, with a flag for those that are crowded)."""
+    x, width = rolled(h, gram), window - gram + 1
+    if len(x) > int(_PLACE):
+        wide = np.lib.stride_tricks.sliding_window_view(x >> np.uint64(24), width)
+        return x, np.arange(len(wide)) + wide.argmin(axis=1)
+    least, k = x & ~_PLACE | np.arange(len(x), dtype=np.uint64), 1
+    while 2 * k <= width:
+        least, k = np.minimum(least[:-k], least[k:]), 2 * k
+    if k < width:
+        least = np.minimum(least[: len(least) - (width - k)], least[width - k :])
+    return x, (least & _PLACE).astype(np.int64)
+
+
+def segments(x: np.ndarray, place: np.ndarray, wanted: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """``(gram, start, end)`` of a document's segments whose gram is in the sorted ``wanted``."""
     cuts = np.flatnonzero(np.diff(place, prepend=-1))
-    if not len(cuts) or not len(repeated):
+    if not len(cuts) or not len(wanted):
         return []
-    ends, p = np.append(cuts[1:], len(place)), place[cuts]
-    at = np.minimum(np.searchsorted(repeated, x[p]), len(repeated) - 1)
-    out = []
-    for k in np.flatnonzero(repeated[at] == x[p]).tolist():
-        i, j, q = int(cuts[k]), int(ends[k]), int(p[k])  # windows i .. j - 1 chose place q
-        if not crowded[at[k]]:
-            out.append((int(x[q]), i, j - 1 + window))
-            continue
-        for a, b in ranges(window - gram):
-            first, last = max(i, q - b), min(j - 1, q - a)
-            if first <= last:
-                core = h[q - a : q - b + window]
-                out.append((xxhash.xxh3_64_intdigest(core.tobytes(), a + 1), first, last + window))
-    return out
+    ends, grams = np.append(cuts[1:], len(place)), x[place[cuts]]
+    at = np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)
+    found = np.flatnonzero(wanted[at] == grams)
+    return list(zip(grams[found].astype(np.int64).tolist(), cuts[found].tolist(), (ends[found] - 1 + window).tolist()))
+
+
+def _name(raw: bytes) -> bytes:
+    return hashlib.md5(raw, usedforsecurity=False).digest()
 
 
 class WaveletTree:
@@ -240,11 +220,10 @@ class FmIndex:
 
 def _chosen_grams(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for b in batches:
             blocks, grams, counts = [], [], []
             for block, text in zip(b.column("block").to_pylist(), b.column("text").to_pylist()):
-                x, place = chosen(known.hashes(split(text)), window, gram)
+                x, place = chosen(hashes(split(text)), window, gram)
                 values, n = np.unique(x[np.unique(place)], return_counts=True)
                 blocks.append(np.full(len(values), block, np.int32))
                 grams.append(values.astype(np.int64))
@@ -255,55 +234,47 @@ def _chosen_grams(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("block", "text").mapInArrow(run, "block int, gram long, n long")
 
 
+def _blockwise(b: pa.RecordBatch) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """``(block, kind, rows)`` of runs of both."""
+    blocks, kinds = np.asarray(b.column("block")), np.asarray(b.column("kind"))
+    cuts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(kinds)]
+    return ((int(blocks[s]), int(kinds[s]), b.slice(s, e - s)) for s, e in zip(cuts, cuts[1:]) if e > s)
+
+
 def _pieces(dealt: DataFrame, window: int, gram: int, texts: bool) -> DataFrame:
-    """From a block's repeated grams and then its documents, in this order: a row per document
-    (with its text if it holds a segment, finished otherwise), per segment of a document, and per distinct
-    segment of the block."""
+    """From a block's repeated grams and then its documents, in this order: a row per document (kind 2,
+    with its text, if it holds a segment, else 1 and finished), and per distinct segment of the block (3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, now = Words(), None
-        grams: list = []
-        table = crowded = None
+        now, grams, table = None, [], None
         held: dict[bytes, list] = {}
 
         def distinct() -> pa.RecordBatch:
             rows = [(k, s, w, n) for s, (k, w, n) in held.items()]
-            return _batch(_PIECES, kind=[3] * len(rows), key=[r[0] for r in rows], segment=[r[1] for r in rows], words=[r[2] for r in rows], n=[r[3] for r in rows])
+            return _batch(_PIECES, kind=[3] * len(rows), block=[now] * len(rows), **dict(zip(("key", "segment", "words", "n"), zip(*rows))))
 
         for b in batches:
-            blocks, kinds = np.asarray(b.column("block")), np.asarray(b.column("kind"))
-            cuts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(kinds)]
-            for s, e in zip(cuts, cuts[1:]):
-                if e == s:
-                    continue
-                if int(blocks[s]) != now:
+            for block, kind, part in _blockwise(b):
+                if block != now:
                     if held:
                         yield distinct()
-                    now, grams, table, held = int(blocks[s]), [], None, {}
-                part = b.slice(s, e - s)
-                if kinds[s] == 0:
-                    grams.append((np.asarray(part.column("gram")).astype(np.uint64), np.asarray(part.column("crowded").cast(pa.int8())).astype(bool)))
+                    now, grams, table, held = block, [], None, {}
+                if kind == 0:
+                    grams.append(np.asarray(part.column("gram")).astype(np.uint64))
                     continue
                 if table is None:
-                    table, crowded = (np.concatenate(x) for x in zip(*grams)) if grams else (np.zeros(0, np.uint64), np.zeros(0, bool))
-                    order = np.argsort(table)
-                    table, crowded = table[order], crowded[order]
-                documents, refs = [], []
-                for row, i, text in zip(*(part.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
+                    table = np.sort(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+                documents = []
+                for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     words = split(text)
-                    h = known.hashes(words)
-                    found = segments(h, *chosen(h, window, gram), table, crowded, window, gram)
+                    h = hashes(words)
+                    found = segments(*chosen(h, window, gram), table, window)
                     for key, start, end in found:
                         raw = h[start:end].tobytes()
-                        name = hashlib.md5(raw, usedforsecurity=False).digest()
-                        key = key - (1 << 64) if key >> 63 else key
-                        held.setdefault(name, [key, raw, 0])[2] += 1
-                        refs.append((row, start, name))
+                        held.setdefault(_name(raw), [key, raw, 0])[2] += 1
                     digest = None if found else hashlib.sha256(b" ".join(words)).hexdigest()
-                    documents.append((2 if found else 1, row, i, len(words), digest, text if found or texts else None))
-                yield _batch(_PIECES, **dict(zip(("kind", "row", "doc_id", "n_words", "kept_sha256", "text"), zip(*documents))))
-                if refs:
-                    yield _batch(_PIECES, kind=[4] * len(refs), **dict(zip(("row", "start", "segment"), zip(*refs))))
+                    documents.append((2 if found else 1, block, i, len(words), digest, text if found or texts else None))
+                yield _batch(_PIECES, **dict(zip(("kind", "block", "doc_id", "n_words", "kept_sha256", "text"), zip(*documents))))
         if held:
             yield distinct()
 
@@ -311,18 +282,17 @@ def _pieces(dealt: DataFrame, window: int, gram: int, texts: bool) -> DataFrame:
 
 
 def repeated_runs(distinct: DataFrame, window: int, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``(key, segment, words, n)`` of distinct segments, n times each, to ``(segment, runs)``: runs of
-    words, starts and ends as int32, in windows that stand twice or more. Segments without one have no row."""
+    """``(key, segment, words, n)`` of distinct segments, n times each, to ``(segment, runs)`` of those that stand
+    once: runs of words, starts and ends as int32, in windows that stand twice or more. Segments without one have no row."""
     dealt = distinct.repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, texts, often, size, key = [], [], [], 0, None
 
         def shard() -> pa.RecordBatch:
-            # a lone segment, or copies of it, need no index
-            found = FmIndex(texts).intervals(window) if len(texts) > 1 or often[0] < 2 else [[]]
-            whole = [[(0, len(t))] if n > 1 else f for t, n, f in zip(texts, often, found)]
-            rows = [(s, np.array(r, "<i4").tobytes()) for s, r in zip(names, whole) if r]
+            # segments that stand twice are in the index, and known to repeat as a whole
+            found = FmIndex(texts).intervals(window)
+            rows = [(s, np.array(r, "<i4").tobytes()) for s, r, n in zip(names, found, often) if r and n == 1]
             return _batch("segment binary, runs binary", segment=[r[0] for r in rows], runs=[r[1] for r in rows])
 
         for b in batches:
@@ -341,6 +311,29 @@ def repeated_runs(distinct: DataFrame, window: int, shard_words: int = SHARD_WOR
     return dealt.select("key", "segment", "words", "n").mapInArrow(run, "segment binary, runs binary")
 
 
+def repeated_windows(distinct: DataFrame, window: int) -> DataFrame:
+    """What ``repeated_runs`` says, by counting windows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name, raw, n in zip(*(b.column(c).to_pylist() for c in ("segment", "words", "n"))):
+                rows += [(_name(raw[8 * k : 8 * (k + window)]), name, k, n) for k in range(len(raw) // 8 - window + 1)]
+            yield _batch("name binary, segment binary, start int, n long", **dict(zip(("name", "segment", "start", "n"), zip(*rows))))
+
+    cut_ = materialize(distinct.select("segment", "words", "n").mapInArrow(cut, "name binary, segment binary, start int, n long"))
+    twice = cut_.groupBy("name").agg(F.sum("n").alias("all")).filter("all > 1").select("name")
+    found = spread_join(cut_.filter("n = 1").select("name", "segment", "start"), twice, "name", "segment", frequent(cut_, "name"))
+    starts = found.groupBy("segment").agg(F.collect_list("start").alias("starts"))  # windows of one segment
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = [np.array([(k, k + window) for k in x], "<i4").tobytes() for x in b.column("starts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("segment"), pa.array(packed, pa.binary())], ["segment", "runs"])
+
+    return starts.mapInArrow(runs, "segment binary, runs binary")
+
+
 def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int | None = None, texts: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_words, n_removed, kept_sha256, ``removed`` (runs of
     removed words, starts and ends, ends exclusive) and, if ``texts``, the text that is ``kept``."""
@@ -353,45 +346,65 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int | None = None,
     small_batches(spark)
     chars = docs.agg(F.sum(F.length("text").cast("long") + 64)).first()[0] or 0
     blocks = max(1, -(-chars // block_chars), partitions(spark))
-    row = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))).alias("row")
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block"))
 
     grams = materialize(_chosen_grams(named, window, gram).groupBy("block", "gram").agg(F.sum("n").alias("n")))
-    repeated = grams.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram", (F.col("n") >= CROWDED).alias("crowded"))
+    repeated = grams.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram")
     wanted = spread_join(grams.select("block", "gram"), repeated, "gram", "block", frequent(grams, "gram"))
     both = wanted.withColumn("kind", F.lit(0)).unionByName(named.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     pieces = materialize(_pieces(both.repartition("block").sortWithinPartitions("block", "kind"), window, gram, texts))
-
-    distinct = pieces.filter("kind = 3").groupBy("key", "segment").agg(F.first("words").alias("words"), F.sum("n").alias("n"))
-    refs = pieces.filter("kind = 4").select("row", "start", "segment")
-    found = spread_join(refs, repeated_runs(distinct, window), "segment", "row", frequent(refs, "segment"))
-    runs = found.groupBy("row").agg(F.collect_list(F.struct("start", "runs")).alias("found"))  # of one document
-    held = pieces.filter("kind = 2").select("row", "doc_id", "n_words", "text").join(runs.hint("merge"), "row", "left").select("doc_id", "text", "found")
+    release(grams)
+
+    held = pieces.filter("kind = 3")
+    names = materialize(held.groupBy("key", "segment").agg(F.sum("n").alias("n")))
+    kinds = names.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key", (F.col("kinds") > CROWDED).alias("crowded"))
+    hot = frequent(names, "key")
+    open_ = spread_join(held.select("key", "segment", "words", "n"), kinds, "key", "segment", hot)
+    open_ = materialize(open_.groupBy("key", "segment", "crowded").agg(F.first("words").alias("words"), F.sum("n").alias("n")))
+    found = repeated_runs(open_.filter("not crowded"), window).unionByName(repeated_windows(open_.filter("crowded"), window))
+    # no runs: the whole segment
+    answers = names.filter("n > 1").select("segment", F.lit(None).cast("binary").alias("runs")).unionByName(found)
+    back = spread_join(held.select("block", "key", "segment"), answers, "segment", "block", frequent(held, "segment"))
+    both = back.withColumn("kind", F.lit(0)).unionByName(pieces.filter("kind = 2").select("kind", "block", "doc_id", "text"), allowMissingColumns=True)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: int, end: int>>, kept string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        now, keys, runs, table = None, [], {}, None
         for b in batches:
-            out = []
-            for i, text, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
-                words = split(text)
-                edges = np.zeros(len(words) + 1, np.int64)
-                for f in found or ():
-                    r = np.frombuffer(f["runs"], "<i4").reshape(-1, 2) + f["start"]
-                    np.add.at(edges, r[:, 0], 1)
-                    np.add.at(edges, r[:, 1], -1)
-                gone = np.cumsum(edges)[: len(words)] > 0
-                flips = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
-                kept = b" ".join([words[k] for k in np.flatnonzero(~gone).tolist()])
-                removed = [{"start": s, "end": e} for s, e in flips.tolist()]
-                out.append((i, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), removed, kept.decode() if texts else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pairs, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in enumerate(kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept"])
+            for block, kind, part in _blockwise(b):
+                if block != now:
+                    now, keys, runs, table = block, [], {}, None
+                if kind == 0:
+                    keys.append(np.asarray(part.column("key")).astype(np.uint64))
+                    runs.update(zip(part.column("segment").to_pylist(), part.column("runs").to_pylist()))
+                    continue
+                if table is None:
+                    table = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+                out = []
+                for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    words = split(text)
+                    h = hashes(words)
+                    edges = np.zeros(len(words) + 1, np.int64)
+                    for _, start, end in segments(*chosen(h, window, gram), table, window):
+                        name = _name(h[start:end].tobytes())
+                        if name in runs:
+                            r = np.array([[start, end]]) if runs[name] is None else np.frombuffer(runs[name], "<i4").reshape(-1, 2) + start
+                            np.add.at(edges, r[:, 0], 1)
+                            np.add.at(edges, r[:, 1], -1)
+                    gone = np.cumsum(edges)[: len(words)] > 0
+                    flips = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
+                    kept = b" ".join([words[k] for k in np.flatnonzero(~gone).tolist()])
+                    removed = [{"start": s, "end": e} for s, e in flips.tolist()]
+                    out.append((i, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), removed, kept.decode() if texts else None))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pairs, pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in enumerate(kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept"])
 
     kept = F.array_join(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")), " ") if texts else F.lit(None).cast("string")
     done = pieces.filter("kind = 1").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256",
         F.array().cast("array<struct<start: int, end: int>>").alias("removed"), F.coalesce(kept, F.lit("") if texts else F.lit(None)).alias("kept"),
     )
-    out = held.mapInArrow(run, schema).unionByName(done)
+    out = both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, schema).unionByName(done)
     return out if texts else out.drop("kept")
