@@ -6,9 +6,11 @@ themselves, to the positions at which licence templates hold them. Hits of one
 template at one offset (document position minus template position) are a
 diagonal; each distinct template position votes once. A diagonal with a vote from
 every 2-gram of the template is a place where the template stands word for word.
-A diagonal and those up to ``DRIFT`` words after it merge, so a few inserted or missing
+A diagonal and those up to ``DRIFT`` words after it (a quarter of the template's words at
+most) merge, so a few inserted or missing
 words don't split a match, and no chain of stray hits can lengthen a span. A merged span
-is verified by the distinct template positions that vote in it; of spans whose diagonals
+is verified by order: what counts is the longest run of its hits in which template positions rise with
+document positions, so words of a template in another order are no match. Of spans whose diagonals
 lie that close together, the one with the largest share counts.
 
 Phrases count only where they stand whole. Notices are longer templates that also
@@ -26,7 +28,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import ascii_lower
+from tapewright.llm.common import ascii_lower, materialize
 
 # fixed values: the phrases and labels that a scan always reports
 PHRASES = {
@@ -88,21 +90,39 @@ def hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
     return rolling.join(F.broadcast(grams), same).select("doc_id", "tk", "template", "label", "phrase", "n_template", "at", "pos")
 
 
+def rising(hits: Column, size: Column) -> Column:
+    """Length of the longest run of ``hits`` (an array of struct<pos, at>, ``at`` under ``size``) in which both
+    numbers rise: the longest run that ends at each template position is kept in an array."""
+    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(h["pos"].alias("pos"), (-h["at"]).alias("back"))))
+    none = F.transform(F.sequence(F.lit(1), size), lambda _: F.lit(0))
+
+    def longer(best: Column, hit: Column) -> Column:
+        at = -hit["back"]
+        before = F.when(at > 0, F.array_max(F.slice(best, F.lit(1), at))).otherwise(0)
+        return F.transform(best, lambda x, i: F.when(i == at, F.greatest(x, before + 1)).otherwise(x))
+
+    return F.aggregate(ordered, none, longer, lambda best: F.array_max(best))
+
+
 def spans(found: DataFrame) -> DataFrame:
     """Verified spans ``(doc_id, tk, template, label, phrase, start, end, score, exact)``;
     word positions, end exclusive. Exact places are spans of their own."""
     doc = ["doc_id", "tk", "template", "label", "phrase", "n_template"]
     votes = found.withColumn("diagonal", F.col("pos") - F.col("at"))
-    votes = votes.groupBy(*doc, "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    # written once: exact places and merged spans both come from it
+    votes = materialize(votes.groupBy(*doc, "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("low"), F.max("pos").alias("high")))
     full = F.col("n_template") - 1
     exact = votes.filter(F.size("ats") == full)
     places = exact.select("doc_id", "tk", "template", "label", "phrase", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n_template")).alias("end"), F.lit(1.0).alias("score"), F.lit(True).alias("exact"))
     along = Window.partitionBy("doc_id", "tk", "template").orderBy("diagonal")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT).cast("int"), F.lit(1))
-    ahead = along.rangeBetween(0, DRIFT)
-    merged = votes.filter("not phrase").withColumn("island", F.sum(apart).over(along)).withColumns({
-        "votes": F.size(F.array_distinct(F.flatten(F.collect_list("ats").over(ahead)))), "start": F.min("low").over(ahead), "end": F.max("high").over(ahead) + 2, "whole": F.size("ats") == full,
-    })
+    drift = F.least(F.lit(DRIFT), F.floor(F.col("n_template") / 4).cast("int"))
+    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > drift).cast("int"), F.lit(1))
+    near_by = F.collect_list(F.struct("diagonal", "ats", "low", "high")).over(along.rangeBetween(0, DRIFT))
+    merged = votes.filter("not phrase").withColumn("island", F.sum(apart).over(along)).withColumn("whole", F.size("ats") == full)
+    merged = merged.withColumn("near", F.filter(near_by, lambda v: v["diagonal"] - F.col("diagonal") <= drift))
+    merged = merged.withColumn("hits", F.flatten(F.transform("near", lambda v: F.transform(v["ats"], lambda a: F.struct((v["diagonal"] + a).alias("pos"), a.alias("at"))))))
+    enough = F.size(F.array_distinct(F.col("hits.at"))) >= SHARE * full
+    merged = merged.withColumns({"votes": F.when(enough, rising(F.col("hits"), full)).otherwise(0), "start": F.array_min(F.col("near.low")), "end": F.array_max(F.col("near.high")) + 2})
     best = merged.groupBy(*doc, "island").agg(F.bool_or("whole").alias("whole"), F.max_by(F.struct("votes", "start", "end"), F.struct("votes", -F.col("diagonal"))).alias("b"))
     score = F.col("b.votes") / full
     near = best.filter(~F.col("whole") & (score >= SHARE)).select("doc_id", "tk", "template", "label", "phrase", "b.start", "b.end", score.alias("score"), F.lit(False).alias("exact"))

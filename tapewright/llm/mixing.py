@@ -14,7 +14,7 @@ needs. Rows are ordered by the key itself; the map, of key times the source's me
 weight, only says where a row is summed.
 
 Null text has size 0, a null source is a source of its own, last in order. Null
-ids and repeated rows draw by id and text; equal rows (same id and text) share a key,
+ids and repeated rows draw by id and text; equal rows (same id, text and source) share a key,
 the budget may end between them, and the mix repeats them as often in all as they were
 taken together. Null, negative or NaN quality counts as 0 and the weight never falls
 under 0.01. An empty table gives an empty result. Whole texts are counted, however long;
@@ -29,6 +29,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tapewright.llm.common import SPACE_CHARS, materialize, word_count
 
@@ -126,14 +127,16 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
 
 def sample_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken, with the columns of
-    ``docs``. Equal rows share what they were taken together, the first ones more."""
-    key = ["__tw_dk", "__tw_tie"]
-    took = mix(measured(docs), **how).withColumn("__tw_dk", F.xxhash64("doc_id", F.col("doc_id").isNull()))
-    took = took.groupBy("__tw_dk", F.col("tie").alias("__tw_tie")).agg(F.sum("times").alias("__tw_n"), F.count("*").alias("__tw_rows")).filter("__tw_n > 0")
-    keyed = docs.withColumns({"__tw_dk": F.xxhash64("doc_id", F.col("doc_id").isNull()), "__tw_tie": _tie()})
-    # sorted by the key for the join, rows of a key are counted without another sort
+    ``docs``. Rows equal in id, text and source share what they were taken together, the first ones, by
+    a hash of their other columns, more."""
+    key = ["__tw_dk", "__tw_tie", "__tw_src"]
+    own = {"__tw_dk": F.xxhash64("doc_id", F.col("doc_id").isNull()), "__tw_src": F.md5(F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit(""))).cast("binary"))}
+    took = mix(measured(docs), **how).withColumns(own)
+    took = took.groupBy("__tw_dk", F.col("tie").alias("__tw_tie"), "__tw_src").agg(F.sum("times").alias("__tw_n"), F.count("*").alias("__tw_rows")).filter("__tw_n > 0")
+    keyed = docs.withColumns({**own, "__tw_tie": _tie()})
     out = keyed.join(took.hint("merge"), key)
-    nth = F.count("*").over(Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, 0))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "source") and not isinstance(docs.schema[c].dataType, MapType)]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(0), *rest)))
     copies = F.expr("__tw_n div __tw_rows") + (F.col("__tw_nth") <= F.col("__tw_n") % F.col("__tw_rows")).cast("long")
     out = out.withColumn("__tw_nth", nth).withColumn("__tw_copies", copies).filter("__tw_copies > 0")
     return out.withColumn("__tw_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__tw_copies")))).select(*docs.columns)

@@ -32,9 +32,12 @@ are one node); ``tables`` fingerprints of a node come from as many hash function
 posting holds three bytes, at 8 of the 56 sets of three positions: no two positions lie in
 two of these, so that sets seldom fail together, and each five positions hold one, so that
 five equal bytes, which three differing bits leave at least, are sure to meet, and fewer often
-do. Candidates meet in one table, differ there in at most ``max_bits``, and are verified by
-exact Jaccard similarity: no false link is made, and links are missed where texts just over
-0.8 share too few bytes in every table (the README has figures).
+do. Candidates meet in one table, differ there in at most ``max_bits``, have sets whose sizes allow
+the similarity, and are verified by exact Jaccard similarity: no false link is made, and
+links are missed where texts just over 0.8 share too few bytes in every table (the README has figures).
+
+Of rows with equal id and text and unlike other columns the one with the smallest hash of
+these stays.
 """
 
 from __future__ import annotations
@@ -44,9 +47,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, MapType, StructField, StructType
 
 from tapewright.llm.common import frequent, materialize, partitions, release, small_batches, spread_join
 
@@ -60,7 +63,7 @@ QUADS = tuple(q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3]
 _POINTS = tuple(divmod(n, 3) for n in range(1, 9))
 TRIPLES = tuple(t for t in combinations(range(8), 3) if all(sum(_POINTS[i][axis] for i in t) % 3 == 0 for axis in (0, 1)))
 #: Fingerprints of a node where texts are compared.
-TABLES = 14
+TABLES = 28
 
 
 def least_tally(max_bits: int) -> int:
@@ -145,7 +148,7 @@ def _majorities(h: np.ndarray, tables: int) -> list[int]:
 
 
 def _sketches(docs: DataFrame, shingle: int, tables: int, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` columns, ``sk``, a hash of the set of shingles, and ``fp0`` and on, a
+    """``keep`` columns, ``sk``, a hash of the set of shingles, ``m``, its size, and ``fp0`` and on, a
     fingerprint for each table; narrow."""
     small_batches(docs.sparkSession)
     keep, prints = list(keep), [f"fp{k}" for k in range(tables)]
@@ -155,11 +158,13 @@ def _sketches(docs: DataFrame, shingle: int, tables: int, keep: tuple[str, ...])
 
         for b in batches:
             hashes = [shingle_hashes(t, shingle) for t in b.column("text").to_pylist()]
-            sk = np.array([xxhash.xxh64_intdigest(np.unique(h).astype("<u8").tobytes(), SEED) for h in hashes], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in hashes]
+            sk = np.array([xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            sizes = np.array([len(h) for h in sets], np.int64)
             fps = np.array([_majorities(h, tables) for h in hashes], np.uint64).reshape(-1, tables).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sk), *(pa.array(fps[:, k]) for k in range(tables))], [*keep, "sk", *prints])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sk), pa.array(sizes), *(pa.array(fps[:, k]) for k in range(tables))], [*keep, "sk", "m", *prints])
 
-    schema = StructType([*(docs.schema[c] for c in keep), *(StructField(c, LongType()) for c in ("sk", *prints))])
+    schema = StructType([*(docs.schema[c] for c in keep), *(StructField(c, LongType()) for c in ("sk", "m", *prints))])
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
@@ -190,49 +195,54 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
 
 def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int, tables: int, max_bits: int, similarity: float) -> DataFrame:
-    """``(node, root)`` of every linked one of the distinct ``nodes(sk, fp0, ..)``. Nodes
-    are candidates if they share a posting of three positional bytes in a table and differ
-    there in at most ``max_bits``, and linked if their texts, which ``texts_of`` finds for
+    """``(node, root)`` of every linked one of the distinct ``nodes(sk, m, fp0, ..)``. Nodes
+    are candidates if they share a posting of three positional bytes in a table, differ
+    there in at most ``max_bits`` and have ``m`` shingles each that allow the similarity, and linked if their texts, which ``texts_of`` finds for
     a table of ``sk``, are verified.
 
     A pair is taken from its first posting in a table. In a list longer than
     ``MAX_POSTING`` each member is first verified against one of them; then only pairs
     that are not yet in one group are compared, and all of these."""
 
+    if tables * len(TRIPLES) > 256:
+        raise ValueError("a posting's table and set have eight bits")
+
     def posting(nth: int) -> Column:
         key = F.col("table") * len(TRIPLES) + nth
         for i in TRIPLES[nth]:
             key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * i).bitwiseAND(_long(0xFF)))
-        return key
+        return (key - (1 << 31)).cast("int")
 
     prints = F.array(*(F.struct(_long(t).alias("table"), F.col(f"fp{t}").alias("fp")) for t in range(tables)))
-    each = nodes.select("sk", F.explode(prints).alias("p")).select("sk", "p.*")
-    every = each.select("sk", "fp", F.explode(F.array(*(posting(m) for m in range(len(TRIPLES))))).alias("key"))
-    sizes = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    # a merge join at every size; lists that own many rows are split by adaptive execution
-    posted = materialize(every.join(sizes.hint("merge"), "key"))
+    each = nodes.select("sk", "m", F.explode(prints).alias("p")).select("sk", "m", "p.*")
+    every = each.select("sk", "m", "fp", F.explode(F.array(*(posting(m) for m in range(len(TRIPLES))))).alias("key"))
+    # postings are shuffled once; most lists hold one node and end here
+    posted = materialize(every.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"))
     key = "key"
 
+    def alike(a: str, b: str) -> Column:
+        return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
+
     def paired(d: DataFrame, *more: str) -> DataFrame:
-        left, right = (d.select(key, *(F.col(c).alias(f"{side}_{c}") for c in ("sk", "fp", *more))) for side in "ab")
+        left, right = (d.select(key, *(F.col(c).alias(f"{side}_{c}") for c in ("sk", "fp", "m", *more))) for side in "ab")
         x = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
         near = left.join(right, key).filter("a_sk < b_sk").filter(F.bit_count(x) <= max_bits)
         first = F.coalesce(*(F.when(x.bitwiseAND(_long(_wide(at))) == 0, m) for m, at in enumerate(TRIPLES)))
-        near = near.filter(first == F.shiftright(key, 24) % len(TRIPLES))
+        near = near.filter(first == F.shiftright(F.col(key).cast("long") + (1 << 31), 24) % len(TRIPLES)).filter(alike("a_m", "b_m"))
         for c in more:
             near = near.filter(F.col(f"a_{c}") != F.col(f"b_{c}"))
         return near.select(F.col("a_sk").alias("a"), F.col("b_sk").alias("b"))
 
     crowded = posted.filter(F.col("n") > MAX_POSTING)
-    leaders = crowded.groupBy(key).agg(F.min("sk").alias("leader"), F.min_by("fp", "sk").alias("leader_fp"))
-    star = crowded.join(leaders, key).filter("leader <> sk").filter(F.bit_count(F.col("leader_fp").bitwiseXOR(F.col("fp"))) <= max_bits)
+    leaders = crowded.groupBy(key).agg(F.min("sk").alias("leader"), F.min_by("fp", "sk").alias("leader_fp"), F.min_by("m", "sk").alias("leader_m"))
+    star = crowded.join(leaders, key).filter("leader <> sk").filter(alike("m", "leader_m")).filter(F.bit_count(F.col("leader_fp").bitwiseXOR(F.col("fp"))) <= max_bits)
     star = star.select(F.col("leader").alias("a"), F.col("sk").alias("b"))
     pairs = materialize(paired(posted.filter(F.col("n") <= MAX_POSTING)).unionByName(star).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sk")).unionByName(crowded.select("sk")).distinct()
     texts = materialize(texts_of(wanted))
     edges = materialize(verified(pairs, texts, shingle, similarity))
     roots = materialize(components(edges))
-    owned = crowded.select(key, "sk", "fp").join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
+    owned = crowded.select(key, "sk", "fp", "m").join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
     mixed = owned.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(key)
     left = materialize(owned.join(mixed, key))
     if not left.isEmpty():
@@ -361,7 +371,7 @@ def _roots(keyed: DataFrame, text_key: str, shingle: int, max_bits: int, similar
     prints = materialize(_sketches(keyed.select("doc_id", text_key, "text"), shingle, tables, ("doc_id", text_key)))
     # exact copies share a node: one row of each goes on
     rank = F.struct(F.col("doc_id").isNull().alias(NONE), "doc_id", text_key)
-    nodes = materialize(prints.groupBy("sk").agg(*(F.min(c).alias(c) for c in fps), F.min(rank).alias("s")).select("sk", *fps, "s.doc_id", f"s.{text_key}"))
+    nodes = materialize(prints.groupBy("sk").agg(*(F.min(c).alias(c) for c in ("m", *fps)), F.min(rank).alias("s")).select("sk", "m", *fps, "s.doc_id", f"s.{text_key}"))
     keys = [OWN, NONE, text_key]
 
     def texts_of(wanted: DataFrame) -> DataFrame:
@@ -369,7 +379,7 @@ def _roots(keyed: DataFrame, text_key: str, shingle: int, max_bits: int, similar
         # a merge join at every size: texts are shuffled once here, by the keys that de-duplication needs
         return _plain(keyed.select("doc_id", text_key, "text")).join(chosen.hint("merge"), keys).dropDuplicates(keys).select("sk", "text")
 
-    member = similar_groups(nodes.select("sk", *fps), texts_of, shingle, tables, max_bits, similarity)
+    member = similar_groups(nodes.select("sk", "m", *fps), texts_of, shingle, tables, max_bits, similarity)
     return nodes.join(member.withColumnRenamed("node", "sk"), "sk", "left").select("doc_id", text_key, F.coalesce("root", "sk").alias("root"))
 
 
@@ -387,4 +397,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, s
     # plain columns as keys: join and de-duplication then share one shuffle of the texts
     keys = [OWN, NONE, text_key]
     stay = materialize(_plain(first).select(*keys).distinct())
-    return _plain(keyed).join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text") and not isinstance(docs.schema[c].dataType, MapType)]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(0), *rest)))
+    return _plain(keyed).join(stay, keys, "left_semi").withColumn("__tw_nth", nth).filter("__tw_nth = 1").select(*docs.columns)
