@@ -28,13 +28,15 @@ doc_id and text pass through ``drop_near_duplicates``, names that begin with ``_
 are the operator's own.
 
 With a ``similarity`` texts are compared themselves. Nodes are sets of shingles (copies
-are one node); ``tables`` fingerprints of a node come from as many hash functions. Here a
+are one node); ``tables`` fingerprints of a node, which count each of its shingles once, come from as many hash functions. Here a
 posting holds three bytes, at 8 of the 56 sets of three positions: no two positions lie in
 two of these, so that sets seldom fail together, and each five positions hold one, so that
 five equal bytes, which three differing bits leave at least, are sure to meet, and fewer often
 do. Candidates meet in one table, differ there in at most ``max_bits``, have sets whose sizes allow
 the similarity, and are verified by exact Jaccard similarity: no false link is made, and
 links are missed where texts just over 0.8 share too few bytes in every table (the README has figures).
+Pairs left over after the first round may also differ in all tables together by no more than five standard
+deviations over what that similarity lets expect.
 
 Of rows with equal id and text and unlike other columns the one with the smallest hash of
 these stays.
@@ -44,6 +46,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +57,7 @@ from pyspark.sql.types import LongType, MapType, StructField, StructType
 from tapewright.llm.common import frequent, materialize, partitions, release, small_batches, spread_join
 
 SEED = 42
-#: Longest posting list whose members are paired up.
+#: Longest posting list whose members are paired up, or searched for near ones, before anything else.
 MAX_POSTING = 48
 #: Four of the eight byte positions, so that each three positions lie in one set.
 QUADS = tuple(q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0)
@@ -66,6 +69,19 @@ TRIPLES = tuple(t for t in combinations(range(8), 3) if all(sum(_POINTS[i][axis]
 TABLES = 28
 
 
+#: Sets of fewer shingles have fingerprints that differ more at the same similarity.
+FEW = 32
+
+
+def most_apart(similarity: float, tables: int, few: bool) -> int:
+    """Bits in which the fingerprints of all tables together may differ: what two sets of that
+    similarity are expected to differ in, and five standard deviations more. A bit differs by
+    the angle of the sets, or for sets of few shingles at most a quarter more often."""
+    p = acos(2 * similarity / (1 + similarity)) / pi * (1.25 if few else 1.03)
+    n = 64 * tables
+    return ceil(n * p + 5 * sqrt(n * p * (1 - p)))
+
+
 def least_tally(max_bits: int) -> int:
     """Postings that two fingerprints share at least if at most ``max_bits`` bits differ."""
     return min(sum(not set(q) & set(spoilt) for q in QUADS) for spoilt in combinations(range(8), max_bits))
@@ -161,7 +177,7 @@ def _sketches(docs: DataFrame, shingle: int, tables: int, keep: tuple[str, ...])
             sets = [np.unique(h) for h in hashes]
             sk = np.array([xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
             sizes = np.array([len(h) for h in sets], np.int64)
-            fps = np.array([_majorities(h, tables) for h in hashes], np.uint64).reshape(-1, tables).view(np.int64)
+            fps = np.array([_majorities(h, tables) for h in sets], np.uint64).reshape(-1, tables).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sk), pa.array(sizes), *(pa.array(fps[:, k]) for k in range(tables))], [*keep, "sk", "m", *prints])
 
     schema = StructType([*(docs.schema[c] for c in keep), *(StructField(c, LongType()) for c in ("sk", "m", *prints))])
@@ -200,9 +216,10 @@ def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     there in at most ``max_bits`` and have ``m`` shingles each that allow the similarity, and linked if their texts, which ``texts_of`` finds for
     a table of ``sk``, are verified.
 
-    A pair is taken from its first posting in a table. In a list longer than
-    ``MAX_POSTING`` each member is first verified against one of them; then only pairs
-    that are not yet in one group are compared, and all of these."""
+    First each node is verified against two members of its lists that stand first there: the
+    smallest one and the one with the fewest differing bits, so that a group of near copies
+    costs two pairs a node, however many lists its nodes share. Then pairs that are not yet
+    in one group are compared, and all of these; a pair is taken from its first posting in a table."""
 
     if tables * len(TRIPLES) > 256:
         raise ValueError("a posting's table and set have eight bits")
@@ -216,37 +233,53 @@ def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     prints = F.array(*(F.struct(_long(t).alias("table"), F.col(f"fp{t}").alias("fp")) for t in range(tables)))
     each = nodes.select("sk", "m", F.explode(prints).alias("p")).select("sk", "m", "p.*")
     every = each.select("sk", "m", "fp", F.explode(F.array(*(posting(m) for m in range(len(TRIPLES))))).alias("key"))
-    # postings are shuffled once; most lists hold one node and end here
-    posted = materialize(every.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"))
     key = "key"
 
-    def alike(a: str, b: str) -> Column:
+    def alike(a: Column | str, b: Column | str) -> Column:
         return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
 
-    def paired(d: DataFrame, *more: str) -> DataFrame:
-        left, right = (d.select(key, *(F.col(c).alias(f"{side}_{c}") for c in ("sk", "fp", "m", *more))) for side in "ab")
+    def near_to(x: Column) -> Column:
+        return (F.col("sk") != x["sk"]) & (F.bit_count(F.col("fp").bitwiseXOR(x["fp"])) <= max_bits) & alike(F.col("m"), x["m"])
+
+    # postings are shuffled once; most lists hold one node, or none that is near another, and end here
+    listed, own = Window.partitionBy(key), F.struct("sk", "fp", "m")
+    shared = every.withColumn("n", F.count("*").over(listed)).filter("n > 1")
+    short = F.collect_list(F.when(F.col("n") <= MAX_POSTING, own)).over(listed)
+    shared = shared.withColumns({"first": F.min(own).over(listed), "short": short})
+    posted = materialize(shared.filter((F.col("n") > MAX_POSTING) | F.exists("short", near_to)).drop("n", "short"))
+
+    def paired(d: DataFrame) -> DataFrame:
+        """Pairs of different roots, each once, from the first table and posting in which they meet."""
+        left, right = (d.select(key, *(F.col(c).alias(f"{side}_{c}") for c in ("sk", "fp", "m", "root", "fps"))) for side in "ab")
+        code = F.col(key).cast("long") + (1 << 31)
+        table, nth = F.shiftright(code, 24).cast("int") / len(TRIPLES), F.shiftright(code, 24) % len(TRIPLES)
         x = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
-        near = left.join(right, key).filter("a_sk < b_sk").filter(F.bit_count(x) <= max_bits)
         first = F.coalesce(*(F.when(x.bitwiseAND(_long(_wide(at))) == 0, m) for m, at in enumerate(TRIPLES)))
-        near = near.filter(first == F.shiftright(F.col(key).cast("long") + (1 << 31), 24) % len(TRIPLES)).filter(alike("a_m", "b_m"))
-        for c in more:
-            near = near.filter(F.col(f"a_{c}") != F.col(f"b_{c}"))
-        return near.select(F.col("a_sk").alias("a"), F.col("b_sk").alias("b"))
-
-    crowded = posted.filter(F.col("n") > MAX_POSTING)
-    leaders = crowded.groupBy(key).agg(F.min("sk").alias("leader"), F.min_by("fp", "sk").alias("leader_fp"), F.min_by("m", "sk").alias("leader_m"))
-    star = crowded.join(leaders, key).filter("leader <> sk").filter(alike("m", "leader_m")).filter(F.bit_count(F.col("leader_fp").bitwiseXOR(F.col("fp"))) <= max_bits)
-    star = star.select(F.col("leader").alias("a"), F.col("sk").alias("b"))
-    pairs = materialize(paired(posted.filter(F.col("n") <= MAX_POSTING)).unionByName(star).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sk")).unionByName(crowded.select("sk")).distinct()
-    texts = materialize(texts_of(wanted))
+        near = left.join(right, key).filter("a_sk < b_sk and a_root <> b_root").filter(F.bit_count(x) <= max_bits).filter(first == nth).filter(alike("a_m", "b_m"))
+        apart = sum(F.bit_count(F.col("a_fps")[t].bitwiseXOR(F.col("b_fps")[t])) for t in range(tables))
+        near = near.filter(apart <= F.when(F.least("a_m", "b_m") < FEW, most_apart(similarity, tables, True)).otherwise(most_apart(similarity, tables, False)))
+
+        def met(y: Column) -> Column:
+            equal = F.lit(False)
+            for at in TRIPLES:
+                equal = equal | (y.bitwiseAND(_long(_wide(at))) == 0)
+            return (F.bit_count(y) <= max_bits) & equal
+
+        before = F.slice(F.zip_with("a_fps", "b_fps", lambda a, b: a.bitwiseXOR(b)), F.lit(1), F.floor(table).cast("int"))
+        return near.filter(~F.exists(before, met)).select(F.col("a_sk").alias("a"), F.col("b_sk").alias("b"))
+
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp")))
+    firsts = posted.filter(near_to(F.col("first"))).select("sk", F.col("first.sk").alias("to"), bits.alias("bits"))
+    firsts = firsts.groupBy("sk").agg(F.min("to").alias("low"), F.min(F.struct("bits", "to")).alias("close"))
+    pairs = materialize(firsts.select(F.explode(F.array_distinct(F.array("low", "close.to"))).alias("a"), F.col("sk").alias("b")))
+    texts = materialize(texts_of(posted.select("sk").distinct()))
     edges = materialize(verified(pairs, texts, shingle, similarity))
     roots = materialize(components(edges))
-    owned = crowded.select(key, "sk", "fp", "m").join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
+    owned = posted.select(key, "sk", "fp", "m").join(roots.withColumnRenamed("node", "sk"), "sk", "left").withColumn("root", F.coalesce("root", "sk"))
     mixed = owned.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(key)
-    left = materialize(owned.join(mixed, key))
+    left = materialize(owned.join(mixed, key).join(nodes.select("sk", F.array(*(f"fp{t}" for t in range(tables))).alias("fps")), "sk"))
     if not left.isEmpty():
-        more = verified(materialize(paired(left, "root").distinct()), texts, shingle, similarity)
+        more = verified(materialize(paired(left)), texts, shingle, similarity)
         roots = materialize(components(edges.unionByName(more)))
     release(posted, pairs, texts, edges, left)
     return roots

@@ -160,9 +160,11 @@ def test_simhash_survivors_per_group(spark):
 def stage_groups(lines):
     """Smallest row number of each group that the stage's rule makes, and of each that
     Jaccard similarity alone makes, by brute force over all pairs."""
+    import numpy as np
+
     words = [brute.SPACE.findall((x or "").translate(brute.UP)) for x in lines]
     sets = [frozenset(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for w in words]
-    hashes = [simhash.shingle_hashes(x, 5) for x in lines]
+    hashes = [np.unique(simhash.shingle_hashes(x, 5)) for x in lines]
     prints = [[simhash._majority(simhash._remixed(h, k)) for h in hashes] for k in range(simhash.TABLES)]
     meet = lambda x: any(all(x >> 8 * i & 0xFF == 0 for i in t) for t in simhash.TRIPLES)
 
