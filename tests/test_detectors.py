@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tapewright.operators import windows as W
 from tapewright.operators.detectors import detect, signals
 from tapewright.plans import tape
 from tapewright.schemas import SIGNAL, TAPE, Settings
@@ -298,3 +299,11 @@ def test_bad_settings():
         Settings(min_baseline_points=0)
     with pytest.raises(ValueError):
         Settings().with_({"nonsense": 1})
+
+
+def test_latest_of_a_window_comes_from_whole_windows(spark):
+    """Rows of a halo see a part of their window; nothing is carried from them."""
+    rows = [("a", t * 1_000_000, n, v) for n, (t, v) in enumerate([(25, 100.0), (35, 1.0), (41, None), (60, None), (61, 7.0), (62, None)])]
+    d = spark.createDataFrame(rows, "instrument_id string, us bigint, seq bigint, v double")
+    d = W.rolling(d, {"here": W.Rolling("sum", F.col("v"), 10)}, {"latest": F.when(F.col("v").isNotNull(), F.col("here"))})
+    assert [(r.here, r.latest, r["__closing"]) for r in d.orderBy("us").collect()] == [(100.0, 100.0, False), (101.0, 101.0, True), (1.0, None, False), (0.0, None, False), (7.0, 7.0, False), (7.0, 7.0, True)]
