@@ -43,6 +43,9 @@ from tapewright.llm.tokens import _PROBES, MARK
 BLOCK_CHARS = 16 << 20
 #: Chunks that are tokenized in a row.
 RUN = 2000
+#: Characters of new chunks that are tokenized and aligned at once, and rows that are cut at once: the
+#: libraries' results take several hundred bytes a token. A longer chunk is worked on whole.
+ALIGNED_CHARS, CUT_ROWS = 1 << 17, 500
 #: A link is one number: the first id times this, plus the second.
 _SHIFT = 32
 _CUT = re.compile(r"(?<! )(?= \S)")
@@ -209,6 +212,18 @@ class Aligner:
         return numbers, [next(said) if ok else "" for ok in good.tolist()], link, numbers[:, 3]
 
 
+def _parts(chunks: list[str]) -> Iterator[list[str]]:
+    """The chunks in order, in lists of about ``ALIGNED_CHARS``."""
+    first = held = 0
+    for n, c in enumerate(chunks):
+        held += len(c)
+        if held >= ALIGNED_CHARS:
+            yield chunks[first : n + 1]
+            first, held = n + 1, 0
+    if first < len(chunks):
+        yield chunks[first:]
+
+
 @lru_cache(maxsize=1)
 def _aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
@@ -219,17 +234,21 @@ class _Block:
 
     def __init__(self, number: int):
         self.number, self.at, self.held = number, {}, []
-        self.numbers, self.groups, self.link, self.n_links = np.zeros((0, 4), np.int64), [], [], []
+        self.numbers, self.groups = np.zeros((0, 4), np.int64), []
+        self.link, self.n_links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def add(self, aligner: Aligner, ids: list, texts: list[str | None]) -> pa.RecordBatch:
         parts = [aligner.cut(t) if t else [] for t in texts]
         new = list({c: None for p in parts for c in p if c not in self.at})
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-        numbers, groups, link, n_links = aligner.align(new)
-        self.numbers = np.concatenate([self.numbers, numbers])
-        self.groups += groups
-        self.link.append(link)
-        self.n_links.append(n_links)
+        known = [self.numbers]
+        for part in _parts(new):
+            numbers, groups, link, n_links = aligner.align(part)
+            known.append(numbers)
+            self.groups += groups
+            self.link.append(link)
+            self.n_links.append(n_links)
+        self.numbers = np.concatenate(known)
         rows = []
         for p in parts:
             idx = list(map(self.at.__getitem__, p))
@@ -280,7 +299,9 @@ def _described(docs: DataFrame, a_path: str, b_path: str, blocks: int) -> DataFr
                     if block is not None:
                         yield block.links()
                     block = _Block(int(numbers[s]))
-                yield block.add(aligner, b.column("doc_id").slice(s, e - s).to_pylist(), b.column("text").slice(s, e - s).to_pylist())
+                for k in range(s, e, CUT_ROWS):
+                    n = min(CUT_ROWS, e - k)
+                    yield block.add(aligner, b.column("doc_id").slice(k, n).to_pylist(), b.column("text").slice(k, n).to_pylist())
         if block is not None:
             yield block.links()
 

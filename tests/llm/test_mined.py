@@ -295,3 +295,16 @@ def test_licence_labels_and_scores(spark, data):
     assert 20 < sum(0 < s < 1 for _, s in got.values())
     whole = {x.doc_id: (x.labels, round(x.score, 9)) for x in Q.op5_licenses(spark, data).collect()}
     assert whole == {x.doc_id: licence_spans(x.text) for x in Q.documents(spark, data).collect()}
+
+
+def test_alignment_takes_new_chunks_in_parts(monkeypatch):
+    """However many new words a batch brings, the libraries get a bounded part of them at once."""
+    a = alignment.Aligner(Q.byte_vocabulary(), Q.piece_model())
+    seen, whole = [], a.align
+    monkeypatch.setattr(a, "align", lambda chunks: (seen.append(sum(map(len, chunks))), whole(chunks))[1])
+    texts = [" ".join(f"word{n}x{k}" for k in range(2_000)) for n in range(20)]
+    block = alignment._Block(0)
+    got = block.add(a, list(range(20)), texts).to_pylist()
+    assert len(seen) > 1 and max(seen) < 140_000
+    alone = [alignment._Block(0).add(a, [n], [t]).to_pylist()[0] for n, t in enumerate(texts)]
+    assert [(r["n_links"], r["groups_sha256"]) for r in got] == [(r["n_links"], r["groups_sha256"]) for r in alone]
