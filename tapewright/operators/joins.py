@@ -19,11 +19,12 @@ def enrich_events(events: DataFrame, instruments: DataFrame, order: str = "load_
     duplicate wins. A miss falls back to the first non-empty of the three, or 'unknown',
     and a lower-case alias. ``events`` has instrument_id, figi, uid; other columns stay.
     Most ids of a row are null: rows without a key are dealt by the row instead, so they
-    don't meet in one task."""
+    don't meet in one task. Tasks hold their part of the instruments, which are unique by key, and stream
+    events past them unsorted."""
     out = events.withColumn("__row", F.pmod(F.xxhash64(*events.columns), F.lit(1 << 20)).cast("int"))
     for key in ("instrument_id", "figi", "uid"):
         side = last_by(instruments, key, order)
-        side = side.select("__k", F.lit(-1).alias("__n"), F.struct(*DIMENSION).alias(f"__by_{key}"))
+        side = side.select("__k", F.lit(-1).alias("__n"), F.struct(*DIMENSION).alias(f"__by_{key}")).hint("shuffle_hash")
         dealt = F.when(F.col(key).isNull(), F.col("__row")).otherwise(F.lit(-1))
         out = out.join(side, (F.col(key) == F.col("__k")) & (dealt == F.col("__n")), "left").drop("__k", "__n")
     hit = F.coalesce("__by_instrument_id", "__by_figi", "__by_uid")

@@ -93,3 +93,15 @@ def test_candle_csv_holds_all_instruments(spark, data, monkeypatch):
     assert catalog.QUERIES["read_candle_csv"](spark, data).count() > 0
     assert len(paths) == 1
     assert read(spark, paths[0], partition="instrument_id").count() == tape.candles(spark, data).count()
+
+
+def test_enrich_events_does_not_sort_events(spark, data):
+    """However large the instruments, events stream past them; sorted ones would fill a task's memory."""
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES["enrich_events"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    feed = plan.split("SortAggregate")[0]
+    assert plan.count("ShuffledHashJoin") >= 3 and "SortMergeJoin" not in feed
