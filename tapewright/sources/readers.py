@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import scalars as S
 from tapewright.schemas import ENVELOPE, PAYLOAD, QUOTATION, SIGNAL, Settings
-from tapewright.sources.store import read_candles
+from tapewright.sources.store import CSV_PART, read_candles
 
 __all__ = [
     "decode_events", "normalize_events", "normalize_instruments", "quotation_cell", "read_candle_csv", "read_candles", "read_detector_settings", "read_events", "read_instruments",
@@ -86,21 +86,27 @@ def normalize_events(messages: DataFrame, received_at=None) -> DataFrame:
 
 
 def quotation_cell(c):
-    """Text like {'units': 1, 'nano': 500000000} to a quotation."""
-    return F.from_json(F.translate(c, "'", '"'), QUOTATION)
+    """Text like {'units': 1, 'nano': 500000000} to a quotation. Cells in just this form, which are
+    all that ``write_candle_csv`` writes, need no JSON parser."""
+    usual = c.rlike(r"^\{'units': -?(0|[1-9][0-9]{0,17}), 'nano': -?(0|[1-9][0-9]{0,8})\}\z")
+    units = F.substring_index(F.substring_index(c, ",", 1), " ", -1).try_cast("bigint")
+    nano = F.substring_index(F.substring_index(c, "}", 1), " ", -1).try_cast("int")
+    return F.when(usual, F.struct(units.alias("units"), nano.alias("nano"))).otherwise(F.from_json(F.translate(c, "'", '"'), QUOTATION))
 
 
 def read_candle_csv(spark: SparkSession, path: str, start=None, end=None, partition: str | None = None) -> DataFrame:
     """CSV with a header of time, open, high, low, close, volume and is_complete, in any order and with any others
     beside them, and quotation cells; ``partition`` names the column that the folders under
-    ``path`` stand for, if any. A missing column is an error, and so is a file whose header isn't the first one's."""
+    ``path`` stand for, if any, or a column of the files that ``write_candle_csv`` wrote. A missing column is an error, and so is a file whose header isn't the first one's."""
     wanted = ("time", "open", "high", "low", "close", "volume", "is_complete")
-    header = [c for c in spark.read.option("header", True).option("escape", '"').csv(path).columns if c != partition]
+    found = spark.read.option("header", True).option("escape", '"').csv(path).columns
+    folder = CSV_PART if CSV_PART in found else partition
+    header = [c for c in found if c != folder]
     missing = [c for c in wanted if c not in header]
     if header and missing:
         raise ValueError(f"the header of {path} lacks {missing}")
     kinds = {"volume": "bigint", "is_complete": "boolean"}
-    schema = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in header or wanted) + (f", {partition} string" if partition else "")
+    schema = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in header or wanted) + (f", {folder} string" if folder else "")
     d = spark.read.schema(schema).option("escape", '"').option("enforceSchema", False).csv(path, header=True)
     d = d.select(*([partition] if partition else []), *wanted)
     d = d.withColumn("time", S.parse_timestamp(F.col("time"))).withColumns({c: S.quotation_to_decimal(quotation_cell(F.col(c))) for c in ("open", "high", "low", "close")})

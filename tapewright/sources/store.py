@@ -25,6 +25,8 @@ KEY, SLOT = ["instrument_id", "interval"], ["instrument_id", "interval", "time"]
 RANGE = "instrument_id string, interval string, start bigint, end bigint"
 #: Tasks (and files) that a month of an interval is dealt over.
 FILES_A_MONTH = 8
+#: Folders that instruments' CSV is dealt over, and what they are named by.
+CSV_PARTS, CSV_PART = 256, "tw_part"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -121,11 +123,24 @@ def coverage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_candle_csv(candles: DataFrame, path: str) -> None:
-    """One folder of CSV an instrument, with the cells that ``read_candle_csv`` reads. A new
-    call replaces the instruments it names and leaves the others."""
+    """CSV with the cells that ``read_candle_csv`` reads, instruments dealt over ``CSV_PARTS`` folders by a hash, so
+    that the number of files doesn't follow that of instruments. A new call replaces the instruments it names and
+    leaves the others; folders that none of them is in aren't touched. Ids are cells, so they hold no line breaks."""
     from tapewright.functions.scalars import decimal_to_quotation
 
-    cell = lambda c: F.format_string("{'units': %d, 'nano': %d}", c["units"], c["nano"])
+    spark = candles.sparkSession
+    cell = lambda c: F.concat(F.lit("{'units': "), c["units"], F.lit(", 'nano': "), c["nano"], F.lit("}"))
     prices = {c: cell(decimal_to_quotation(F.col(c))) for c in ("open", "high", "low", "close")}
-    rows = candles.withColumns({"time": F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), **prices}).select("instrument_id", "time", *prices, "volume", "is_complete")
-    rows.repartition("instrument_id").sortWithinPartitions("instrument_id", "time").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instrument_id").option("header", True).csv(path)
+    rows = candles.withColumns({"time": F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), **prices}).select("instrument_id", "time", *prices, F.col("volume").cast("string"), F.col("is_complete").cast("string"))
+    rows = rows.withColumn(CSV_PART, F.pmod(F.xxhash64("instrument_id"), F.lit(CSV_PARTS)).cast("int"))
+    fs, where = _fs(spark, path)
+    if fs.exists(where) and any(x.isDirectory() for x in fs.listStatus(where)):
+        if not any(x.getPath().getName().startswith(f"{CSV_PART}=") for x in fs.listStatus(where)):
+            raise ValueError(f"{path} has a folder an instrument, which can be read but not written to")
+        named = rows.select("instrument_id", CSV_PART).distinct()
+        known = spark.read.schema(", ".join(f"{c} string" for c in rows.columns[:-1]) + f", {CSV_PART} int").option("escape", '"').csv(path, header=True)
+        kept = known.join(named.select(CSV_PART).distinct(), CSV_PART, "left_semi")
+        same = [kept["instrument_id"].eqNullSafe(named["instrument_id"]), kept[CSV_PART] == named[CSV_PART]]
+        rows = rows.unionByName(kept.join(named, same, "left_anti"))
+    sorted_ = rows.repartition(CSV_PART).sortWithinPartitions(CSV_PART, "instrument_id", "time").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(CSV_PART)
+    sorted_.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)

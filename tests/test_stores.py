@@ -253,3 +253,24 @@ def test_live_candles_close_by_the_clock(spark, tmp_path):
             assert got == wanted
     finally:
         running.stop()
+
+
+def test_csv_files_do_not_follow_instruments(spark, tmp_path, monkeypatch):
+    """Folders are of many instruments, whose ids come back as they were; others of a folder stay."""
+    monkeypatch.setattr(store, "CSV_PARTS", 4)
+    path, ids = str(tmp_path / "csv"), [f"x{n}" for n in range(60)] + ['a"b', " c,d ", "007", "1.0"]
+    price = ", ".join(f"cast({k} as decimal(28,9)) as {c}" for k, c in enumerate(("open", "high", "low", "close")))
+    rows = spark.createDataFrame([(i,) for i in ids], "instrument_id string").selectExpr("instrument_id", "timestamp'2024-01-01' as time", *price.replace(" as decimal(28,9))", ".5 as decimal(28,9))").split(", "), "7L as volume", "true as is_complete")
+    store.write_candle_csv(rows, path)
+    assert len(list(tmp_path.glob("csv/*/*.csv"))) <= 4
+    store.write_candle_csv(rows.filter("instrument_id in ('x5', '007')").selectExpr("*").withColumn("volume", F.lit(8).cast("bigint")), path)
+    got = {r.instrument_id: (r.volume, float(r.close), r.is_complete) for r in R.read_candle_csv(spark, path, partition="instrument_id").collect()}
+    assert got == {i: (8 if i in ("x5", "007") else 7, 3.5, True) for i in ids}
+    assert R.read_candle_csv(spark, path, partition="instrument_id").count() == len(ids)
+
+
+def test_quotation_cells_in_any_form(spark):
+    cells = ["{'units': -3, 'nano': -250000000}", "{'units': 0, 'nano': 0}", "{'nano': 5, 'units': 7}", "{ 'units':1,'nano':2 }", '{"units": 4, "nano": 6}', "{'units': 01, 'nano': 2}", "{'units': 1}", "no", None]
+    d = spark.createDataFrame([(n, c) for n, c in enumerate(cells)], "n int, c string").select("n", R.quotation_cell(F.col("c")).alias("q"), F.from_json(F.translate("c", "'", '"'), R.QUOTATION).alias("j"))
+    assert all(r.q == r.j for r in d.collect())
+    assert d.orderBy("n").first().q == (-3, -250_000_000)
