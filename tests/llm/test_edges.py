@@ -141,6 +141,18 @@ def test_toxicity_against_a_plain_forward_pass(spark, data):
     assert all((r.doc_id in stay) == (score[r.doc_id] < cut(r.lang)) for r in sure)
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    labels = spark.range(8000).selectExpr("id as doc_id", "int(id % 4 = 0) as toxic")
+    docs = labels.selectExpr("doc_id", "concat('word', doc_id % 7, if(toxic = 1, ' awful fool ', ' fine day '), doc_id) as text", "'en' as lang")
+    teaching = labels.filter(~toxicity.held_out(labels["doc_id"]))
+    assert toxicity.training_rows(docs, labels).count() == teaching.count() > 5000
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 2500)  # several shards, several rounds
+    df = toxicity.toxicity(docs, labels)
+    wrong = df.join(labels, "doc_id").filter("predicted <> toxic")
+    assert wrong.count() <= 80
+    assert df.select("score").collect() == toxicity.toxicity(docs, labels).select("score").collect()
+
+
 def test_toxicity_training_rows_are_bounded_and_stable(spark):
     docs = spark.createDataFrame([(1, "b" * 50, "en"), (1, "a" * 30, "de"), (2, "c" * 40, "en"), (3, None, None), (4, "d" * 10, "en")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, toxic int")
