@@ -1,6 +1,7 @@
 """A candle store that can be written again: data files, coverage and a manifest.
 
     path/data/write=<id>/interval=<i>/month=<m>/..   files of one write
+    path/staged/<id>/..                              a write's candles before they are merged; deleted then
     path/coverage/<id>/..                            ranges that are known, per instrument and interval
     path/manifest/<n>.json                           which folder holds each month, and which coverage holds
 
@@ -73,6 +74,11 @@ def _read(spark: SparkSession, path: str, parts: dict[str, str]) -> DataFrame:
     return spark.read.schema(schema).option("basePath", f"{path}/data").parquet(*folders)
 
 
+def _write_months(rows: DataFrame, path: str) -> None:
+    dealt = rows.repartition("interval", "month", F.pmod(F.xxhash64("instrument_id"), F.lit(FILES_A_MONTH)))
+    dealt.sortWithinPartitions("interval", "month", "time", "instrument_id").write.partitionBy("interval", "month").parquet(path)
+
+
 def write_candles(candles: DataFrame, path: str, ranges: DataFrame | None = None) -> None:
     """Add ``candles`` (columns of ``CANDLE``) to the store at ``path``; of candles with equal instrument, interval and
     time the one that the store has stays, so a batch may be written any number of times.
@@ -82,12 +88,20 @@ def write_candles(candles: DataFrame, path: str, ranges: DataFrame | None = None
 
     old, write = manifest(spark, path), uuid.uuid4().hex
     dated = candles.withColumn("month", F.trunc(F.col("time").cast("date"), "month")).filter("interval is not null and month is not null").dropDuplicates(SLOT)
-    touched = {_part(r.interval, r.month) for r in dated.select("interval", "month").distinct().collect()}  # a row a month
-    stored = _read(spark, path, {p: w for p, w in old["parts"].items() if p in touched}).drop("write")
-    fresh = dated.join(stored.select(*SLOT), SLOT, "left_anti").select(*stored.columns) if touched & old["parts"].keys() else dated.select(*stored.columns)
-    month = stored.unionByName(fresh).repartition("interval", "month", F.pmod(F.xxhash64("instrument_id"), F.lit(FILES_A_MONTH)))
-    if touched:
-        month.sortWithinPartitions("interval", "month", "time", "instrument_id").write.partitionBy("interval", "month").parquet(f"{path}/data/write={write}")
+    # the plan of the candles runs once: what it came to is the write itself in an empty store, else it is merged from a folder of its own
+    final = f"{path}/data/write={write}"
+    staged = f"{path}/staged/{write}" if old["parts"] else final
+    _write_months(dated, staged)
+    fresh = spark.read.schema(f"{CANDLE}, month date").parquet(staged)
+    touched = {_part(r.interval, r.month) for r in fresh.select("interval", "month").distinct().collect()}  # a row a month
+    if staged != final and touched:
+        stored = _read(spark, path, {p: w for p, w in old["parts"].items() if p in touched}).drop("write")
+        if touched & old["parts"].keys():
+            fresh = fresh.join(stored.select(*SLOT), SLOT, "left_anti")
+        _write_months(stored.unionByName(fresh.select(*stored.columns)), final)
+    if staged != final:
+        fs, where = _fs(spark, staged)
+        fs.delete(where, True)
     cover = old["coverage"]
     if ranges is not None:
         known = coverage(spark, path).unionByName(ranges.select("instrument_id", "interval", "start", "end"))

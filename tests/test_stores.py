@@ -274,3 +274,21 @@ def test_quotation_cells_in_any_form(spark):
     d = spark.createDataFrame([(n, c) for n, c in enumerate(cells)], "n int, c string").select("n", R.quotation_cell(F.col("c")).alias("q"), F.from_json(F.translate("c", "'", '"'), R.QUOTATION).alias("j"))
     assert all(r.q == r.j for r in d.collect())
     assert d.orderBy("n").first().q == (-3, -250_000_000)
+
+
+def test_a_write_runs_its_plan_once(spark, tmp_path):
+    path, seen = str(tmp_path / "store"), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    for k in range(2):  # into an empty store and into one that has some of the months
+        rows = [("a", "DAY", at(d), 1) for d in range(30 * k, 30 * k + 60)]
+        d = candles(spark, rows).coalesce(1)
+        before = seen.value
+        K.write_candles(d.mapInPandas(count, d.schema), path)
+        assert seen.value - before == 60
+    assert store.read_candles(spark, path).count() == 90
+    assert not list((tmp_path / "store" / "staged").iterdir())
