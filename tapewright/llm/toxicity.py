@@ -259,13 +259,28 @@ def train(texts: list[str | None], labels: np.ndarray, langs: list[str | None],
     return m
 
 
+def likely_in(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """``docs`` without most of the rows whose doc_id isn't among the ``n`` ids or fewer of ``known``, so that a
+    join needn't shuffle their texts. A broadcast bitmap of hashes, 16 to 32 bits an id, tells them:
+    no row of these ids goes, one in 16 of the others at most stays for the join to drop."""
+    if docs.schema["doc_id"].dataType != known.schema["doc_id"].dataType:  # equal ids of unlike types have unlike hashes
+        return docs
+    bits = 1 << max(15, (16 * n).bit_length())
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    maps = known.groupBy(F.bitmap_bucket_number(at).alias("__tw_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__tw_map"))
+    place = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring("__tw_map", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("__tw_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "__tw_bucket")
+    return found.filter(F.getbit(byte, place % 8) == 1).select(*docs.columns)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Labelled rows that are not held out: doc_id, text, lang, toxic. All of them, unless a caller
     bounds the characters they have together; whole texts or none, by a hash of the id."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    found = docs.select("doc_id", "text", lang).join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("d"), F.first("toxic").alias("toxic"))
+    found = likely_in(docs.select("doc_id", "text", lang), known, labels.count()).join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("d"), F.first("toxic").alias("toxic"))
     found = found.select("doc_id", "d.text", "d.lang", "toxic")
     if max_chars is None:
         return found

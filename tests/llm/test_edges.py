@@ -153,6 +153,20 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     assert df.select("score").collect() == toxicity.toxicity(docs, labels).select("score").collect()
 
 
+def test_toxicity_texts_without_a_label_are_not_shuffled(spark):
+    labels = spark.range(3000).selectExpr("id * 11 as doc_id", "int(id % 4 = 0) as toxic")
+    docs = spark.range(33000).selectExpr("if(id = 5, null, id) as doc_id", "concat('text ', id) as text", "'en' as lang")
+    teaching = labels.filter(~toxicity.held_out(labels["doc_id"]))
+    rows = toxicity.training_rows(docs, labels)
+    assert {r.doc_id for r in rows.select("doc_id").collect()} == {r.doc_id for r in teaching.collect()}
+    near = toxicity.likely_in(docs, teaching, labels.count())
+    assert near.join(teaching, "doc_id", "left_semi").count() == teaching.count()
+    assert near.count() < teaching.count() + 33000 / 16
+    assert toxicity.likely_in(docs.withColumn("doc_id", F.col("doc_id").cast("int")), teaching, 3000).count() == 33000  # unlike types: all stay
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in plan  # what the join shuffles went through the bitmap
+
+
 def test_toxicity_training_rows_are_bounded_and_stable(spark):
     docs = spark.createDataFrame([(1, "b" * 50, "en"), (1, "a" * 30, "de"), (2, "c" * 40, "en"), (3, None, None), (4, "d" * 10, "en")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, toxic int")
