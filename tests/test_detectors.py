@@ -49,6 +49,14 @@ def test_volume_spike(spark):
     assert found[0][6] == 999
 
 
+@pytest.mark.parametrize("history, value", [([1, 2, 2, 2, 1, 1, 1, 1, 2, 2, 3, 1, 2, 2, 1, 2, 2], 4), ([1] * 13 + [3, 1, 1, 1], 3)])
+def test_scores_right_at_a_bound(spark, history, value):
+    """Four deviations exactly; other orders of steps give 3.999.. in the batch plan (first case) or the fold (second)."""
+    settings = BASE.with_({"trade_window_seconds": 4, "volume_zscore_threshold": 3.9, "price_return_zscore_threshold": 1e9, "trade_count_zscore_threshold": 1e9})
+    found = [x for x in both(spark, [trade(5 * k, q, 100.0) for k, q in enumerate([*history, value])], settings) if x[1] == 5_000_000 * len(history)]
+    assert [(x[3], x[4], x[6]) for x in found] == [("volume_spike", 2, 4.0)]
+
+
 def test_override(spark):
     strict = BASE.with_({"volume_zscore_threshold": 99.0})
     assert [x[3] for x in both(spark, SPIKE, BASE, {"AAA": strict})] == ["price_jump"]
