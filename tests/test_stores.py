@@ -222,6 +222,29 @@ def test_sides_of_a_hot_instrument(spark):
     assert spread > 1
 
 
+def test_positions_of_a_hot_instrument(spark):
+    """Lots of the last opening, carried over blocks and batches, against a loop; both passes share one exchange."""
+    r = random.Random(3)
+    data = [("hot" if n % 8 else f"k{n % 3}", n * SECOND, r.randrange(1, 50), r.choice((0, 0, 0, 1, 2, 3, 4, 8, 12, 9, 15, 5))) for n in range(800)]
+    expected, held = {}, {}
+    for who, us, lots, code in data:
+        state, position = held.get(who, (0, 0))
+        expected[who, us] = (state, position)
+        opens = bool(code & 1 & ~state) or bool(code & 2 & ~state)
+        after = int(M.TRANSITIONS[code, state])
+        closes = bool(state & 1 and (code & 4 or code & 2 & ~state)) or bool(state & 2 and (code & 8 or code & 1 & ~state))
+        held[who] = (after, lots if opens else 0 if closes else position)
+    df = spark.createDataFrame(data, "instrument_id string, us bigint, lots bigint, code int").repartition(3)
+    for rows_a_batch, block_us in (("37", 100 * SECOND), ("10000", 7 * SECOND)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+        try:
+            found = M.open_sides(df, block_us)
+            assert {(x.instrument_id, x.us): (x.state, x.position) for x in found.collect()} == expected
+            assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_composition_is_in_order():
     maps = np.array([[1, 0, 2, 3], [0, 2, 1, 3], [3, 3, 3, 0], [2, 2, 2, 2]], np.int8)
     got = M.composed(maps, np.array([True, False, False, True]))
