@@ -36,6 +36,12 @@ def test_oracle(spark, data, db, name):
     assert sorted(tuple(map(norm, r)) for r in got.select(*columns).collect()) == sorted(tuple(map(norm, r)) for r in rows)
 
 
+def test_signals_of_an_instrument_come_from_its_events_alone(spark, data):
+    lines = catalog.QUERIES["signals_for_instrument"](spark, data)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    scans = [k for k, line in enumerate(lines) if "Relation" in line]
+    assert scans and all("Filter" in lines[k - 1] and "= 7" in lines[k - 1] for k in scans)
+
+
 def test_orders_against_a_loop(spark, data):
     rows = {}
     from tapewright.operators import strategy as M
