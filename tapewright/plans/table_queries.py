@@ -585,8 +585,9 @@ def live_candles(spark, sf_dir):
 
     t = tape.ticks(spark, sf_dir).withColumn("s", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     d = tape.numbered(t, "instrument_id", "s", "l_partkey", "l_extendedprice", "at").select("instrument_id", F.col("at").alias("us"), F.col("k").cast("bigint").alias("seq"), F.col("price").alias("close"))
-    source, out, state = (_scratch(spark, x) for x in ("live", "candles", "state"))
-    half = F.col("seq") <= 300
+    feed, source, out, state = (_scratch(spark, x) for x in ("feed", "live", "candles", "state"))
+    d.write.parquet(feed)  # numbered once for both
+    d, half = spark.read.schema(d.schema).parquet(feed), F.col("seq") <= 300
     for part in (d.filter(half), d.filter(~half)):
         part.write.mode("append").parquet(source)
         found = live(spark.readStream.schema(d.schema).parquet(source), 7 * DAY_S)

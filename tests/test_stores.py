@@ -278,6 +278,44 @@ def test_live_candles_close_by_the_clock(spark, tmp_path):
         running.stop()
 
 
+def test_live_candles_of_many_instruments(spark, tmp_path, monkeypatch):
+    """Against a loop over three micro-batches, of which the first ends no interval; state goes by lanes, and so
+    do calls of Python."""
+    import datetime
+    from decimal import Decimal
+
+    from tapewright.streaming import candles as live
+
+    monkeypatch.setattr(live, "LANES", 3, raising=False)
+    schema = "instrument_id string, us bigint, seq bigint, close double, volume bigint, note string, at timestamp, price decimal(20,4), units struct<units: bigint, nano: int>, book array<double>"
+    rng, seq, batches = np.random.default_rng(5), 0, []
+    for size in (1, 30, 20):
+        rows = []
+        for k in rng.permutation(np.repeat(np.arange(40), size)).tolist():
+            seq, us = seq + 1, int(rng.integers(0, 86_400_000_000 * (1 if size == 1 else 12)))
+            at, some = datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=us), rng.random(5) < 0.8
+            rows.append((f"x{k}", us, seq, us / 7 if some[0] else None, us if some[1] else None, f"n{us % 50}" if some[2] else None, at if some[3] else None, Decimal(us % 999) / 4 if some[4] else None, (us % 5, 3), [us / 3, 1.0]))
+        batches.append([rows[k] for k in rng.permutation(len(rows))])
+        spark.createDataFrame(batches[-1], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    wanted, held = [], {}
+    for row in (r for rows in batches for r in sorted(rows, key=lambda r: r[2])):
+        bucket = row[1] - row[1] % 86_400_000_000
+        was = held.get(row[0])
+        if was and bucket < was[0]:
+            wanted.append((row[0], bucket, *row[1:], 1, True))
+            continue
+        if was and bucket > was[0]:
+            wanted.append((row[0], was[0], *was[2][1:], was[1], False))
+        held[row[0]] = (bucket, was[1] + 1 if was and bucket == was[0] else 1, row)
+    stream = live.live_candles(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 86_400)
+    running = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    found = spark.read.schema(schema.replace("us bigint, ", "bucket_us bigint, us bigint, ", 1) + ", n bigint, late boolean").parquet(str(tmp_path / "out")).collect()
+    plain = lambda r: repr([tuple(x) if isinstance(x, tuple) else x.normalize() if isinstance(x, Decimal) else x for x in r])
+    assert sorted(map(plain, found)) == sorted(map(plain, wanted))
+    assert running.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
 def test_csv_files_do_not_follow_instruments(spark, tmp_path, monkeypatch):
     """Folders are of many instruments, whose ids come back as they were; others of a folder stay."""
     monkeypatch.setattr(store, "CSV_PARTS", 4)
