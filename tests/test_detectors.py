@@ -57,6 +57,28 @@ def test_scores_right_at_a_bound(spark, history, value):
     assert [(x[3], x[4], x[6]) for x in found] == [("volume_spike", 2, 4.0)]
 
 
+def test_net_volume_right_at_a_bound(spark):
+    """Ten lots of 0.1 are added up to 0.9999999999999999 as doubles, in the SQL too; exactly they are 1."""
+    settings = COMBO.with_({"trade_window_seconds": 60, "trade_count_zscore_threshold": 1e9, "combo_min_score": 2, "combo_delta_points": 2, "combo_delta_min_abs_qty": 1.0})
+    for side in ("BUY", "SELL"):
+        found = [x for x in both(spark, [trade(5 * k, 0.1, 100.0, side) for k in range(12)], settings) if x[3].startswith("microstructure")]
+        assert [x[1] for x in found][:1] == [50_000_000]
+
+
+def test_plain_sums(spark):
+    """Of at most ``FEW`` values as doubles in order of time, of more exactly; other rows and values don't count."""
+    data = [("a", t * 1_000_000, t, None if t % 2 else 0.1) for t in range(200)]
+    df = spark.createDataFrame(data, "instrument_id string, us bigint, seq bigint, v double")
+    for seconds in (18, 2 * W.FEW - 2, 2 * W.FEW):
+        got = {r.seq: r.s for r in W.rolling(df, {"s": W.Rolling("sum", F.col("v"), seconds, plain=True)}).collect()}
+        for t in range(0, 200, 2):
+            values = [v for _, _, n, v in data if t - seconds <= n <= t and v is not None]
+            added = 0.0
+            for v in values:
+                added += v
+            assert got[t] == (added if len(values) <= W.FEW else round(0.1 * len(values), 6))
+
+
 def test_override(spark):
     strict = BASE.with_({"volume_zscore_threshold": 99.0})
     assert [x[3] for x in both(spark, SPIKE, BASE, {"AAA": strict})] == ["price_jump"]
