@@ -2,48 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, IntegralType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegralType, LongType, StructField, StructType
 
 from tapewright.functions.scalars import SECOND, floor_us
 from tapewright.streaming.detect import use_rocksdb
-
-#: Groups that instruments are dealt over for the state, as each call of a stateful processor has its price.
-LANES = 4096
-#: Candles a packed row has at most (Spark sends 10,000 rows at once to the state), and bytes of candles packed at once.
-PACK, PACK_BYTES = 64, 32 << 20
-
-
-def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candles of a lane that come together as one row of arrays: Spark hands rows to a stateful
-    processor one by one."""
-    waiting, size = [], 0
-    for batch in batches:
-        waiting.append(batch)
-        size += batch.nbytes
-        if size >= PACK_BYTES:
-            yield from _pack(pa.Table.from_batches(waiting))
-            waiting, size = [], 0
-    if waiting:
-        yield from _pack(pa.Table.from_batches(waiting))
-
-
-def _pack(candles: pa.Table) -> list[pa.RecordBatch]:
-    lanes = candles["tw_lane"].to_numpy()
-    order = np.argsort(lanes, kind="stable")
-    at, first = np.arange(len(lanes)), np.diff(lanes[order], prepend=-1) != 0
-    starts = np.flatnonzero((at - np.maximum.accumulate(np.where(first, at, 0))) % PACK == 0)
-    candles, bounds = candles.take(order), pa.array(np.append(starts, len(lanes)), pa.int32())
-    column = lambda c: candles[c].take(starts) if c == "tw_lane" else pa.ListArray.from_arrays(bounds, candles[c].combine_chunks())
-    return pa.table({c: column(c) for c in candles.column_names}).to_batches() if len(lanes) else []
+from tapewright.streaming.lanes import LANES, arrays, lane_of, pack_type, packed
 
 
 def _unpacked(first: Sequence, arrays: list, whole: bool) -> np.ndarray | pd.api.extensions.ExtensionArray:
@@ -149,12 +120,10 @@ def live_candles(candles: DataFrame, interval_seconds: int, grace_seconds: int |
     names = [c for c in candles.columns if c != "instrument_id"]
     kinds = [candles.schema[c] for c in names]
     out = StructType([candles.schema["instrument_id"], StructField("bucket_us", LongType()), *kinds, StructField("n", LongType()), StructField("late", BooleanType())])
-    arrays = lambda fields: [StructField(f.name, ArrayType(f.dataType)) for f in fields]
     inner = [candles.schema["instrument_id"], StructField("tw_bucket", LongType()), *kinds]
     state = StructType(arrays([*inner, StructField("tw_closed", BooleanType()), StructField("tw_n", LongType())]))
     grace = None if grace_seconds is None else grace_seconds * SECOND
     own = OpenIntervals(names, state, interval_seconds * SECOND, grace)
-    lane = F.pmod(F.xxhash64("instrument_id"), F.lit(LANES)).cast("int").alias("tw_lane")
-    d = candles.filter("instrument_id is not null and us is not null").select(lane, "instrument_id", bucket.alias("tw_bucket"), *names)
-    lanes = d.mapInArrow(packed, StructType([StructField("tw_lane", IntegerType()), *arrays(inner)])).groupBy("tw_lane")
+    d = candles.filter("instrument_id is not null and us is not null").select(lane_of(LANES), "instrument_id", bucket.alias("tw_bucket"), *names)
+    lanes = d.mapInArrow(packed, pack_type(inner)).groupBy("tw_lane")
     return lanes.transformWithStateInPandas(own, out, "append", "none" if grace is None else "processingTime")
